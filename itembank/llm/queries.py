@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, shared, simhash, sstable
+from . import packing, shared, simhash, sstable, urlrules, warc
 
 WORDS = "word_bpe_49k.json"
 
@@ -21,6 +21,19 @@ def op2_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_shards(sstable.write_shards(docs, public_tokenizers.path(WORDS), 1, shared.new_dir(spark, "shards")))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(table(spark, sf_dir, "pages"), shared.new_dir(spark, "warc"))
+    return warc.read_archives(archives).where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Written rules of the URL filter, as its contract has them: verdict, host, path.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS), 2)
 
@@ -31,8 +44,19 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sstable": op2_sstable,
+    "op3_warc": op3_warc,
+    "op4_url_rules": op4_url_rules,
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc": """
+        with p as (select page_id, coalesce(html, '') as html from pages),
+             d as (select page_id, octet_length(encode(html))::bigint as payload_bytes, sha256(html) as payload_digest from p),
+             f as (select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest) end as first from d)
+        select page_id, payload_bytes, payload_digest,
+               case when first < page_id then 'revisit' else 'response' end as record_type,
+               case when first < page_id then first end as refers_to
+        from f""",
+}
