@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, shared, simhash, sstable, urlrules, warc
+from . import langid, packing, shared, simhash, sstable, urlrules, warc
 
 WORDS = "word_bpe_49k.json"
 
@@ -42,12 +42,17 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_components(table(spark, sf_dir, "documents"), radius=2)
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sstable": op2_sstable,
     "op3_warc": op3_warc,
     "op4_url_rules": op4_url_rules,
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
+    "op9_language": op9_language,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -7,8 +7,10 @@ one machine only.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +51,10 @@ def dropped(df: DataFrame) -> None:
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Arrow batches of so many rows at most, so that long texts don't fill a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    # workers import this package from where the driver has it, unless it was shipped to them
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -212,7 +212,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, directory: str, i
                 if writer is None:
                     store, name = fs.FileSystem.from_uri(path)
                     store.create_dir(name.rsplit("/", 1)[0], recursive=True)
-                    out = store.open_output_stream(name)
+                    out = store.open_output_stream(name, compression=None)
                     writer = Writer(out, dtype.itemsize)
                 writer.add(key_of(doc_id), enc.ids(text).astype(dtype, copy=False).tobytes() + end)
         if writer:

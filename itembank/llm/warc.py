@@ -228,7 +228,7 @@ def write_archives(pages: DataFrame, directory: str) -> DataFrame:
                 if out is None:
                     store, name = fs.FileSystem.from_uri(path)
                     store.create_dir(name.rsplit("/", 1)[0], recursive=True)
-                    out = store.open_output_stream(name)
+                    out = store.open_output_stream(name, compression=None)
                 data = gzip_member(build_record(page_id, url, html.encode(), digest, first))
                 out.write(data)
                 n, size = n + 1, size + len(data)
