@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, packing, shared, simhash, sstable, urlrules, warc
+from . import decontaminate, langid, licenses, packing, pii, shared, simhash, sstable, urlrules, warc
 
 WORDS = "word_bpe_49k.json"
 
@@ -42,6 +42,18 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_components(table(spark, sf_dir, "documents"), radius=2)
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -52,10 +64,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_rules": op4_url_rules,
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
+    "op7_licenses": op7_licenses,
+    "op8_decontaminate": op8_decontaminate,
     "op9_language": op9_language,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_licenses": licenses.oracle_sql(),
     "op3_warc": """
         with p as (select page_id, coalesce(html, '') as html from pages),
              d as (select page_id, octet_length(encode(html))::bigint as payload_bytes, sha256(html) as payload_digest from p),
