@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, licenses, packing, pii, shared, simhash, sstable, urlrules, warc
+from . import covertree, decontaminate, langid, licenses, packing, pii, shared, simhash, sstable, urlrules, warc
 
 WORDS = "word_bpe_49k.json"
 
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def op2_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return sstable.read_shards(sstable.write_shards(docs, public_tokenizers.path(WORDS), 1, shared.new_dir(spark, "shards")))
@@ -59,6 +63,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_cover_tree": op1_cover_tree,
     "op2_sstable": op2_sstable,
     "op3_warc": op3_warc,
     "op4_url_rules": op4_url_rules,
@@ -71,6 +76,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_cover_tree": """
+        with recursive v as (select vec_id, label, embedding::double[] as e from embeddings
+                   where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+             l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+                   where list_cosine_similarity(a.e, b.e) >= 0.93),
+             r(id, c) as (select vec_id, vec_id from embeddings union select r.id, l.b from r join l on r.c = l.a),
+             n as (select a, count(*) as n from l group by a)
+        select r.id::bigint as vec_id, coalesce(any_value(n.n), 0)::bigint as n_links, min(r.c)::bigint as component_id, min(r.c) = r.id as kept
+        from r left join n on n.a = r.id group by r.id""",
     "op7_licenses": licenses.oracle_sql(),
     "op3_warc": """
         with p as (select page_id, coalesce(html, '') as html from pages),
