@@ -27,9 +27,9 @@ SEED = 42
 #: Near-duplicate groups: independent 64-bit sketches of a document's words, the radius within
 #: which one of them has to agree, the most bits of all sketches that may differ for a candidate
 #: (a filter against chance collisions), words of a shingle, and the similarity that decides.
-SKETCHES = 5
+SKETCHES = 6
 SKETCH_RADIUS = 3
-SKETCH_BITS = 56
+SKETCH_BITS = 68
 NEAR_WORDS = 5
 NEAR_SIMILARITY = 0.8
 
@@ -136,7 +136,8 @@ def fingerprint_components(docs: DataFrame, radius: int = 2) -> DataFrame:
 
 
 class Sketcher:
-    """Sketches of word counts; hashes of frequent words are kept (a bounded memo)."""
+    """SimHashes of the words, each weighted by the root of its count, so that a few frequent words
+    don't make all texts of a language alike; hashes of words are kept (a bounded memo)."""
 
     def __init__(self, most: int = 100_000):
         self.memo: dict[bytes, bytes] = {}
@@ -153,7 +154,7 @@ class Sketcher:
         for w in count:
             if w not in memo:
                 memo[w] = hashlib.blake2b(w, digest_size=8 * SKETCHES).digest()
-        total, weights = np.zeros(64 * SKETCHES, np.float32), np.fromiter(count.values(), np.float32, len(count))
+        total, weights = np.zeros(64 * SKETCHES, np.float32), np.sqrt(np.fromiter(count.values(), np.float32, len(count)))
         keys = list(count)
         for i in range(0, len(keys), 4096):
             part = keys[i : i + 4096]
