@@ -60,7 +60,7 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Columns ``node``, ``component`` for every node of ``edges`` (columns ``a``, ``b``, long).
 
-    Alternates large-star and small-star steps until nothing changes; ``component`` is the
+    Alternates small-star and large-star steps until nothing changes; ``component`` is the
     smallest node that can be reached. Every step is an aggregate with map-side combine and a
     plain join, so a node with very many neighbours is split by adaptive execution. Null ends
     and loops are ignored; no edges give no rows. Raises if ``max_rounds`` isn't enough.
@@ -74,16 +74,17 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
                 cur.select("v", "v")).groupBy("node").agg(F.min("component").alias("component"))
         last = state
+        # small star: every smaller neighbour of a node links to the smallest of them; first, so
+        # that what a node's many links say is said by links between few nodes from then on
+        least = cur.groupBy("u").agg(F.min("v").alias("m"))
+        joined = cur.join(least, "u")
+        small = joined.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
+            joined.select("u", F.col("m").alias("v"))).distinct()
         # large star: every larger neighbour links to the smallest of the neighbourhood
-        both = cur.union(cur.select("v", "u"))
+        both = small.union(small.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # small star: every smaller neighbour links to the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
-            joined.select("u", F.col("m").alias("v"))).distinct()
-        nxt = written(small, "links")
+        nxt = written(large, "links")
         dropped(cur)
         cur = nxt
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
