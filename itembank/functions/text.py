@@ -1,0 +1,102 @@
+"""Scalar text functions, all of them Spark SQL expressions."""
+
+from __future__ import annotations
+
+import unicodedata
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def _accent_table() -> tuple[str, str]:
+    """Accented letters up to U+024F and their base letters, from the Unicode database."""
+    src, dst = [], []
+    for c in map(chr, range(0x80, 0x250)):
+        base = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
+        if len(base) == 1 and base != c:
+            src.append(c)
+            dst.append(base)
+    return "".join(src), "".join(dst)
+
+
+ACCENTED, PLAIN = _accent_table()
+
+
+def fold(x: Column) -> Column:
+    """Lower case without accents; sharp s is ss. Null stays null."""
+    return F.regexp_replace(F.translate(F.replace(F.lower(x), F.lit("ß"), F.lit("ss")), ACCENTED, PLAIN), r"\p{Mn}+", "")
+
+
+def fold_search(x: Column) -> Column:
+    """Folding for searches: as :func:`fold`, but sharp s stays."""
+    return F.regexp_replace(F.translate(F.lower(x), ACCENTED, PLAIN), r"\p{Mn}+", "")
+
+
+def signature(x: Column, profile: str = "pdf") -> Column:
+    """Letters, digits and underscores of the folded text; profile ``txt`` keeps the first 160."""
+    s = F.regexp_replace(fold(x), r"[^\p{L}\p{N}_]+", "")
+    return F.substring(s, 1, 160) if profile == "txt" else s
+
+
+def clean(x: Column) -> Column:
+    """Without soft hyphens and ligatures, white space collapsed, dashes and blanks trimmed off."""
+    y = F.replace(F.replace(F.replace(x, F.lit("­"), F.lit("")), F.lit("ﬁ"), F.lit("fi")), F.lit("ﬂ"), F.lit("fl"))
+    return F.regexp_replace(F.regexp_replace(y, r"[\s ]+", " "), "^[ \\-–]+|[ \\-–]+$", "")
+
+
+def cut_footer(x: Column, window: int = 110) -> Column:
+    """Cut a closing page footer (a rule, ``page`` and a number) with no word of three letters after it."""
+    return F.regexp_replace(x, rf"(?i)[\s·|–-]*(?:page|pág(?:ina)?\.?|seite)\s*\d+(?:\s*(?:of|de|von|/)\s*\d+)?[^\p{{L}}]{{0,{window}}}$", "")
+
+
+def page_of_offset(text: Column, offset: Column, mark: str = "\f") -> Column:
+    """Page of a 0-based offset: page marks before it, plus one."""
+    return (F.length(text.substr(F.lit(1), offset)) - F.length(F.replace(text.substr(F.lit(1), offset), F.lit(mark), F.lit(""))) + 1).cast("long")
+
+
+def strip_noise_lines(x: Column, noise: str = r"^\s*(?:-?\s*\d+\s*-?|page \d+.*|https?://\S+)\s*$") -> Column:
+    """Lines that are page numbers or bare addresses are dropped."""
+    return F.array_join(F.filter(F.split(x, "\n", -1), lambda line: ~F.lower(line).rlike(noise)), "\n")
+
+
+def option_letter(i: Column) -> Column:
+    """0-based option number as a letter."""
+    return F.char(97 + i)
+
+
+def option_text(options: Column, letter: Column) -> Column:
+    """The option a letter stands for; null where there is none."""
+    return F.try_element_at(options, (F.ascii(letter) - 96).cast("int"))
+
+
+def number_es(x: Column) -> Column:
+    """Two decimals, comma, points only from five digits before it."""
+    s = F.format_string("%.2f", x)
+    whole, frac = F.split_part(s, F.lit("."), F.lit(1)), F.split_part(s, F.lit("."), F.lit(2))
+    grouped = F.regexp_replace(whole, r"(?<=\d)(?=(\d{3})+$)", ".")
+    return F.concat(F.when(F.length(F.regexp_replace(whole, "-", "")) >= 5, grouped).otherwise(whole), F.lit(","), frac)
+
+
+def mmss(seconds: Column) -> Column:
+    return F.format_string("%02d:%02d", (seconds / 60).cast("long"), (seconds % 60).cast("long"))
+
+
+def slug(x: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(fold(x), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+
+
+def year_of(x: Column) -> Column:
+    return F.regexp_extract(x, r"20\d{2}", 0).try_cast("int") if hasattr(Column, "try_cast") else F.regexp_extract(x, r"20\d{2}", 0).cast("int")
+
+
+def document_id(path: Column) -> Column:
+    return F.substring(F.sha1(path), 1, 12)
+
+
+def cache_key(content: Column) -> Column:
+    return F.substring(F.sha2(content, 256), 1, 16)
+
+
+def seeded_order(seed: str, *key: str) -> list[Column]:
+    """A reproducible shuffle: order by the hash of seed and key, then by the key."""
+    return [F.md5(F.concat_ws(":", F.lit(seed), *[F.col(k).cast("string") for k in key])), *[F.col(k) for k in key]]
