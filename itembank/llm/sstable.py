@@ -18,7 +18,10 @@ Keys are bytes that sort as their identifiers do: a null identifier before all o
 from __future__ import annotations
 
 import bisect
+import heapq
+import pickle
 import struct
+import tempfile
 import zlib
 from collections.abc import Iterator
 
@@ -126,6 +129,37 @@ class Writer:
         self.out.write(head)
 
 
+class Runs:
+    """Entries to be sorted: in memory up to a bound, beyond it in sorted runs in scratch files."""
+
+    def __init__(self, most: int = 64 << 20):
+        self.most, self.held = most, 0
+        self.rows: list[tuple[bytes, bytes]] = []
+        self.files: list = []
+
+    def add(self, key: bytes, value: bytes) -> None:
+        self.rows.append((key, value))
+        self.held += len(value) + 100
+        if self.held >= self.most:
+            f = tempfile.TemporaryFile()
+            for row in sorted(self.rows):
+                pickle.dump(row, f)
+            f.seek(0)
+            self.files.append(f)
+            self.rows, self.held = [], 0
+
+    def in_order(self) -> Iterator[tuple[bytes, bytes]]:
+        def read(f):
+            while True:
+                try:
+                    yield pickle.load(f)
+                except EOFError:
+                    f.close()
+                    return
+
+        return heapq.merge(*map(read, self.files), sorted(self.rows))
+
+
 class Reader:
     """Reads a shard from a file that can seek."""
 
@@ -194,7 +228,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, directory: str, i
     """Encode whole texts, append ``end_id`` to each and write shards into ``directory``.
 
     Documents are dealt by ranges of their identifier, so shard numbers ascend as identifiers do;
-    equal identifiers are ordered by their text. Null texts are empty: only ``end_id``. A null
+    equal identifiers are ordered by their ids. Null texts are empty: only ``end_id``. A null
     identifier sorts first. Returns the manifest, one row for each shard. A task that runs again
     writes a file of its own; the manifest names those of the tasks that were committed.
     """
@@ -205,25 +239,26 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, directory: str, i
         ctx, enc = TaskContext.get(), encoder(tokenizer)
         dtype = enc.dtype if end_id <= np.iinfo(enc.dtype).max else np.dtype("<u4")
         end = np.array([end_id], dtype).tobytes()
-        out = writer = None
-        path = f"{directory}/shard-{ctx.partitionId():06d}-{ctx.taskAttemptId()}.sst"
+        runs = Runs()
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if writer is None:
-                    store, name = fs.FileSystem.from_uri(path)
-                    store.create_dir(name.rsplit("/", 1)[0], recursive=True)
-                    out = store.open_output_stream(name, compression=None)
-                    writer = Writer(out, dtype.itemsize)
-                writer.add(key_of(doc_id), enc.ids(text).astype(dtype, copy=False).tobytes() + end)
-        if writer:
+                runs.add(key_of(doc_id), enc.ids(text).astype(dtype, copy=False).tobytes() + end)
+        if not runs.rows and not runs.files:
+            return
+        path = f"{directory}/shard-{ctx.partitionId():06d}-{ctx.taskAttemptId()}.sst"
+        store, name = fs.FileSystem.from_uri(path)
+        store.create_dir(name.rsplit("/", 1)[0], recursive=True)
+        with store.open_output_stream(name, compression=None) as out:
+            writer = Writer(out, dtype.itemsize)
+            for key, value in runs.in_order():
+                writer.add(key, value)
             writer.close()
-            out.close()
-            row = [ctx.partitionId(), path, len(writer.keys), writer.n_ids, id_of(writer.keys[0]), id_of(writer.keys[-1])]
-            kinds = [pa.int32(), pa.string(), *[pa.int64()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["shard", "path", "n_docs", "n_tokens", "first_id", "last_id"])
+        row = [ctx.partitionId(), path, len(writer.keys), writer.n_ids, id_of(writer.keys[0]), id_of(writer.keys[-1])]
+        kinds = [pa.int32(), pa.string(), *[pa.int64()] * 4]
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["shard", "path", "n_docs", "n_tokens", "first_id", "last_id"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    dealt = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
+    dealt = rows.repartitionByRange(F.col("doc_id").asc_nulls_first())
     return shared.written(dealt.mapInArrow(run, MANIFEST), "manifest")
 
 
