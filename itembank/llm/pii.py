@@ -201,8 +201,11 @@ def find(docs: DataFrame) -> DataFrame:
     cands = shared.written(candidates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).select("doc_id", "cands"), "candidates")
     model = fit(cands)
     df = cands.withColumn("s", decided(F.col("cands"), model)).withColumn("b", F.filter("s", lambda c: c["base"]))
-    n = {f"n_{k}": F.size(F.filter("b", lambda c, i=i: c["kind"] == i)).cast("long") for i, k in enumerate(KINDS[:BASE])}
-    return df.select("doc_id", *[c.alias(k) for k, c in n.items()], F.sha2(_spelt(F.col("b")).cast("binary"), 256).alias("base_sha256"), _spelt(F.col("s")).alias("spans"), (F.size("s") - F.size("b")).cast("long").alias("n_added"))
+
+    def of_kind(i: int) -> Column:
+        return F.size(F.filter("b", lambda c: c["kind"] == i)).cast("long").alias(f"n_{KINDS[i]}")
+
+    return df.select("doc_id", *map(of_kind, range(BASE)), F.sha2(_spelt(F.col("b")).cast("binary"), 256).alias("base_sha256"), _spelt(F.col("s")).alias("spans"), (F.size("s") - F.size("b")).cast("long").alias("n_added"))
 
 
 def redacted(docs: DataFrame) -> DataFrame:
