@@ -53,31 +53,23 @@ def template_bigrams(text: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(w, w[1:], strict=False))) or w
 
 
-def anchor_words(sets: list[list[str]], threshold: float = THRESHOLD) -> list[str]:
-    """Words of which every text that matches some template contains at least one.
+def anchors(sets: list[list[str]], threshold: float = THRESHOLD) -> list[str]:
+    """Bigrams of which every text that matches some template contains at least one.
 
-    ``Dice >= t`` needs ``t / (2 - t)`` of a template's bigrams at least. So if chosen words occur in
-    more of its bigrams than may be missing, a match has one of them. Chosen greedily, long words
-    that serve many templates first.
+    ``Dice >= t`` needs ``t / (2 - t)`` of a template's bigrams at least, so of any set of more than
+    the rest a match has one. Long bigrams that serve many templates are taken first.
     """
-    open_sets = []
+    share: dict[str, int] = {}
+    for s in sets:
+        for b in s:
+            share[b] = share.get(b, 0) + 1
+    chosen: set[str] = set()
     for s in sets:
         least = -int(-(threshold * len(s) / (2 - threshold) - 1e-9) // 1)
-        open_sets.append([len(s) - least + 1, set(s)])
-    chosen: list[str] = []
-    while any(need > 0 for need, _ in open_sets):
-        gain: dict[str, int] = {}
-        for need, left in open_sets:
-            if need > 0:
-                for w in {w for b in left for w in b.split()}:
-                    gain[w] = gain.get(w, 0) + min(need, sum(w in b.split() for b in left))
-        best = max(sorted(gain), key=lambda w: gain[w] * len(w) ** 2)
-        chosen.append(best)
-        for x in open_sets:
-            hit = {b for b in x[1] if best in b.split()}
-            x[0] -= len(hit)
-            x[1] -= hit
-    return chosen
+        have = [b for b in s if b in chosen]
+        rest = sorted((b for b in s if b not in chosen), key=lambda b: (-share[b] * len(b), b))
+        chosen.update(rest[: max(0, len(s) - least + 1 - len(have))])
+    return sorted(chosen)
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -92,23 +84,17 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
     spread = (2 - threshold) / threshold
     lo, hi = min(len(s) for _, s in sets) / spread, max(len(s) for _, s in sets) * spread
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    anchors = anchor_words([s for _, s in sets], threshold)
-
-    def may_match(x: Column) -> Column:
-        low, out = F.lower(x), F.lit(False)
-        for w in anchors:
-            out = out | low.contains(w)
-        return out
-
-    docs = docs.where(may_match(text))
     lines = F.split(text, "\n", -1)
     units = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lines.alias("lines"), text.alias("text"))
     units = units.select("doc_id", F.posexplode(F.concat(F.array(F.when(F.size("lines") > 1, F.col("text")).otherwise(F.lit(""))), "lines")).alias("line_no", "line"))
-    units = units.where(may_match(F.col("line")))
     # a set of n bigrams takes n words of a character and blanks, unless it is a single word
     units = units.where(F.length("line") >= (2 * lo if lo > 1 else 1)).select("doc_id", "line_no", normalized(F.col("line")).alias("norm"))
     words = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
     units = units.where((F.col("norm") != "") & (words >= (lo + 1 if lo > 1 else 1)))
+    may_match = F.lit(False)
+    for b in anchors([s for _, s in sets], threshold):
+        may_match = may_match | F.col("norm").contains(b)
+    units = units.where(may_match)
     every = sorted({b for _, s in sets for b in s})
     units = units.select("doc_id", "line_no", bigrams(F.col("norm")).alias("b"))
     units = units.where((F.size("b") >= lo - 1e-9) & (F.size("b") <= hi + 1e-9) & F.arrays_overlap("b", F.array(*[F.lit(x) for x in every])))
