@@ -173,6 +173,7 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     """
     kept = identify(docs)
     rejected = kept.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept and doc_id is not null").select("doc_id")
+    rejected = shared.written(rejected, "rejected")  # its size is known then, so few ids don't cost a shuffle of the texts
     return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
 
 
