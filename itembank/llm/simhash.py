@@ -185,17 +185,23 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def _candidate_links(reps: DataFrame) -> DataFrame:
-    """Links between documents that collide in some table and whose sketches are close.
+def _candidate_links(reps: DataFrame, chosen: range, known: DataFrame | None = None) -> DataFrame:
+    """Links between documents that collide in a table of the ``chosen`` sketches and are close.
+
+    Members that ``known`` components join with the bucket's smallest one already need no link.
 
     A bucket's members are held against its smallest one; those that aren't close to it form a
     bucket of their own, again and again until none has two members, so no bucket is capped and
     none makes all its pairs.
     """
-    tables = [F.struct(F.lit(s * 1000 + i).alias("t"), F.col(f"s{s}").bitwiseAND(F.lit(signed(m))).alias("k")) for s in range(SKETCHES) for i, m in enumerate(covering_masks(SKETCH_RADIUS))]
-    keys = reps.select("node", F.explode(F.array(*[F.xxhash64(x) for x in tables])).alias("k"))
-    full = keys.groupBy("k").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    bucket = shared.written(keys.join(full, "k").where("node > lead").select("k", "node", "lead"), "buckets")
+    tables = [F.struct(F.lit(s * 1000 + i).alias("t"), F.col(f"s{s}").bitwiseAND(F.lit(signed(m))).alias("k")) for s in chosen for i, m in enumerate(covering_masks(SKETCH_RADIUS))]
+    rows = reps.withColumn("comp", F.col("node"))
+    if known is not None:
+        rows = reps.join(known, "node", "left").withColumn("comp", F.coalesce("component", "node"))
+    keys = rows.select("node", "comp", F.explode(F.array(*[F.xxhash64(x) for x in tables])).alias("k"))
+    full = keys.groupBy("k").agg(F.min(F.struct("node", "comp")).alias("first"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("n > 1 and low < high")
+    bucket = keys.join(full.select("k", "first"), "k").where("comp <> first.comp").select("k", "node", F.col("first.node").alias("lead"))
+    bucket = shared.written(bucket, "buckets")
     found = None
     away = F.lit(0)
     for c in SKETCH_COLS:
@@ -262,14 +268,22 @@ def near_duplicate_groups(docs: DataFrame, block: int = 256) -> DataFrame:
     sk = shared.written(sketches(docs.where("doc_id is not null")), "sketches")
     nodes = sk.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.max("n_words").alias("n_words"), *[F.max(c).alias(c) for c in SKETCH_COLS])
     reps = shared.written(nodes, "nodes")
-    groups = shared.written(shared.connected_components(_candidate_links(reps.where("n_words > 0"))), "groups")
+    some = reps.where("n_words > 0")
+    half = (SKETCHES + 1) // 2
+    known = None
+    for chosen in (range(half), range(half, SKETCHES)):
+        more = _candidate_links(some, chosen, known)
+        if known is not None:  # a component's members stay linked to its smallest
+            more = more.union(known.where("node > component").select("node", "component"))
+        known = shared.written(shared.connected_components(more), "groups")
+    groups = known
     sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     member = groups.join(sizes, "component").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # block i meets every block j: as (i, j) with i <= j; side tells which of the two a row belongs to
     dealt = member.select("node", "component", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")).select(
         "node", "component", F.least("i", "o").alias("p"), F.greatest("i", "o").alias("q"), (F.col("i") > F.col("o")).cast("int").alias("side"))
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(groups.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    texts = texts.join(groups.select("node").hint("merge"), "node", "left_semi").dropDuplicates(["node"])
     links = dealt.join(texts, "node").groupBy("component", "p", "q").applyInArrow(_linked, "a long, b long")
     comp = shared.connected_components(links)
     by_text = reps.join(comp, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component_id"))
@@ -283,7 +297,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     groups = near_duplicate_groups(docs)
     kept = shared.written(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("copies")), "kept")
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
+    out = docs.join(kept.select("doc_id").hint("merge"), "doc_id", "left_semi")
     if not kept.where("copies > 1").isEmpty():
         out = out.dropDuplicates(["doc_id"])
     return out.select(*docs.columns).unionByName(docs.where("doc_id is null"))
