@@ -86,9 +86,10 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = F.split(text, "\n", -1)
     units = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lines.alias("lines"), text.alias("text"))
-    units = units.select("doc_id", F.posexplode(F.concat(F.array(F.when(F.size("lines") > 1, F.col("text")).otherwise(F.lit(""))), "lines")).alias("line_no", "line"))
-    # a set of n bigrams takes n words of a character and blanks, unless it is a single word
-    units = units.where(F.length("line") >= (2 * lo if lo > 1 else 1)).select("doc_id", "line_no", normalized(F.col("line")).alias("norm"))
+    # normalised inside the generator, whose output later filters read without computing it again
+    every_unit = F.concat(F.array(F.when(F.size("lines") > 1, F.col("text")).otherwise(F.lit(""))), F.col("lines"))
+    units = units.select("doc_id", F.posexplode(F.transform(every_unit, normalized)).alias("line_no", "norm"))
+    # a set of n bigrams takes n + 1 words, unless it is a single word
     words = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
     units = units.where((F.col("norm") != "") & (words >= (lo + 1 if lo > 1 else 1)))
     may_match = F.lit(False)
