@@ -4,15 +4,13 @@ Every bit position gets a non-zero vector of ``radius + 1`` bits; table ``v`` ke
 whose vector has an odd product with ``v``. At most ``radius`` differing positions span less than
 the whole space, so some ``v`` is orthogonal to all of them: the pair collides in that table.
 
-Two operators share the tables. :func:`fingerprint_components` links fingerprints by Hamming
-distance alone. :func:`near_duplicate_groups` uses the tables to find candidates and decides by
-the exact Jaccard similarity of five-word shingles.
+:func:`fingerprint_components` links fingerprints by Hamming distance alone.
+:func:`near_duplicate_groups` finds candidates by MinHash signatures of the sets of five-word
+shingles and decides by the exact Jaccard similarity of those sets.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -24,12 +22,14 @@ from . import shared
 #: Words of the shingles and the seed of their XXH64, as the fingerprint's definition has them.
 SHINGLE_WORDS = 3
 SEED = 42
-#: Near-duplicate groups: independent 64-bit sketches of a document's words, the radius within
-#: which one of them has to agree, the most bits of all sketches that may differ for a candidate
-#: (a filter against chance collisions), words of a shingle, and the similarity that decides.
-SKETCHES = 6
-SKETCH_RADIUS = 3
-SKETCH_BITS = 68
+#: Near-duplicate groups: hash functions of a MinHash signature over the set of shingles, how many of
+#: them make a table's key, how many must agree for a candidate, words of a shingle, and the
+#: similarity that decides. A pair of similarity 0.8 shares no table in ``(1 - 0.8 ** 4) ** 32``, one
+#: of twenty million, and has less than 78 of 128 agree (four bits of each are compared) in fewer;
+#: this holds for each pair, however the one text came from the other.
+HASHES = 128
+KEY_HASHES = 4
+LEAST_AGREEING = 78
 NEAR_WORDS = 5
 NEAR_SIMILARITY = 0.8
 
@@ -135,85 +135,78 @@ def fingerprint_components(docs: DataFrame, radius: int = 2) -> DataFrame:
 # Groups of near-duplicates: candidates by the tables, decisions by exact similarity.
 
 
-class Sketcher:
-    """SimHashes of the words, each weighted by the root of its count, so that a few frequent words
-    don't make all texts of a language alike; hashes of words are kept (a bounded memo)."""
+TABLES = HASHES // KEY_HASHES
+SIGN_COLS = [f"s{i}" for i in range(HASHES // 16)]
+KEY_COLS = [f"k{i}" for i in range(TABLES)]
+_MULTIPLY, _ADD = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 32, (2, HASHES), dtype=np.uint32) | np.array([[1], [0]], np.uint32)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
-    def __init__(self, most: int = 100_000):
-        self.memo: dict[bytes, bytes] = {}
-        self.most = most
 
-    def __call__(self, words: list[bytes]) -> list[int]:
-        if not words:
-            return [0] * SKETCHES
-        memo, count = self.memo, {}
-        for w in words:
-            count[w] = count.get(w, 0) + 1
-        if len(memo) > self.most:
-            memo.clear()
-        for w in count:
-            if w not in memo:
-                memo[w] = hashlib.blake2b(w, digest_size=8 * SKETCHES).digest()
-        total, weights = np.zeros(64 * SKETCHES, np.float32), np.sqrt(np.fromiter(count.values(), np.float32, len(count)))
-        keys = list(count)
-        for i in range(0, len(keys), 4096):
-            part = keys[i : i + 4096]
-            bits = np.unpackbits(np.frombuffer(b"".join([memo[w] if w in memo else hashlib.blake2b(w, digest_size=8 * SKETCHES).digest() for w in part]), np.uint8).reshape(len(part), -1), axis=1)
-            total += weights[i : i + 4096] @ bits
-        return [signed(int(x)) for x in np.packbits(total * 2 > float(weights.sum())).view("<u8")]
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """The smallest value of the set under each of the hash functions; repeats don't matter."""
+    h, low = (hashes >> np.uint64(32)).astype(np.uint32), np.full(HASHES, (1 << 32) - 1, np.uint32)
+    for i in range(0, len(h), 256):
+        np.minimum(low, (h[i : i + 256, None] * _MULTIPLY + _ADD).min(axis=0), out=low)
+    return low
 
 
-SKETCH_COLS = [f"s{i}" for i in range(SKETCHES)]
+def sign_row(low: np.ndarray) -> list[int]:
+    """A signature as the values of :data:`SIGN_COLS` (four bits a function) and :data:`KEY_COLS`."""
+    x = low * np.uint32(0x9E3779B1)
+    x = ((x ^ x >> np.uint32(15)) * np.uint32(0x85EBCA6B) >> np.uint32(28)).astype(np.uint8)
+    signs = (x[::2] << 4 | x[1::2]).view("<i8")
+    k = np.arange(TABLES, dtype=np.uint64)
+    for m in low.reshape(TABLES, KEY_HASHES).T.astype(np.uint64):
+        k = (k ^ m) * _MIX
+        k ^= k >> np.uint64(29)
+    return signs.tolist() + k.view("<i8").tolist()
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``h1``, ``h2`` (hash of the words in order), ``n_words`` and the sketches."""
+def signatures(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``h1``, ``h2`` (hash of the words in order), ``n_words``, signs and keys."""
     shared.small_batches(docs.sparkSession)
-    schema = "doc_id long, h1 long, h2 long, n_words long, " + ", ".join(f"{c} long" for c in SKETCH_COLS)
+    names = ["doc_id", "h1", "h2", "n_words", *SIGN_COLS, *KEY_COLS]
 
     def run(batches):
-        sketch = Sketcher()
         for b in batches:
             rows = []
             for t in b.column(1).cast(pa.binary()).to_pylist():
                 words = (t or b"").lower().split()
                 h = xxhash.xxh128_intdigest(b" ".join(words), SEED)
-                rows.append([signed(h >> 64), signed(h & (1 << 64) - 1), len(words), *sketch(words)])
-            cols = list(zip(*rows)) or [()] * (3 + SKETCHES)
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in cols]], names=["doc_id", "h1", "h2", "n_words", *SKETCH_COLS])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
-
+                rows.append([signed(h >> 64), signed(h & (1 << 64) - 1), len(words), *sign_row(signature(shingle_hashes(words, NEAR_WORDS)))])
+            cols = list(zip(*rows)) or [()] * (len(names) - 1)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in cols]], names=names)
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def _close(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """``pairs`` (``node``, ``lead``) with ``close``: enough of their signatures agree."""
+    unlike = F.lit(0)
+    for c in SIGN_COLS:
+        d = F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
+        unlike = unlike + F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseAND(F.lit(0x1111111111111111)))
+    return (
+        pairs.join(reps.select("node", F.struct(*SIGN_COLS).alias("x")), "node")
+        .join(reps.select(F.col("node").alias("lead"), F.struct(*SIGN_COLS).alias("y")), "lead")
+        .select("node", "lead", (unlike <= HASHES - LEAST_AGREEING).alias("close"))
+    )
 
-def _candidate_links(reps: DataFrame, chosen: range, known: DataFrame | None = None) -> DataFrame:
-    """Links between documents that collide in a table of the ``chosen`` sketches and are close.
 
-    Members that ``known`` components join with the bucket's smallest one already need no link.
+def _candidate_links(reps: DataFrame) -> DataFrame:
+    """Links between documents that collide in a table and are close.
 
     A bucket's members are held against its smallest one; those that aren't close to it form a
     bucket of their own, again and again until none has two members, so no bucket is capped and
     none makes all its pairs.
     """
-    tables = [F.struct(F.lit(s * 1000 + i).alias("t"), F.col(f"s{s}").bitwiseAND(F.lit(signed(m))).alias("k")) for s in chosen for i, m in enumerate(covering_masks(SKETCH_RADIUS))]
-    rows = reps.withColumn("comp", F.col("node"))
-    if known is not None:
-        rows = reps.join(known, "node", "left").withColumn("comp", F.coalesce("component", "node"))
-    keys = rows.select("node", "comp", F.explode(F.array(*[F.xxhash64(x) for x in tables])).alias("k"))
-    full = keys.groupBy("k").agg(F.min(F.struct("node", "comp")).alias("first"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("n > 1 and low < high")
-    bucket = keys.join(full.select("k", "first"), "k").where("comp <> first.comp").select("k", "node", F.col("first.node").alias("lead"))
-    bucket = shared.written(bucket, "buckets")
+    keys = reps.select("node", F.explode(F.array(*KEY_COLS)).alias("k"))
+    full = keys.groupBy("k").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1").select("k", "lead")
+    bucket = shared.written(keys.join(full, "k").where("node > lead").select("k", "node", "lead"), "buckets")
     found = None
-    away = F.lit(0)
-    for c in SKETCH_COLS:
-        away = away + F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")))
     while True:
-        pairs = bucket.select("node", "lead").distinct()
-        close = (
-            pairs.join(reps.select("node", F.struct(*SKETCH_COLS).alias("x")), "node")
-            .join(reps.select(F.col("node").alias("lead"), F.struct(*SKETCH_COLS).alias("y")), "lead")
-            .select("node", "lead", (away <= SKETCH_BITS).alias("close"))
-        )
-        close = shared.written(close, "close")
+        close = shared.written(_close(bucket.select("node", "lead").distinct(), reps), "close")
         links = close.where("close").select(F.col("node").alias("a"), F.col("lead").alias("b"))
         found = links if found is None else found.union(links)
         rest = bucket.join(close.where("not close").select("node", "lead"), ["node", "lead"], "left_semi").select("k", "lead", "node")
@@ -260,23 +253,15 @@ def near_duplicate_groups(docs: DataFrame, block: int = 256) -> DataFrame:
 
     Documents link when their words are equal or the Jaccard similarity of their sets of
     five-word shingles is at least 0.8 (fewer words: the whole is one shingle). Candidates come
-    from covering tables over :data:`SKETCHES` sketches of the word counts, radius
-    :data:`SKETCH_RADIUS`; groups of candidates are compared exactly, in blocks of about ``block``
-    documents. Documents without words form one group. Null ids are left out; repeated rows
-    come out repeated.
+    from MinHash signatures of those sets, so that a pair's chance to be found depends on that
+    similarity only (see :data:`HASHES`); groups of candidates are compared exactly, in blocks of
+    about ``block`` documents. Documents without words form one group. Null ids are left out;
+    repeated rows come out repeated.
     """
-    sk = shared.written(sketches(docs.where("doc_id is not null")), "sketches")
-    nodes = sk.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.max("n_words").alias("n_words"), *[F.max(c).alias(c) for c in SKETCH_COLS])
+    sk = shared.written(signatures(docs.where("doc_id is not null")), "signatures")
+    nodes = sk.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), *[F.max(c).alias(c) for c in ("n_words", *SIGN_COLS, *KEY_COLS)])
     reps = shared.written(nodes, "nodes")
-    some = reps.where("n_words > 0")
-    half = (SKETCHES + 1) // 2
-    known = None
-    for chosen in (range(half), range(half, SKETCHES)):
-        more = _candidate_links(some, chosen, known)
-        if known is not None:  # a component's members stay linked to its smallest
-            more = more.union(known.where("node > component").select("node", "component"))
-        known = shared.written(shared.connected_components(more), "groups")
-    groups = known
+    groups = shared.written(shared.connected_components(_candidate_links(reps.where("n_words > 0"))), "groups")
     sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     member = groups.join(sizes, "component").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # block i meets every block j: as (i, j) with i <= j; side tells which of the two a row belongs to

@@ -274,6 +274,23 @@ def test_near_duplicates(spark, docs, hard):
     assert {10, 0} <= {r["doc_id"] for r in kept.collect()} and kept.where("doc_id in (11, 12, 1, 2)").count() == 0 and kept.where("doc_id = 5").count() == 1
 
 
+def test_near_duplicates_of_any_kind(spark):
+    rng = np.random.default_rng(5)
+    rows, pairs = [], []
+    for kind in ("longer", "shorter", "repeated"):
+        for size in [60, 200, 1000] * 8:
+            w = [f"w{int(x)}" for x in rng.zipf(1.3, size) % 50_000]
+            more = [f"rare{int(x)}" for x in rng.integers(0, 10**9, size // 5)]
+            text = {"longer": w + more, "shorter": w[: size * 5 // 6], "repeated": w + w[:20] * (size // 6)}[kind]
+            a, b = (set(simhash.shingles([x.encode() for x in t], 5)) for t in (w, text))
+            if len(a & b) >= 0.8 * len(a | b):
+                pairs.append(len(rows))
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(text))]
+    assert len(pairs) > 50
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i + 1] for i in pairs] == pairs
+
+
 # 7
 
 
