@@ -194,27 +194,52 @@ def _close(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     )
 
 
-def _candidate_links(reps: DataFrame) -> DataFrame:
-    """Links between documents that collide in a table and are close.
-
-    A bucket's members are held against its smallest one; those that aren't close to it form a
-    bucket of their own, again and again until none has two members, so no bucket is capped and
-    none makes all its pairs.
+def _crossing(group):
+    """Links found between two blocks of a bucket (or within one): each joins two components."""
+    node, comp, side = (group.column(c).to_numpy() for c in ("node", "component", "side"))
+    signs = np.stack([group.column(c).to_numpy() for c in SIGN_COLS], axis=1).view(np.uint64)
+    x, y = (side == 0, side == 1) if side.any() else (side == 0, side == 0)
+    unlike = np.zeros((int(x.sum()), int(y.sum())), np.uint8)
+    for a, b in zip(signs[x].T, signs[y].T, strict=True):
+        d = a[:, None] ^ b[None, :]
+        d |= d >> np.uint64(1)
+        d |= d >> np.uint64(2)
+        unlike += np.bitwise_count(d & np.uint64(0x1111111111111111))
+    i, j = np.nonzero((unlike <= HASHES - LEAST_AGREEING) & (comp[x][:, None] != comp[y][None, :]))
+    links = {(max(a, b), min(a, b)) for a, b in zip(comp[x][i].tolist(), comp[y][j].tolist(), strict=True)}
+    return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+
+def _dealt(members: DataFrame, *cols: str) -> DataFrame:
+    """``cols`` and ``p``, ``q``, ``side``: block ``i`` of ``blocks`` meets every block ``j``, as ``(i, j)``
+    with ``i <= j``; ``side`` tells which of the two a row belongs to."""
+    met = members.select(*cols, "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+    return met.select(*cols, F.least("i", "o").alias("p"), F.greatest("i", "o").alias("q"), (F.col("i") > F.col("o")).cast("int").alias("side"))
+
+
+def _candidate_links(reps: DataFrame, small: int = 32, block: int = 256) -> DataFrame:
+    """Links that join all documents which collide in a table and are close.
+
+    A bucket's members are held against its smallest one first, which joins nearly all copies.
+    Where the others then belong to several components, those of different components are held
+    against each other: pair by pair for up to ``small`` members, by pairs of blocks for more. So
+    every pair that collides is decided, unless it is joined already, and no bucket is capped.
     """
     keys = reps.select("node", F.explode(F.array(*KEY_COLS)).alias("k"))
-    full = keys.groupBy("k").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1").select("k", "lead")
-    bucket = shared.written(keys.join(full, "k").where("node > lead").select("k", "node", "lead"), "buckets")
-    found = None
-    while True:
-        close = shared.written(_close(bucket.select("node", "lead").distinct(), reps), "close")
-        links = close.where("close").select(F.col("node").alias("a"), F.col("lead").alias("b"))
-        found = links if found is None else found.union(links)
-        rest = bucket.join(close.where("not close").select("node", "lead"), ["node", "lead"], "left_semi").select("k", "lead", "node")
-        full = rest.groupBy("k", "lead").agg(F.min("node").alias("next"), F.count("*").alias("n")).where("n > 1")
-        # the bucket's key takes the leader in, so that what is left of it stays apart
-        bucket = shared.written(rest.join(full, ["k", "lead"]).where("node > next").select(F.xxhash64("k", "lead").alias("k"), "node", F.col("next").alias("lead")), "buckets")
-        if bucket.isEmpty():
-            return found.distinct()
+    full = keys.groupBy("k").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1")
+    bucket = shared.written(keys.join(full, "k").where("node > lead").select("k", "node", "lead", "n"), "buckets")
+    close = _close(bucket.select("node", "lead").distinct(), reps).where("close")
+    known = shared.written(shared.connected_components(close.select(F.col("node").alias("a"), F.col("lead").alias("b"))), "groups")
+    rest = bucket.where("n > 2").join(known, "node", "left").select("k", "node", F.coalesce("component", "node").alias("component"))
+    split = rest.groupBy("k").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low < high").select("k", "members")
+    rest = shared.written(rest.join(split, "k"), "split")
+    few = rest.where(F.col("members") <= small).select("k", "node", "component")
+    pairs = few.join(few.select("k", F.col("node").alias("lead"), F.col("component").alias("other")), "k").where("component > other")
+    pairs = shared.written(pairs.select("node", "lead", "component", "other").distinct(), "pairs")
+    one = _close(pairs.select("node", "lead"), reps).where("close").join(pairs, ["node", "lead"]).select(F.col("component").alias("a"), F.col("other").alias("b"))
+    many = rest.where(F.col("members") > small).withColumn("blocks", F.ceil(F.col("members") / block).cast("int")).withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    two = _dealt(many, "k", "node", "component").join(reps.select("node", *SIGN_COLS), "node").groupBy("k", "p", "q").applyInArrow(_crossing, "a long, b long")
+    return known.where("node > component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(one).union(two)
 
 
 def _linked(group):
@@ -264,9 +289,7 @@ def near_duplicate_groups(docs: DataFrame, block: int = 256) -> DataFrame:
     groups = shared.written(shared.connected_components(_candidate_links(reps.where("n_words > 0"))), "groups")
     sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     member = groups.join(sizes, "component").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # block i meets every block j: as (i, j) with i <= j; side tells which of the two a row belongs to
-    dealt = member.select("node", "component", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")).select(
-        "node", "component", F.least("i", "o").alias("p"), F.greatest("i", "o").alias("q"), (F.col("i") > F.col("o")).cast("int").alias("side"))
+    dealt = _dealt(member, "node", "component")
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
     texts = texts.join(groups.select("node").hint("merge"), "node", "left_semi").dropDuplicates(["node"])
     links = dealt.join(texts, "node").groupBy("component", "p", "q").applyInArrow(_linked, "a long, b long")

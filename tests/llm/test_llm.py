@@ -291,6 +291,19 @@ def test_near_duplicates_of_any_kind(spark):
     assert [got[i + 1] for i in pairs] == pairs
 
 
+def test_members_of_a_bucket_meet(spark):
+    # those in the middle are close to the first of their bucket and to the last ones; the last ones aren't close to the first
+    rows = []
+    for start, n in ((0, 1), (1000, 400)):
+        for i in range(1 + 2 * n):
+            unlike = 0 if i == 0 else 40 if i <= n else 80
+            nibbles = "1" * unlike + "0" * (128 - unlike)
+            rows.append((start + i, *[int(nibbles[j : j + 16], 16) for j in range(0, 128, 16)], start, *[-(start + i) * 100 - j - 1 for j in range(len(simhash.KEY_COLS) - 1)]))
+    reps = spark.createDataFrame(rows, ", ".join(f"{c} long" for c in ["node", *simhash.SIGN_COLS, *simhash.KEY_COLS]))
+    got = {r["node"]: r["component"] for r in shared.connected_components(simhash._candidate_links(reps)).collect()}
+    assert got == {r[0]: 1000 * (r[0] >= 1000) for r in rows}
+
+
 # 7
 
 
