@@ -30,7 +30,7 @@ VERSION_START = b"WARC/1."
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads shorter than this are always written in full.
 LEAST_REVISIT = 100
-#: A header block longer than this is damage; reads are of so many bytes.
+#: In a plain archive, a header block longer than this is damage; reads are of so many bytes.
 MOST_HEADER, CHUNK = 1 << 16, 1 << 20
 #: Records of a decompressed member larger than this are damage, not data.
 MOST_RECORD = 1 << 31
@@ -67,11 +67,11 @@ def gzip_member(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def parse_record(data: bytes) -> tuple[dict[str, str], bytes, int]:
+def parse_record(data: bytes, most_header: int | None = None) -> tuple[dict[str, str], bytes, int]:
     """Headers, block and length of the record that ``data`` starts with; raises :class:`Damage`."""
     if not data.startswith(VERSIONS):
         raise Damage("no version line")
-    end = data.find(b"\r\n\r\n", 0, MOST_HEADER)
+    end = data.find(b"\r\n\r\n", 0, most_header)
     if end < 0:
         raise Damage("no end of the header block")
     head: dict[str, str] = {}
@@ -115,7 +115,7 @@ class _Window:
 
 def _member(w: _Window) -> tuple[bytes, int]:
     """The content and stored length of the gzip member at the window's start."""
-    z, out, used, size = zlib.decompressobj(31), [], 0, 0
+    z, out, start, used, size = zlib.decompressobj(31), [], b"", 0, 0
     while not z.eof:
         if used >= len(w.buf) and not w.need(used + 1):
             raise Damage("the member is cut off")
@@ -126,7 +126,8 @@ def _member(w: _Window) -> tuple[bytes, int]:
             raise Damage(str(e)) from None
         used += len(part) - len(z.unused_data)
         size += len(out[-1])
-        if size > MOST_RECORD or (out and size >= 7 and not b"".join(out[:1])[:7] == VERSION_START[:7]):
+        start += out[-1][: len(VERSION_START) - len(start)]  # pieces can be short or empty
+        if size > MOST_RECORD or not VERSION_START.startswith(start):
             raise Damage("no record in the member")
     return b"".join(out), used
 
@@ -136,7 +137,7 @@ def _plain(w: _Window) -> tuple[bytes, int]:
     while True:
         w.need(n)
         try:
-            _, _, used = parse_record(w.buf)
+            _, _, used = parse_record(w.buf, MOST_HEADER)
             return w.buf[:used], used
         except Damage as e:
             if str(e) != "short block" or len(w.buf) < n or n >= MOST_RECORD:

@@ -172,6 +172,24 @@ def test_salvage(zipped):
         assert [g[1] for g in got if g[0] == "gap"] == [sum(map(len, p[: 4 if damage == "tail" else 2]))]
 
 
+def test_salvage_across_reads(monkeypatch):
+    def archive(sizes):
+        rng = np.random.default_rng(1)
+        recs = [warc.build_record(i, "http://x", rng.bytes(n), hashlib.sha256(b"%d" % i).hexdigest(), None) for i, n in enumerate(sizes)]
+        return b"".join(map(warc.gzip_member, recs))
+
+    for chunk, sizes in ((1 << 20, [(1 << 20) - 440 - d for d in range(0, 90, 15)]), (1000, range(300, 1700))):
+        monkeypatch.setattr(warc, "CHUNK", chunk)
+        for part in [[n, 500] for n in sizes] if chunk > 1000 else [sizes]:
+            data = archive(part)
+            assert [(g[0], g[3]["x-page-id"]) for g in warc.salvage(io.BytesIO(data), len(data))] == [("record", str(i)) for i in range(len(part))]
+
+
+def test_long_address():
+    data = warc.gzip_member(warc.build_record(1, "http://x/" + "a" * 100_000, b"text", "0", None))
+    assert [g[0] for g in warc.salvage(io.BytesIO(data), len(data))] == ["record"]
+
+
 # 4
 
 
