@@ -1,6 +1,6 @@
 """Benchmark decontamination: item-sized windows of documents held against benchmark items.
 
-A window of as many words as an item has is fingerprinted by SimHash over its weighted word
+A window of as many words as an item has (the whole document, if it has fewer) is fingerprinted by SimHash over its weighted word
 shingles. Fingerprints are looked up in an index of Hamming blocks: ``radius + 1`` blocks of the 64
 bits, so that by the pigeonhole principle every item within ``radius`` bits agrees with the window
 in some block. Candidates are verified by the exact weighted Jaccard similarity of the shingles.
@@ -127,7 +127,7 @@ class Index:
                 for i in self.owners.get(tuple(ids[p : p + s].tolist()), ()):
                     size, k = self.items[i][1:]
                     if k == s:
-                        spans[size, k].update(range(max(0, p + k - size), min(p, n - size) + 1))
+                        spans[size, k].update(range(max(0, p + k - size), min(p, max(0, n - size)) + 1))
         best: dict[int, tuple] = {}
         for (size, k), windows in spans.items():
             order = sorted(windows)
@@ -139,17 +139,17 @@ class Index:
                     last += 1
                 self._stretch(words, ids, order[first : last + 1], size, k, best)
                 first = last + 1
-        return [(self.items[i][0], s, self.items[i][1], d, sim) for i, (sim, s, d) in sorted(best.items())]
+        return [(self.items[i][0], s, min(self.items[i][1], n), d, sim) for i, (sim, s, d) in sorted(best.items())]
 
     def _stretch(self, words, ids, windows, size, k, best) -> None:
-        lo, hi = windows[0], windows[-1] + size
+        lo, hi = windows[0], min(windows[-1] + size, len(words))
         grams = [tuple(ids[i : i + k].tolist()) if (ids[i : i + k] > 0).all() else b" ".join(words[i : i + k]) for i in range(lo, hi - k + 1)]
         hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), SEED) for i in range(lo, hi - k + 1)], dtype="<u8")
         w = np.array([self.weight(g) if isinstance(g, tuple) else self.rare for g in grams])
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
         sums = np.concatenate([np.zeros((1, 64)), np.cumsum(bits * w[:, None], axis=0)])
         mass = np.concatenate([[0.0], np.cumsum(w)])
-        m = size - k + 1
+        m = min(size, len(words)) - k + 1
         for s in windows:
             a, b = s - lo, s - lo + m
             f = int(np.packbits((sums[b] - sums[a]) * 2 > (mass[b] - mass[a]) + 1e-9).view("<u8")[0])
@@ -183,7 +183,8 @@ def _zeros():
 def leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row for each document and item that some window of it is similar to.
 
-    Windows have as many words (lower-cased, split at white space) as the item; similarity is the
+    Windows have as many words (lower-cased, split at white space) as the item, a shorter document
+    is one window; similarity is the
     weighted Jaccard of five-word shingles (fewer words: the whole item), at least 0.8, among the
     windows within ``radius`` bits of the item's SimHash. The best window is reported, the first
     of equals. Items and documents without words, and null ids of items, find nothing. The items

@@ -358,6 +358,15 @@ def test_decontamination(spark, docs, hard):
     assert decontaminate.leaks(hard, few.limit(0)).count() == 0 == decontaminate.leaks(hard.limit(0), few).count()
 
 
+def test_documents_shorter_than_an_item(spark):
+    words = [f"w{i}" for i in range(37)]
+    items = spark.createDataFrame([(i, " ".join(f"{i}x{w}" for w in words)) for i in range(40)], "item_id long, text string")
+    cuts = {1: slice(0, 36), 2: slice(1, 37), 3: slice(0, 31), 4: slice(0, 29), 5: slice(0, 3)}
+    docs = spark.createDataFrame([(d, " ".join(f"7x{w}" for w in words[c])) for d, c in cuts.items()], "doc_id long, text string")
+    got = {r["doc_id"]: (r["item_id"], r["start_word"], r["n_words"], round(r["similarity"], 6)) for r in decontaminate.leaks(docs, items).collect()}
+    assert got == {d: (7, 0, n, round((n - 4) / 33, 6)) for d, n in ((1, 36), (2, 36), (3, 31))}
+
+
 # 9
 
 
