@@ -36,6 +36,11 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().split()
 
 
+def exact(weight: float) -> float:
+    """The nearest multiple of 2 ** -20: sums of these are exact in any order, so ties are ties."""
+    return round(weight * (1 << 20)) / (1 << 20)
+
+
 class Index:
     """The items' shingles, weights, fingerprints and Hamming blocks."""
 
@@ -53,8 +58,8 @@ class Index:
                 grams.append([tuple(ids[i : i + n]) for i in range(len(ids) - n + 1)])
         self.names = {i: w for w, i in self.vocab.items()}
         df = Counter(g for gs in grams for g in set(gs))
-        self.idf = {g: math.log(1 + len(grams) / n) for g, n in df.items()}
-        self.rare = math.log(1 + len(grams))  # the weight of a shingle that no item has
+        self.idf = {g: exact(math.log(1 + len(grams) / n)) for g, n in df.items()}
+        self.rare = exact(math.log(1 + len(grams)))  # the weight of a shingle that no item has
         self.grams = [Counter(gs) for gs in grams]
         self.owners: dict[tuple, list[int]] = defaultdict(list)
         for i, gs in enumerate(self.grams):
@@ -152,7 +157,7 @@ class Index:
         m = min(size, len(words)) - k + 1
         for s in windows:
             a, b = s - lo, s - lo + m
-            f = int(np.packbits((sums[b] - sums[a]) * 2 > (mass[b] - mass[a]) + 1e-9).view("<u8")[0])
+            f = int(np.packbits((sums[b] - sums[a]) * 2 > mass[b] - mass[a]).view("<u8")[0])
             near = {i for (at, mask), t in zip(self.blocks, self.tables, strict=True) for i in t.get(f >> at & mask, ())}
             near = [i for i in near if self.items[i][1:] == (size, k) and (self.fp[i] ^ f).bit_count() <= self.radius]
             if not near:

@@ -367,6 +367,15 @@ def test_documents_shorter_than_an_item(spark):
     assert got == {d: (7, 0, n, round((n - 4) / 33, 6)) for d, n in ((1, 36), (2, 36), (3, 31))}
 
 
+def test_exact_copies_have_the_items_fingerprint():
+    for n in range(2, 140):
+        items = [(i, " ".join(f"{i}x{j}" for j in range(10))) for i in range(n)]
+        index = decontaminate.Index(items)
+        for i, text in items:
+            words = decontaminate.words_of(text)
+            assert index.search([b"a", b"b", b"c"] + words) == [(i, 3, 10, 0, 1.0)]
+
+
 # 9
 
 
