@@ -17,9 +17,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder's URI. Where ``spark.checkpoint.dir`` is unset (tests), one is made."""
+    """The shared folder's URI. Where ``spark.checkpoint.dir`` is unset, a local master gets a folder
+    of its own and any other raises: executors elsewhere would not see it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="itembank-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/") if "://" in base else "file://" + base.rstrip("/")
@@ -48,15 +51,30 @@ def dropped(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of so many rows at most, so that long texts don't fill a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    # workers import this package from where the driver has it, unless it was shipped to them
+def ready(spark: SparkSession) -> None:
+    """Let workers import this package from where the driver has it, unless it was shipped to them."""
     env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)
 
 
+def slices(batches, rows: int = 500, most_bytes: int = 8 << 20):
+    """Arrow batches (Spark bounds them by bytes) in slices of at most ``rows`` rows.
+
+    A slice of long rows is halved until it holds ``most_bytes`` or one row, so that what is made
+    of a slice stays small. Empty batches give nothing.
+    """
+    for b in batches:
+        todo = [(i, min(rows, b.num_rows - i)) for i in range(0, b.num_rows, rows)][::-1]
+        while todo:
+            at, n = todo.pop()
+            part = b.slice(at, n)
+            if n > 1 and part.nbytes > most_bytes:
+                todo += [(at + n // 2, n - n // 2), (at, n // 2)]
+            else:
+                yield part
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Columns ``node``, ``component`` for every node of ``edges`` (columns ``a``, ``b``, long).
 
@@ -71,8 +89,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         state = cur.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == last or not state["n"]:
-            return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-                cur.select("v", "v")).groupBy("node").agg(F.min("component").alias("component"))
+            out = written(cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
+                cur.select("v", "v")).groupBy("node").agg(F.min("component").alias("component")), "components")
+            dropped(cur)
+            return out
         last = state
         # small star: every smaller neighbour of a node links to the smallest of them; first, so
         # that what a node's many links say is said by links between few nodes from then on

@@ -78,10 +78,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts are taken whole, A-Z lower-cased, words are runs without ASCII white space. Null and
     empty texts get fingerprint zero. Repeated rows stay repeated; other columns are ignored.
     """
-    shared.small_batches(docs.sparkSession)
+    shared.ready(docs.sparkSession)
 
     def run(batches):
-        for b in batches:
+        for b in shared.slices(batches):
             fps = [signed(majority(shingle_hashes((t or b"").lower().split(), SHINGLE_WORDS))) for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
@@ -113,22 +113,29 @@ def covering_links(nodes: DataFrame, radius: int = 2, small: int = 32) -> DataFr
         .groupBy("t", "near").agg(F.sort_array(F.collect_set("node")).alias("m")).where("size(m) > 1")  # at most 65 differ from a value by a bit
         .select(F.explode(F.expr("slice(m, 2, size(m) - 1)")).alias("a"), F.col("m")[0].alias("b"))
     )
-    return few.union(many).distinct()
+    links = shared.written(few.union(many).distinct(), "links")
+    shared.dropped(hits)
+    return links
 
 
 def fingerprint_components(docs: DataFrame, radius: int = 2) -> DataFrame:
     """``doc_id``, ``fingerprint`` (hex), ``component_id`` of every row of ``docs``.
 
     Rows link when their fingerprints differ in at most ``radius`` bits; ``component_id`` is the
-    smallest id that links reach. Equal fingerprints are one node, so copies make no pairs. Rows
-    with a null id take part only through their fingerprint; a component without ids has null.
+    smallest id that links reach. Fingerprints themselves are the linked nodes, so copies make no
+    pairs, rows that repeat an id with several texts stay apart, and a row with a null id takes
+    part like any other (it just is no id to report; a component without any has null).
     An empty table gives no rows.
     """
     fps = shared.written(fingerprints(docs), "fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    links = covering_links(nodes.where("node is not null"), radius)
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    links = covering_links(nodes.select(F.col("fp").alias("node"), "fp"), radius)
     comp = shared.connected_components(links)
-    by_fp = nodes.join(comp, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    shared.dropped(links)
+    linked = nodes.join(comp, nodes.fp == comp.node).select("fp", "first", "component")
+    least = linked.groupBy("component").agg(F.min("first").alias("least"))
+    by_fp = linked.join(least, "component").select("fp", "least", F.lit(True).alias("linked"))
+    by_fp = nodes.join(by_fp, "fp", "left").select("fp", F.when(F.col("linked"), F.col("least")).otherwise(F.col("first")).alias("component_id"))
     return fps.join(by_fp, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -164,11 +171,11 @@ def sign_row(low: np.ndarray) -> list[int]:
 
 def signatures(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``h1``, ``h2`` (hash of the words in order), ``n_words``, signs and keys."""
-    shared.small_batches(docs.sparkSession)
+    shared.ready(docs.sparkSession)
     names = ["doc_id", "h1", "h2", "n_words", *SIGN_COLS, *KEY_COLS]
 
     def run(batches):
-        for b in batches:
+        for b in shared.slices(batches):
             rows = []
             for t in b.column(1).cast(pa.binary()).to_pylist():
                 words = (t or b"").lower().split()
@@ -229,7 +236,7 @@ def _candidate_links(reps: DataFrame, small: int = 32, block: int = 256) -> Data
     full = keys.groupBy("k").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1")
     bucket = shared.written(keys.join(full, "k").where("node > lead").select("k", "node", "lead", "n"), "buckets")
     close = _close(bucket.select("node", "lead").distinct(), reps).where("close")
-    known = shared.written(shared.connected_components(close.select(F.col("node").alias("a"), F.col("lead").alias("b"))), "groups")
+    known = shared.connected_components(close.select(F.col("node").alias("a"), F.col("lead").alias("b")))
     rest = bucket.where("n > 2").join(known, "node", "left").select("k", "node", F.coalesce("component", "node").alias("component"))
     split = rest.groupBy("k").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low < high").select("k", "members")
     rest = shared.written(rest.join(split, "k"), "split")
@@ -239,14 +246,17 @@ def _candidate_links(reps: DataFrame, small: int = 32, block: int = 256) -> Data
     one = _close(pairs.select("node", "lead"), reps).where("close").join(pairs, ["node", "lead"]).select(F.col("component").alias("a"), F.col("other").alias("b"))
     many = rest.where(F.col("members") > small).withColumn("blocks", F.ceil(F.col("members") / block).cast("int")).withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     two = _dealt(many, "k", "node", "component").join(reps.select("node", *SIGN_COLS), "node").groupBy("k", "p", "q").applyInArrow(_crossing, "a long, b long")
-    return known.where("node > component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(one).union(two)
+    links = shared.written(known.where("node > component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(one).union(two), "links")
+    for t in (bucket, known, rest, pairs):
+        shared.dropped(t)
+    return links
 
 
 def _linked(group):
     """Links found among one block pair's documents; pairs that are linked already aren't compared."""
     ids = group.column("node").to_pylist()
     sides = group.column("side").to_pylist()
-    sets = [set(shingle_hashes((t or b"").lower().split(), NEAR_WORDS).tolist()) for t in group.column("text").cast(pa.binary()).to_pylist()]
+    sets = [set(np.frombuffer(x, "<u8").tolist()) for x in group.column("shingles").to_pylist()]
     order = sorted(range(len(ids)), key=lambda i: (sides[i], ids[i]))
     cross = len(set(sides)) > 1
     clusters: list[list[int]] = []
@@ -273,6 +283,23 @@ def _linked(group):
     return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``h1``, ``h2``, ``shingles``: the set of hashes, 8 bytes each, in order."""
+    shared.ready(docs.sparkSession)
+
+    def run(batches):
+        for b in shared.slices(batches):
+            rows = []
+            for t in b.column(1).cast(pa.binary()).to_pylist():
+                words = (t or b"").lower().split()
+                h = xxhash.xxh128_intdigest(b" ".join(words), SEED)
+                rows.append((signed(h >> 64), signed(h & (1 << 64) - 1), np.unique(shingle_hashes(words, NEAR_WORDS)).tobytes()))
+            cols = list(zip(*rows, strict=True))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], names=["doc_id", "h1", "h2", "shingles"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, h1 long, h2 long, shingles binary")
+
+
 def near_duplicate_groups(docs: DataFrame, block: int = 256) -> DataFrame:
     """``doc_id``, ``component_id`` of every row of ``docs`` with an id.
 
@@ -280,32 +307,43 @@ def near_duplicate_groups(docs: DataFrame, block: int = 256) -> DataFrame:
     five-word shingles is at least 0.8 (fewer words: the whole is one shingle). Candidates come
     from MinHash signatures of those sets, so that a pair's chance to be found depends on that
     similarity only (see :data:`HASHES`); groups of candidates are compared exactly, in blocks of
-    about ``block`` documents. Documents without words form one group. Null ids are left out;
-    repeated rows come out repeated.
+    about ``block`` documents. Distinct texts are the linked nodes, so an id that repeats with
+    several texts is decided text by text. Documents without words form one group. Null ids are
+    left out; repeated rows come out repeated.
     """
     sk = shared.written(signatures(docs.where("doc_id is not null")), "signatures")
-    nodes = sk.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), *[F.max(c).alias(c) for c in ("n_words", *SIGN_COLS, *KEY_COLS)])
-    reps = shared.written(nodes, "nodes")
-    groups = shared.written(shared.connected_components(_candidate_links(reps.where("n_words > 0"))), "groups")
+    nodes = sk.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), *[F.max(c).alias(c) for c in ("n_words", *SIGN_COLS, *KEY_COLS)])
+    reps = shared.written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # written, so the numbers are fixed
+    groups = shared.connected_components(_candidate_links(reps.where("n_words > 0")))
     sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     member = groups.join(sizes, "component").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = _dealt(member, "node", "component")
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(groups.select("node").hint("merge"), "node", "left_semi").dropDuplicates(["node"])
-    links = dealt.join(texts, "node").groupBy("component", "p", "q").applyInArrow(_linked, "a long, b long")
+    wanted = groups.select("node").join(reps.select("node", "h1", "h2", F.col("first").alias("doc_id")), "node")
+    wanted = shared.written(wanted, "wanted")
+    some = docs.select("doc_id", "text").join(wanted.select("doc_id").hint("merge"), "doc_id", "left_semi")
+    sets = shingle_sets(some).join(wanted, ["doc_id", "h1", "h2"]).select("node", "shingles").dropDuplicates(["node"])  # those of a node are equal
+    links = dealt.join(sets, "node").groupBy("component", "p", "q").applyInArrow(_linked, "a long, b long")
     comp = shared.connected_components(links)
-    by_text = reps.join(comp, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component_id"))
+    shared.dropped(wanted)
+    shared.dropped(groups)
+    ends = reps.select("h1", "h2", "first", "node").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = ends.groupBy("component").agg(F.min("first").alias("component_id"))
+    by_text = ends.join(least, "component").select("h1", "h2", "component_id")
     return sk.join(by_text, ["h1", "h2"]).select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: that with the smallest id.
 
-    Rows that repeat an id count once; documents without an id are kept as they are.
+    Rows that repeat an id count once; if their columns differ, the least row (column by column)
+    stays. Documents without an id are kept as they are.
     """
     groups = near_duplicate_groups(docs)
-    kept = shared.written(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("copies")), "kept")
-    out = docs.join(kept.select("doc_id").hint("merge"), "doc_id", "left_semi")
+    kept = groups.groupBy("doc_id").agg(F.count("*").alias("copies"), F.max(F.col("doc_id") == F.col("component_id")).alias("first")).where("first")
+    kept = shared.written(kept.select("doc_id", "copies"), "kept")
+    out = docs.join(kept.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
     if not kept.where("copies > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    return out.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+        again = kept.where("copies > 1").select("doc_id")
+        least = out.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("r")).select(*[F.col(f"r.{c}").alias(c) for c in docs.columns])
+        out = out.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(least)
+    return out.unionByName(docs.where("doc_id is null"))
