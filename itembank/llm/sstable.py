@@ -228,19 +228,19 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, directory: str, i
     """Encode whole texts, append ``end_id`` to each and write shards into ``directory``.
 
     Documents are dealt by ranges of their identifier, so shard numbers ascend as identifiers do;
-    equal identifiers are ordered by their ids. Null texts are empty: only ``end_id``. A null
+    equal identifiers are ordered by their shard (a hash of the text), then their ids. Null texts are empty: only ``end_id``. A null
     identifier sorts first. Returns the manifest, one row for each shard. A task that runs again
     writes a file of its own; the manifest names those of the tasks that were committed.
     """
     spark = docs.sparkSession
-    shared.small_batches(spark)
+    shared.ready(spark)
 
     def run(batches):
         ctx, enc = TaskContext.get(), encoder(tokenizer)
         dtype = enc.dtype if end_id <= np.iinfo(enc.dtype).max else np.dtype("<u4")
         end = np.array([end_id], dtype).tobytes()
         runs = Runs()
-        for b in batches:
+        for b in shared.slices(batches):
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 runs.add(key_of(doc_id), enc.ids(text).astype(dtype, copy=False).tobytes() + end)
         if not runs.rows and not runs.files:
@@ -258,7 +258,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, directory: str, i
         yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["shard", "path", "n_docs", "n_tokens", "first_id", "last_id"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    dealt = rows.repartitionByRange(F.col("doc_id").asc_nulls_first())
+    dealt = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))  # many equal ids don't fall to one task
     return shared.written(dealt.mapInArrow(run, MANIFEST), "manifest")
 
 
