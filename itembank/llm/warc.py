@@ -30,8 +30,8 @@ VERSION_START = b"WARC/1."
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads shorter than this are always written in full.
 LEAST_REVISIT = 100
-#: In a plain archive, a header block longer than this is damage; reads are of so many bytes.
-MOST_HEADER, CHUNK = 1 << 16, 1 << 20
+#: Reads are of so many bytes.
+CHUNK = 1 << 20
 #: Records of a decompressed member larger than this are damage, not data.
 MOST_RECORD = 1 << 31
 
@@ -67,11 +67,11 @@ def gzip_member(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def parse_record(data: bytes, most_header: int | None = None) -> tuple[dict[str, str], bytes, int]:
+def parse_record(data: bytes) -> tuple[dict[str, str], bytes, int]:
     """Headers, block and length of the record that ``data`` starts with; raises :class:`Damage`."""
     if not data.startswith(VERSIONS):
         raise Damage("no version line")
-    end = data.find(b"\r\n\r\n", 0, most_header)
+    end = data.find(b"\r\n\r\n")
     if end < 0:
         raise Damage("no end of the header block")
     head: dict[str, str] = {}
@@ -132,15 +132,22 @@ def _member(w: _Window) -> tuple[bytes, int]:
     return b"".join(out), used
 
 
+def _headers_so_far(data: bytes) -> bool:
+    """Whether every whole line after the version line has a name and a colon."""
+    return all(re.match(rb"[!#$%&'*+.^_`|~0-9A-Za-z-]+[ \t]*:", x) for x in data.split(b"\r\n")[1:-1])
+
+
 def _plain(w: _Window) -> tuple[bytes, int]:
     n = CHUNK
     while True:
         w.need(n)
         try:
-            _, _, used = parse_record(w.buf, MOST_HEADER)
+            _, _, used = parse_record(w.buf)
             return w.buf[:used], used
         except Damage as e:
-            if str(e) != "short block" or len(w.buf) < n or n >= MOST_RECORD:
+            # a header block may be as long as it likes while its lines look like header lines
+            more = str(e) == "short block" or (str(e) == "no end of the header block" and _headers_so_far(w.buf))
+            if not more or len(w.buf) < n or n >= MOST_RECORD:
                 raise
             n *= 4
 
@@ -218,13 +225,13 @@ def write_archives(pages: DataFrame, directory: str) -> DataFrame:
     smallest page is a response and others revisit it; rows that repeat that page's id are
     responses too, and a null id revisits. Each task writes one archive of its own name.
     """
-    shared.small_batches(pages.sparkSession, 200)
+    shared.ready(pages.sparkSession)
 
     def run(batches):
         ctx = TaskContext.get()
         path = f"{directory}/pages-{ctx.partitionId():06d}-{ctx.taskAttemptId()}.warc.gz"
         out, n, size = None, 0, 0
-        for b in batches:
+        for b in shared.slices(batches, 200):
             for page_id, url, html, digest, first in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 if out is None:
                     store, name = fs.FileSystem.from_uri(path)
@@ -244,21 +251,24 @@ def write_archives(pages: DataFrame, directory: str) -> DataFrame:
 READ = "kind string, path string, offset long, length long, reason string, record_type string, page_id long, url string, payload_bytes long, payload_digest string, refers_to long"
 
 
-def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
+def read_archives(archives: DataFrame, payloads: bool = False, complete: bool = False) -> DataFrame:
     """Records (``kind = 'record'``) and quarantined gaps (``kind = 'gap'``) of the archives listed.
 
     ``payload_bytes`` and ``payload_digest`` are of the full payload: for a response computed from
     the block, for a revisit as its HTTP headers and digest field say. ``payloads`` adds the bytes.
+    A gap has nulls in the columns of records; an empty list of archives gives no rows. Where
+    ``complete`` and ``archives`` has ``n_records``, an archive with fewer or more records raises.
     """
+    complete = complete and "n_records" in archives.columns
     n = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = [x.split()[0] for x in READ.split(", ")] + ["payload"] * payloads
 
     def run(batches):
         kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()] + [pa.binary()] * payloads
         for b in batches:
-            for path in b.column(0).to_pylist():
+            for path, expected in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 store, name = fs.FileSystem.from_uri(path)
-                rows, held = [], 0
+                rows, held, n_read = [], 0, 0
                 with store.open_input_file(name) as f:
                     for kind, at, length, *rest in salvage(f, f.size()):
                         row = [kind, path, at, length] + [None] * (7 + payloads)
@@ -266,6 +276,7 @@ def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
                             row[4] = rest[0]
                         else:
                             head, block = rest
+                            n_read += 1
                             http, _, payload = block.partition(b"\r\n\r\n")
                             revisit = head["warc-type"] == "revisit"
                             said = re.search(rb"(?i)^content-length:\s*(\d+)", http, re.M)
@@ -280,8 +291,11 @@ def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
                             rows, held = [], 0
                 if rows:
                     yield _batch(rows, kinds, names)
+                if complete and n_read != expected:
+                    raise RuntimeError(f"{path}: {n_read} records read, {expected} written")
 
-    return archives.select("path").repartition(n).mapInArrow(run, READ + (", payload binary" if payloads else ""))
+    expected = F.col("n_records") if "n_records" in archives.columns else F.lit(None).cast("long")
+    return archives.select("path", expected.alias("n_records")).repartition(n).mapInArrow(run, READ + (", payload binary" if payloads else ""))
 
 
 def _int(x: str | None) -> int | None:
