@@ -1,9 +1,10 @@
 """Benchmark decontamination: item-sized windows of documents held against benchmark items.
 
-A window of as many words as an item has (the whole document, if it has fewer) is fingerprinted by SimHash over its weighted word
-shingles. Fingerprints are looked up in an index of Hamming blocks: ``radius + 1`` blocks of the 64
-bits, so that by the pigeonhole principle every item within ``radius`` bits agrees with the window
-in some block. Candidates are verified by the exact weighted Jaccard similarity of the shingles.
+A window of as many words as an item has (the whole document, if it has fewer) is fingerprinted by
+SimHash over its weighted word shingles. Fingerprints are looked up in an index of Hamming blocks,
+one for each size of window: ``radius + 1`` blocks of the 64 bits, so that by the pigeonhole
+principle every item within ``radius`` bits agrees with the window in some block. Candidates within
+the radius are verified by the exact weighted Jaccard similarity of the shingles.
 
 A window that shares no shingle with an item has similarity zero with it, so only windows over a
 position where some item's shingle stands are fingerprinted, for the sizes of those items.
@@ -26,8 +27,9 @@ from .simhash import SEED
 WORDS, SIMILARITY = 5, 0.8
 #: At similarity 0.8 about 10 of 64 bits differ, with a standard deviation of 3.
 RADIUS = 20
-#: Items are held against all documents in blocks of so many characters, which are broadcast.
-BLOCK_CHARS = 20_000_000
+#: Items are held against all documents in blocks of so many characters, which are broadcast; the
+#: index takes some 40 bytes for each.
+BLOCK_CHARS = 2_000_000
 
 LEAKS = "doc_id long, item_id long, start_word long, n_words long, hamming int, similarity double"
 
@@ -42,9 +44,14 @@ def exact(weight: float) -> float:
 
 
 class Index:
-    """The items' shingles, weights, fingerprints and Hamming blocks."""
+    """The items' shingles, weights, fingerprints and Hamming blocks.
 
-    def __init__(self, items: list[tuple[int, str | None]], radius: int = RADIUS, k: int = WORDS, similarity: float = SIMILARITY):
+    Weights are by the frequencies of shingles over all items: ``total`` items, of which
+    ``frequency`` (by the space-joined words) have a shingle. Without them, over ``items`` alone.
+    """
+
+    def __init__(self, items: list[tuple[int, str | None]], radius: int = RADIUS, k: int = WORDS, similarity: float = SIMILARITY, total: int | None = None, frequency: dict[str, int] | None = None):
+        self.windows = self.candidates = 0  # fingerprints looked up, and items of their size met in some block
         self.radius, self.k, self.similarity = radius, k, similarity
         self.vocab: dict[bytes, int] = {}
         self.items: list[tuple[int, int, int]] = []  # item, words, words of its shingles
@@ -58,8 +65,11 @@ class Index:
                 grams.append([tuple(ids[i : i + n]) for i in range(len(ids) - n + 1)])
         self.names = {i: w for w, i in self.vocab.items()}
         df = Counter(g for gs in grams for g in set(gs))
-        self.idf = {g: exact(math.log(1 + len(grams) / n)) for g, n in df.items()}
-        self.rare = exact(math.log(1 + len(grams)))  # the weight of a shingle that no item has
+        if frequency is not None:
+            df = {g: frequency[b" ".join(self.names[i] for i in g).decode()] for g in df}
+        total = len(grams) if total is None else total
+        self.idf = {g: exact(math.log(1 + total / n)) for g, n in df.items()}
+        self.rare = exact(math.log(1 + total))  # the weight of a shingle that no item has
         self.grams = [Counter(gs) for gs in grams]
         self.owners: dict[tuple, list[int]] = defaultdict(list)
         for i, gs in enumerate(self.grams):
@@ -68,12 +78,12 @@ class Index:
         self.fp = [self.fingerprint([(self._hash_ids(g), self.weight(g) * c) for g, c in gs.items()]) for gs in self.grams]
         edges = np.linspace(0, 64, radius + 2).round().astype(int).tolist()
         self.blocks = [(a, (1 << b - a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
-        self.tables: list[dict[int, list[int]]] = []
-        for a, m in self.blocks:
-            t: dict[int, list[int]] = defaultdict(list)
-            for i, f in enumerate(self.fp):
+        # only items of a window's size can match it, so each size has blocks of its own
+        self.tables: dict[tuple[int, int], list[dict[int, list[int]]]] = {}
+        for i, f in enumerate(self.fp):
+            tables = self.tables.setdefault(self.items[i][1:], [defaultdict(list) for _ in self.blocks])
+            for (a, m), t in zip(self.blocks, tables, strict=True):
                 t[f >> a & m].append(i)
-            self.tables.append(t)
         # codes of the shingles of full length, to find where they stand in a document
         self.codes = np.unique(np.array([self._code(g) for g in df if len(g) == k], dtype=np.uint64))
         self.short = sorted({n for _, _, n in self.items if n < k})
@@ -158,8 +168,10 @@ class Index:
         for s in windows:
             a, b = s - lo, s - lo + m
             f = int(np.packbits((sums[b] - sums[a]) * 2 > mass[b] - mass[a]).view("<u8")[0])
-            near = {i for (at, mask), t in zip(self.blocks, self.tables, strict=True) for i in t.get(f >> at & mask, ())}
-            near = [i for i in near if self.items[i][1:] == (size, k) and (self.fp[i] ^ f).bit_count() <= self.radius]
+            near = {i for (at, mask), t in zip(self.blocks, self.tables[size, k], strict=True) for i in t.get(f >> at & mask, ())}
+            self.windows += 1
+            self.candidates += len(near)
+            near = [i for i in near if (self.fp[i] ^ f).bit_count() <= self.radius]
             if not near:
                 continue
             have = Counter(grams[a:b])
@@ -185,6 +197,20 @@ def _zeros():
         yield 0
 
 
+def _item_grams(batches):
+    """For each item with words a row with a null, and one for each of its distinct shingles."""
+    for b in batches:
+        blocks, out = [], []
+        for text, block in zip(b.column("text").to_pylist(), b.column("block").to_pylist(), strict=True):
+            w = words_of(text)
+            if w:
+                n = min(WORDS, len(w))
+                mine = [None, *{b" ".join(w[i : i + n]).decode() for i in range(len(w) - n + 1)}]
+                out += mine
+                blocks += [block] * len(mine)
+        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(out, pa.string())], names=["block", "gram"])
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row for each document and item that some window of it is similar to.
 
@@ -193,23 +219,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, block_cha
     weighted Jaccard of five-word shingles (fewer words: the whole item), at least 0.8, among the
     windows within ``radius`` bits of the item's SimHash. The best window is reported, the first
     of equals. Items and documents without words, and null ids of items, find nothing. The items
-    are a query set: they are held against all documents block by block, a block being broadcast.
-    Repeated rows come out repeated.
+    are a query set: they are held against all documents block by block, a block being broadcast;
+    shingles weigh the same in each block. Repeated rows come out repeated; null and empty texts
+    find nothing.
     """
     spark = docs.sparkSession
-    shared.small_batches(spark)
+    shared.ready(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null").dropDuplicates(["item_id", "text"])
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     n_blocks = max(1, -(-chars // block_chars))
+    items = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)).cast("int"))
+    grams = items.mapInArrow(_item_grams, "block int, gram string")
+    total = grams.where("gram is null").count()
+    frequency = shared.written(grams.where("gram is not null").groupBy("gram").agg(F.count("*").alias("n"), F.collect_set("block").alias("blocks")), "frequencies")
     out = None
     for block in range(n_blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block).orderBy("item_id", "text").collect()
-        index = spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in part], radius))
+        part = items.where(F.col("block") == block).orderBy("item_id", "text").collect()
+        counts = {r["gram"]: r["n"] for r in frequency.where(F.array_contains("blocks", block)).select("gram", "n").collect()}  # as many as the block's words
+        index = spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in part], radius, total=total, frequency=counts))
 
         def run(batches, index=index):
             x = index.value
-            for b in batches:
+            for b in shared.slices(batches):
                 found = [(i, *r) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for r in x.search(words_of(t))]
                 cols = list(zip(*found, strict=True)) or [()] * 6
                 kinds = [pa.int64()] * 4 + [pa.int32(), pa.float64()]
