@@ -3,6 +3,8 @@
 Examples take up several limited things at once: tokens, segments of a sequence, and tokens that
 bear loss. A sequence is filled with the piece that fits and whose needs, as shares of the limits,
 have the largest dot product with what is left; where nothing more fits, a piece is cut.
+
+Documents have prompts: the first lines of a text bear no loss, as a prompt of their own would.
 """
 
 from __future__ import annotations
@@ -19,12 +21,14 @@ from pyspark.sql import functions as F
 from . import shared
 from .tokens import encoder
 
-MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 4096, 256, 4096
+#: Limits of a sequence. Fewer tokens may bear loss than there are, so that no sequence is answers
+#: only; what is left is filled with tokens that bear none, if there are any.
+MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 4096, 256, 4032
 #: Packing works on blocks of so many documents or tokens; what doesn't fill a sequence goes on
 #: into the next block, and the last block of a partition ends in sequences of powers of two.
 BLOCK_DOCS, BLOCK_TOKENS = 4000, 2_000_000
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_length long"
 
 
 class Piece:
@@ -53,6 +57,7 @@ def fill(pieces: list[Piece], tokens: int = MAX_TOKENS, segments: int = MAX_SEGM
 
     Pieces of equal needs are one class, so a step costs as much as there are classes. Each step
     takes the class with the largest dot product; ties go to the longer, then the smaller loss.
+    Pieces without ids are left out, and no pieces give no sequences.
     Sequences are full but for limits on segments or loss; if ``last``, the rest is dealt into
     sequences whose lengths are powers of two.
     """
@@ -90,11 +95,12 @@ def fill(pieces: list[Piece], tokens: int = MAX_TOKENS, segments: int = MAX_SEGM
                     score = np.where(ok, share @ np.array([left[0] / tokens, left[1] / segments, left[2] / loss]), -1.0)
                     p = take(int(score.argmax()))
                     n = p.length
-                else:  # nothing fits whole: cut the shortest that is longer than the gap
-                    some = np.nonzero(have > 0)[0]
-                    if not len(some):
+                else:  # nothing fits whole: cut the one of which most fits, of equals the shortest
+                    part = np.minimum(np.minimum(need[:, 0], left[0]), need[:, 0] - need[:, 1] + left[2])
+                    part[have <= 0] = -1
+                    if not len(part) or part.max() <= 0:
                         break
-                    p = take(int(some[-1]))
+                    p = take(len(part) - 1 - int(part[::-1].argmax()))
                     n = p.fits_first(left[0], left[2])
             total -= p.length
             if n <= 0:
@@ -115,18 +121,19 @@ def fill(pieces: list[Piece], tokens: int = MAX_TOKENS, segments: int = MAX_SEGM
     return done, rest + [p for q in classes.values() for p in q]
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, tokens: int = MAX_TOKENS, segments: int = MAX_SEGMENTS, loss: int = MAX_LOSS, id_col: str = "doc_id", text_col: str = "text", prompt_col: str | None = None, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, tokens: int = MAX_TOKENS, segments: int = MAX_SEGMENTS, loss: int = MAX_LOSS, id_col: str = "doc_id", text_col: str = "text", prompt_col: str | None = None, prompt_lines: int = 1, with_ids: bool = False) -> DataFrame:
     """Pieces of all documents, packed into sequences of at most ``tokens`` tokens.
 
     A document is the ids of its whole text (null: empty), then ``end_id``. ``prompt_col`` has the
-    text of a prompt that comes first and bears no loss; without it every token bears loss. Each
+    text of a prompt that comes first and bears no loss. Without it the first ``prompt_lines`` lines
+    of a text of more lines are its prompt: as many of its ids as those lines have bear no loss. Each
     id lies in exactly one piece; ``offset`` is the piece's place in its sequence, without gaps.
     Every partition packs its own rows, so nothing is shuffled; a document longer than a sequence
     is first cut into full ones. ``with_ids`` adds the ids. Repeated rows are packed as often as
     they come, null identifiers stay null, an empty table gives no rows.
     """
     spark = docs.sparkSession
-    shared.small_batches(spark)
+    shared.ready(spark)
     schema = PIECES + (", ids array<int>" if with_ids else "")
     limits = dict(tokens=tokens, segments=segments, loss=loss)
 
@@ -136,33 +143,39 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, tokens: int = MAX_TOKENS,
 
         def rows(sequences):
             nonlocal number
-            cols: list[list] = [[] for _ in range(7 + with_ids)]
+            cols: list[list] = [[] for _ in range(8 + with_ids)]
             for s in sequences:
                 at = 0
                 for p in s:
                     doc_id, ids = p.doc
                     own = ids[p.start : p.start + p.length]
-                    vals = [doc_id, p.start, p.length, zlib.crc32(own.astype("<u4").tobytes()), len(ids), number, at]
+                    vals = [doc_id, p.start, p.length, zlib.crc32(own.astype("<u4").tobytes()), len(ids), number, at, p.loss]
                     for c, v in zip(cols, vals + ([own.tolist()] if with_ids else []), strict=True):
                         c.append(v)
                     at += p.length
                 number += 1
-            kinds = [pa.int64()] * 7 + ([pa.list_(pa.int32())] if with_ids else [])
+            kinds = [pa.int64()] * 8 + ([pa.list_(pa.int32())] if with_ids else [])
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 
         pool: list[Piece] = []
         held = 0
-        whole = min(tokens, loss)
-        for b in batches:
+        for b in shared.slices(batches):
             full = []
             prompts = b.column(2).to_pylist() if prompt_col else [None] * b.num_rows
             for doc_id, text, prompt in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), prompts, strict=True):
                 first = enc.ids(prompt) if prompt else np.zeros(0, enc.dtype)
                 ids = np.concatenate([first, enc.ids(text), np.array([end_id], enc.dtype if end_id < 1 << 8 * enc.dtype.itemsize else "<u4")])
-                p = Piece((doc_id, ids), 0, len(ids), len(first))
-                while p.length >= whole and p.fits_first(whole, loss) == whole:
-                    part, p = p.cut(whole)
+                free = len(first)
+                if not prompt_col and prompt_lines and text and text.count("\n") >= prompt_lines:
+                    free = min(len(ids) - 1, len(enc.ids("\n".join(text.split("\n", prompt_lines)[:prompt_lines]))))
+                p = Piece((doc_id, ids), 0, len(ids), free)
+                while p.length >= tokens and p.fits_first(tokens, loss) == tokens:
+                    part, p = p.cut(tokens)
                     full.append([part])
+                while p.length > loss:  # filled up later by tokens that bear no loss
+                    part, p = p.cut(p.fits_first(tokens, loss))
+                    pool.append(part)
+                    held += part.length
                 if p.length:
                     pool.append(p)
                     held += p.length
