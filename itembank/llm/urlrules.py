@@ -7,6 +7,7 @@ its rarest token, so a URL is held only against the rules of the tokens it has.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from . import shared
 #: bounds the rules: no more than so many itemsets can be frequent, whatever the input's size.
 MIN_SUPPORT, MIN_CONFIDENCE, MAX_TOKENS = 0.002, 0.6, 3
 BLOCK, ALLOW = "label=block", "label=allow"
+#: So many mined rules at most are matched from an index that every worker holds; more are joined.
+MOST_RULES = 100_000
 
 
 def host_of(url: Column) -> Column:
@@ -59,7 +62,8 @@ def mine(labelled: DataFrame, support: float = MIN_SUPPORT, confidence: float =
 
     ``labelled`` has ``tokens`` and ``label`` (:data:`BLOCK` or :data:`ALLOW`). FP-growth runs in
     Spark over all of it; a rule that a shorter one with the same label and at least its
-    confidence covers is dropped. No labelled rows give no rules.
+    confidence covers is dropped. No labelled rows give no rules; repeated ones count each time,
+    null tokens or labels have to be left out before.
     """
     spark = labelled.sparkSession
     empty = "rule_tokens array<string>, verdict string, confidence double, support double, key string"
@@ -95,14 +99,64 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
     most = labelled.groupBy("label").count().orderBy(F.desc("count"), "label").first()
     default = most["label"].removeprefix("label=") if most else "allow"
     t = p.withColumn("w", written_rule(F.col("host"), F.col("path"), rules))
-    # the tokens decide, so equal token sets are judged once
-    sets = t.where("w is null").select(tokens_of(F.col("host"), F.col("path")).alias("tokens")).distinct()
+    t = t.withColumn("tokens", tokens_of(F.col("host"), F.col("path")))
+    mined = shared.written(mined, "rules")
+    n_rules = mined.count()
+    judged = matched(t, mined) if n_rules <= MOST_RULES else joined(t, mined)
+    return judged.select("page_id", "host", "path", F.col("w.rule").alias("rule"), F.coalesce("w.verdict", "best.verdict", F.lit(default)).alias("verdict"), F.col("best.confidence").alias("confidence"), F.col("best.rule_tokens").alias("mined_rule"))
+
+
+BEST = "struct<confidence:double,support:double,verdict:string,rule_tokens:array<string>>"
+
+
+def matched(t: DataFrame, mined: DataFrame) -> DataFrame:
+    """``t`` with ``best``, the mined rule that decides a row no written rule (``w``) does, or null.
+
+    The inverted index (rules by their rarest token, at most :data:`MOST_RULES`) is broadcast, so
+    rows stay where they are, however many share a host.
+    """
+    shared.ready(t.sparkSession)
+    index: dict[str, list] = {}
+    for r in mined.collect():
+        index.setdefault(r["key"], []).append((r["confidence"], r["support"], r["verdict"], r["rule_tokens"]))
+    for rules in index.values():
+        rules.sort(reverse=True)
+    held = t.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches):
+        for b in shared.slices(batches, 4096):
+            best = []
+            for tokens, decided in zip(b.column("tokens").to_pylist(), b.column("w").is_valid().to_pylist(), strict=True):
+                top, have = None, set(tokens)
+                for key in () if decided else tokens:
+                    for rule in held.value.get(key, ()):
+                        if top is not None and rule <= top:
+                            break
+                        if have.issuperset(rule[3]):
+                            top = rule
+                            break
+                best.append(top and dict(zip(("confidence", "support", "verdict", "rule_tokens"), top, strict=True)))
+            kind = pa.struct([("confidence", pa.float64()), ("support", pa.float64()), ("verdict", pa.string()), ("rule_tokens", pa.list_(pa.string()))])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("page_id", "host", "path", "w")], pa.array(best, kind)], names=["page_id", "host", "path", "w", "best"])
+
+    return t.select("page_id", "host", "path", "w", "tokens").mapInArrow(run, f"page_id long, host string, path string, w struct<rule:string,verdict:string>, best {BEST}")
+
+
+def joined(t: DataFrame, mined: DataFrame) -> DataFrame:
+    """As :func:`matched`, by joins: equal token sets are judged once, and the rows of a set are dealt
+    over as many keys as it has thousands of rows."""
+    sets = t.where("w is null").groupBy("tokens").agg(F.count("*").alias("rows"))
     hit = (
-        sets.select("tokens", F.explode("tokens").alias("key")).join(mined, "key")
+        sets.select("tokens", "rows", F.explode("tokens").alias("key")).join(mined, "key")
         .where(F.size(F.array_except("rule_tokens", "tokens")) == 0)
-        .groupBy("tokens").agg(F.max(F.struct("confidence", "support", "verdict", "rule_tokens")).alias("best"))
+        .groupBy("tokens").agg(F.max(F.struct("confidence", "support", "verdict", "rule_tokens")).alias("best"), F.max("rows").alias("rows"))
     )
+    hot = hit.where("rows > 1000")
+    salts = 64
+    spread = hot.select("tokens", "best", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")).union(hit.where("rows <= 1000").select("tokens", "best", F.lit(-1)))
+    warm = F.broadcast(hot.select("tokens").withColumn("hot", F.lit(True))) if hot.count() <= 10_000 else hot.select("tokens").withColumn("hot", F.lit(True))
     # rows that a written rule decides get keys of their own, spread out, that meet nothing
-    spread = F.array(F.concat(F.lit("#"), F.pmod(F.xxhash64("page_id", "path"), F.lit(4096)).cast("string")))
-    left = t.withColumn("tokens", F.when(F.col("w").isNull(), tokens_of(F.col("host"), F.col("path"))).otherwise(spread))
-    return left.join(hit, "tokens", "left").select("page_id", "host", "path", F.col("w.rule").alias("rule"), F.coalesce("w.verdict", "best.verdict", F.lit(default)).alias("verdict"), F.col("best.confidence").alias("confidence"), F.col("best.rule_tokens").alias("mined_rule"))
+    own = F.array(F.concat(F.lit("#"), F.pmod(F.xxhash64("page_id", "path"), F.lit(4096)).cast("string")))
+    left = t.withColumn("tokens", F.when(F.col("w").isNull(), F.col("tokens")).otherwise(own)).join(warm, "tokens", "left")
+    left = left.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("page_id", "path"), F.lit(salts)).cast("int")).otherwise(-1))
+    return left.join(spread, ["tokens", "salt"], "left").select("page_id", "host", "path", "w", "best")
