@@ -7,7 +7,9 @@ are left at the leaves are exact.
 
 Over a cluster the top of the tree is a set of pivots for each label, found on a bounded sample;
 every vector goes to the cell of its nearest pivot, and cells are split into blocks of bounded
-size. Block pairs that the covering radii don't rule out are tasks of their own.
+size. Each block's tree is built once and stored with its vectors. Pairs of cells that their
+covering radii rule out are never made; pairs of blocks are pruned by the radii of the uppermost
+nodes of both trees, and only what is left brings two blocks together in a task.
 """
 
 from __future__ import annotations
@@ -24,10 +26,12 @@ COSINE = 0.93
 BLOCK_ROWS, MOST_PIVOTS = 2048, 4096
 LEAF = 16
 EPS = 1e-9
+#: So many of the uppermost nodes of a block's tree go with it to prune pairs of blocks.
+TOPS = 16
 
 
 class Node:
-    __slots__ = ("centre", "radius", "members", "children", "centres", "radii")
+    __slots__ = ("centre", "radius", "members", "children", "centres", "radii", "lo", "hi")
 
     def __init__(self, x: np.ndarray, members: np.ndarray, centre: int, radius: float):
         self.centre, self.radius, self.members = centre, radius, members
@@ -127,48 +131,110 @@ def _rows(column) -> np.ndarray:
     return unit(flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1))
 
 
-def _block_pair(cosine: float):
-    def run(group):
-        side = group.column("side").to_numpy()
-        cross = len(np.unique(side)) > 1
-        ids, copies, x = group.column("node").to_numpy(), group.column("n").to_numpy(), _rows(group.column("embedding"))
-        pair_of_one = bool(group.column("same")[0].as_py())
-        if not pair_of_one and not cross:
-            return pa.table({"kind": pa.array([], pa.int32()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        parts = [np.nonzero(side == s)[0] for s in ((0, 1) if cross else (side[0],))]
-        links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
-
-        def found(i, j, p=parts[0], q=parts[-1]):
-            i, j = p[i], q[j]
-            np.add.at(links, i, copies[j])
-            np.add.at(links, j, copies[i])
-            while True:
-                low = np.minimum(root[i], root[j])
-                before = root.copy()
-                for k in (i, j, before[i], before[j]):
-                    np.minimum.at(root, k, low)
-                while (root[root] != root).any():
-                    root[:] = root[root]
-                if (root == before).all():
-                    return
-
-        xs = [x[p] for p in parts]
-        trees = [build(v) for v in xs]
-        dual(xs[0], trees[0], xs[-1], trees[-1], cosine, found)
-        some, tied = np.nonzero(links)[0], np.nonzero(root != np.arange(len(ids)))[0]
-        return pa.table({
-            "kind": pa.array([0] * len(some) + [1] * len(tied), pa.int32()),
-            "a": pa.array(np.concatenate([ids[some], ids[tied]]), pa.int64()),
-            "b": pa.array(np.concatenate([links[some], ids[root[tied]]]), pa.int64()),
-        })
-
-    return run
+def flatten(root: Node) -> tuple[np.ndarray, np.ndarray]:
+    """A tree as an order of its rows in which every node's members are neighbours, and a table of
+    centre, radius, first and last member, first child, number of children by node (root first)."""
+    order: list[int] = []
+
+    def walk(node: Node) -> None:
+        node.lo = len(order)
+        if node.children:
+            for c in node.children:
+                walk(c)
+        else:
+            order.extend(node.members.tolist())
+        node.hi = len(order)
+
+    walk(root)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    nodes, rows = [root], []
+    for node in nodes:  # grows while it is read
+        rows.append((place[node.centre], node.radius, node.lo, node.hi, len(nodes), len(node.children)))
+        nodes += node.children
+    return np.array(order), np.array(rows, np.float64)
+
+
+def restored(table: np.ndarray) -> Node:
+    """The tree of :func:`flatten`, over rows in its order."""
+    nodes = [Node.__new__(Node) for _ in table]
+    whole = table[:, [0, 2, 3, 4, 5]].astype(np.int64).tolist()
+    for node, radius, (centre, lo, hi, first, n) in zip(nodes, table[:, 1].tolist(), whole, strict=True):
+        node.centre, node.radius, node.members, node.children = centre, radius, np.arange(lo, hi), nodes[first : first + n]
+        node.centres = node.radii = None
+        if n:
+            node.centres, node.radii = np.array([c[0] for c in whole[first : first + n]]), table[first : first + n, 1]
+    return nodes[0]
+
+
+def uppermost(root: Node, most: int = TOPS) -> list[Node]:
+    """At most ``most`` nodes that cover all members: the deepest whole level that is that small."""
+    level = [root]
+    while True:
+        below = [c for n in level for c in (n.children or [n])]
+        if len(below) > most or len(below) == len(level):
+            return level
+        level = below
+
+
+ID = "label string, dim int, cell int, block int"
+
+
+def _build_blocks(group):
+    """One row of a block: its rows in the order of its tree, the tree, and its uppermost nodes."""
+    raw = group.column("embedding").combine_chunks()
+    flat = raw.flatten().to_numpy(zero_copy_only=False).reshape(len(raw), -1)
+    x = unit(flat)
+    root = build(x)
+    order, table = flatten(root)
+    tops = uppermost(root)
+    cols = {
+        "nodes": group.column("node").to_numpy()[order].tobytes(), "copies": group.column("n").to_numpy()[order].tobytes(), "vectors": flat[order].tobytes(),
+        "tree": table.tobytes(), "tops": x[[n.centre for n in tops]].tobytes(), "radii": np.array([n.radius for n in tops]).tobytes(),
+    }
+    first = {c: group.column(c)[0].as_py() for c in ("label", "dim", "cell", "block")}
+    kinds = {"label": pa.string(), "dim": pa.int32(), "cell": pa.int32(), "block": pa.int32()}
+    return pa.table({**{c: pa.array([v], kinds[c]) for c, v in first.items()}, **{c: pa.array([v], pa.binary()) for c, v in cols.items()}})
+
+
+BLOCKS = ID + ", nodes binary, copies binary, vectors binary, tree binary, tops binary, radii binary"
+FOUND = "kind int, a long, b long"
+
+
+def _links_of(one: dict, two: dict | None, cosine: float, dtype) -> pa.RecordBatch:
+    """Counts of links (kind 0) and a spanning forest of them (kind 1) within a block or between two."""
+    sides = [one] if two is None else [one, two]
+    xs = [unit(np.frombuffer(s["vectors"], dtype).reshape(-1, s["dim"])) for s in sides]
+    trees = [restored(np.frombuffer(s["tree"], np.float64).reshape(-1, 6)) for s in sides]
+    ids, copies = (np.concatenate([np.frombuffer(s[c], np.int64) for s in sides]) for c in ("nodes", "copies"))
+    base = len(xs[0]) if two is not None else 0
+    links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+
+    def found(i, j):
+        j = j + base
+        np.add.at(links, i, copies[j])
+        np.add.at(links, j, copies[i])
+        while True:
+            low = np.minimum(root[i], root[j])
+            before = root.copy()
+            for k in (i, j, before[i], before[j]):
+                np.minimum.at(root, k, low)
+            while (root[root] != root).any():
+                root[:] = root[root]
+            if (root == before).all():
+                return
+
+    dual(xs[0], trees[0], xs[-1], trees[-1], cosine, found)
+    some, tied = np.nonzero(links)[0], np.nonzero(root != np.arange(len(ids)))[0]
+    return pa.RecordBatch.from_arrays([
+        pa.array([0] * len(some) + [1] * len(tied), pa.int32()), pa.array(np.concatenate([ids[some], ids[tied]]), pa.int64()),
+        pa.array(np.concatenate([links[some], ids[root[tied]]]), pa.int64())], names=["kind", "a", "b"])
 
 
 def _pivots(rows: DataFrame, sizes: DataFrame, block_rows: int, most: int) -> dict[tuple, np.ndarray]:
     """Pivots of the classes larger than a block: centres of a cover tree's level over a sample.
 
-    The sample has about four rows for each pivot, and there are at most ``most`` pivots.
+    The sample has about four rows for each pivot, and there are about ``most`` pivots at most.
     """
     big = sizes.where(F.col("rows") > block_rows)
     total = big.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("t")).first()["t"]
@@ -176,8 +242,8 @@ def _pivots(rows: DataFrame, sizes: DataFrame, block_rows: int, most: int) -> di
         return {}
     cell = max(block_rows, -(-total // most))
     share = min(1.0, 4.0 / cell)
-    picked = rows.join(F.broadcast(big.where(F.col("rows") > cell).select("label", "dim")), ["label", "dim"], "left_semi") if most <= MOST_PIVOTS else rows
-    picked = picked.where(F.pmod(F.xxhash64("node", F.lit("pivot")), F.lit(1 << 30)) < int(share * (1 << 30))).select("label", "dim", "node", "embedding").orderBy("label", "dim", "node")
+    picked = rows.join(F.broadcast(big.where(F.col("rows") > cell).select("label", "dim")), ["label", "dim"], "left_semi")  # fewer than ``most`` classes
+    picked = picked.where(F.pmod(F.xxhash64("node", F.lit("pivot")), F.lit(1 << 62)) < int(share * (1 << 62))).select("label", "dim", "node", "embedding").orderBy("label", "dim", "node")
     by: dict[tuple, list] = {}
     for r in picked.toLocalIterator():
         by.setdefault((r["label"], r["dim"]), []).append(r["embedding"])
@@ -192,31 +258,13 @@ def _pivots(rows: DataFrame, sizes: DataFrame, block_rows: int, most: int) -> di
     return out
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block_rows: int = BLOCK_ROWS, most_pivots: int = MOST_PIVOTS) -> DataFrame:
-    """``vec_id``, ``n_links``, ``component_id``, ``kept`` of every row of ``vectors``.
-
-    Rows with equal, non-null labels link when the cosine of their embeddings is at least
-    ``cosine``. A null, empty or zero vector, or one with null or non-finite parts, links with
-    nothing; neither do vectors of different lengths. Equal vectors of a label are one point with
-    a count, so copies make no pairs, and within a block pair only counts and a spanning forest of
-    its links are kept. Repeated rows are copies that link with each other. ``component_id`` is
-    the smallest id that links reach, ``kept`` whether it is the row's own.
-    """
-    spark = vectors.sparkSession
-    shared.small_batches(spark, 4096)
-    e = F.col("embedding")
-    finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    good = F.col("label").isNotNull() & F.coalesce(finite & F.exists(e, lambda x: x != 0), F.lit(False))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), e, good.alias("good"))
-    rows = rows.withColumns({"h1": F.xxhash64("embedding"), "h2": F.xxhash64(F.lit(1), "embedding")})
-    points = rows.where("good and vec_id is not null").groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("node"), F.count("*").alias("n"), F.first("embedding").alias("embedding")).withColumn("dim", F.size("embedding"))
-    points = shared.written(points, "points")
-    sizes = points.groupBy("label", "dim").agg(F.count("*").alias("rows"))
-    pivots = _pivots(points, sizes, block_rows, most_pivots)
-    held = spark.sparkContext.broadcast(pivots)
+def placed_points(points: DataFrame, pivots: dict[tuple, np.ndarray]) -> DataFrame:
+    """``points`` with ``cell``, that of the nearest pivot of their class (0 without any), and ``far``,
+    the distance to it."""
+    held = points.sparkSession.sparkContext.broadcast(pivots)
 
     def assign(batches):
-        for b in batches:
+        for b in shared.slices(batches, 4096):
             keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
             cell, far = np.zeros(len(keys), np.int32), np.zeros(len(keys))
             emb = b.column(4)
@@ -226,36 +274,121 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block_rows: int
                 cell[at], far[at] = d.argmin(axis=1), d.min(axis=1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(far)], names=["label", "dim", "node", "n", "embedding", "cell", "far"])
 
-    schema = "label string, dim int, node long, n long, embedding array<float>, cell int, far double"
-    placed = points.select("label", "dim", "node", "n", F.col("embedding").cast("array<float>").alias("embedding")).mapInArrow(assign, schema)
-    placed = shared.written(placed, "cells")
+    kind = points.schema["embedding"].dataType.simpleString()
+    return points.select("label", "dim", "node", "n", "embedding").mapInArrow(assign, f"label string, dim int, node long, n long, embedding {kind}, cell int, far double")
+
+
+def near_cells(cells: DataFrame, pivots: dict[tuple, np.ndarray], limit: float) -> DataFrame:
+    """``label``, ``dim``, ``cell``, ``other`` (not before ``cell``) for cells that may hold a link.
+
+    ``cells`` has ``radius`` and ``rows``. Only cells of classes with pivots, a bounded number, are
+    held against each other, each in the task that has its row; the others pair with themselves.
+    """
+    spark = cells.sparkSession
+    if not pivots:
+        return cells.select("label", "dim", "cell", F.col("cell").alias("other"))
+    some = spark.createDataFrame([(k[0], k[1]) for k in pivots], "label string, dim int")
+    at: dict[tuple, list] = {}
+    for r in cells.join(F.broadcast(some), ["label", "dim"], "left_semi").select("label", "dim", "cell", "radius").collect():  # as many as pivots
+        at.setdefault((r["label"], r["dim"]), []).append((r["cell"], r["radius"]))
+    held = spark.sparkContext.broadcast({k: (np.array([c for c, _ in v]), np.array([r for _, r in v]), pivots[k]) for k, v in at.items()})
+
+    def run(batches):
+        for b in shared.slices(batches, 64):
+            out = []
+            for label, dim, cell, radius in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                others = [cell]
+                if (label, dim) in held.value:
+                    names, radii, p = held.value[label, dim]
+                    near = distances(p[[cell]], p[names])[0] <= radius + radii + limit
+                    others = sorted({cell, *names[near & (names > cell)].tolist()})
+                out += [(label, dim, cell, o) for o in others]
+            cols = list(zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *[pa.array(c, pa.int32()) for c in cols[1:]]], names=["label", "dim", "cell", "other"])
+
+    return cells.select("label", "dim", "cell", "radius").mapInArrow(run, "label string, dim int, cell int, other int")
+
+
+def near_blocks(pairs: DataFrame, blocks: DataFrame, limit: float) -> DataFrame:
+    """``label``, ``dim``, ``cell``, ``block``, ``other``, ``other_block``, ``near`` for pairs of blocks.
+
+    ``near`` is false where all pairs of the two trees' uppermost nodes are too far apart. A block's
+    pair with itself isn't among them.
+    """
+    a = blocks.select("label", "dim", "cell", "block", "tops", "radii")
+    b = blocks.select("label", "dim", F.col("cell").alias("other"), F.col("block").alias("other_block"), F.col("tops").alias("tops2"), F.col("radii").alias("radii2"))
+    both = pairs.join(a, ["label", "dim", "cell"]).join(b, ["label", "dim", "other"]).where((F.col("cell") < F.col("other")) | (F.col("block") < F.col("other_block")))
+
+    def run(batches):
+        for part in shared.slices(batches, 512):
+            near = []
+            for dim, t, r, t2, r2 in zip(*[part.column(c).to_pylist() for c in ("dim", "tops", "radii", "tops2", "radii2")], strict=True):
+                x, y = (np.frombuffer(v, np.float64).reshape(-1, dim) for v in (t, t2))
+                near.append(bool((distances(x, y) <= np.frombuffer(r)[:, None] + np.frombuffer(r2)[None, :] + limit).any()))
+            names = ["label", "dim", "cell", "block", "other", "other_block"]
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(near)], names=[*names, "near"])
+
+    return both.mapInArrow(run, ID + ", other int, other_block int, near boolean")
+
+
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block_rows: int = BLOCK_ROWS, most_pivots: int = MOST_PIVOTS) -> DataFrame:
+    """``vec_id``, ``n_links``, ``component_id``, ``kept`` of every row of ``vectors``.
+
+    Rows with equal, non-null labels link when the cosine of their embeddings, in double
+    precision, is at least ``cosine``. A null, empty or zero vector, or one with null or non-finite
+    parts, links with nothing; neither do vectors of different lengths, nor a row with a null id.
+    Equal vectors of a label are one point with a count, so copies make no pairs, and within a
+    block pair only counts and a spanning forest of its links are kept. Rows that repeat an id are
+    copies like any other. ``component_id`` is the smallest id that links reach, ``kept`` whether
+    it is the row's own.
+    """
+    spark = vectors.sparkSession
+    shared.ready(spark)
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    dtype = np.float32 if kind == "array<float>" else np.float64
+    e = F.col("embedding")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), e.cast(kind).alias("embedding"))
+    finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    good = F.col("label").isNotNull() & F.coalesce(finite & F.exists(e, lambda x: x != 0), F.lit(False))
+    # zeros of both signs are equal, so a vector's hash is that of its parts plus zero
+    same = F.transform(e, lambda x: x + F.lit(0.0).cast(kind[6:-1]))
+    rows = rows.withColumn("good", good).withColumns({"h1": F.xxhash64(same), "h2": F.xxhash64(F.lit(1), same)})
+    points = rows.where("good and vec_id is not null").groupBy("label", "h1", "h2").agg(F.min(F.struct("vec_id", "embedding")).alias("p"), F.count("*").alias("n"))
+    points = points.select("label", "h1", "h2", F.monotonically_increasing_id().alias("node"), F.col("p.vec_id").alias("first"), "n", F.col("p.embedding").alias("embedding"), F.size("p.embedding").alias("dim"))
+    points = shared.written(points, "points")  # so the numbers of nodes are fixed
+    sizes = points.groupBy("label", "dim").agg(F.count("*").alias("rows"))
+    pivots = _pivots(points, sizes, block_rows, most_pivots)
+    placed = shared.written(placed_points(points, pivots), "cells")
     cells = placed.groupBy("label", "dim", "cell").agg(F.count("*").alias("rows"), F.max("far").alias("radius")).withColumn("blocks", F.ceil(F.col("rows") / (2 * block_rows)).cast("int"))
-    # cells of classes with pivots are few; those of all others are alone and pair with themselves
+    cells = shared.written(cells, "cell-sizes")
     limit = float(np.sqrt(2 - 2 * cosine)) + EPS
-    at: dict[tuple, list] = {}
-    if pivots:
-        some = spark.createDataFrame([(k[0], k[1]) for k in pivots], "label string, dim int")
-        for r in cells.join(F.broadcast(some), ["label", "dim"], "left_semi").collect():
-            at.setdefault((r["label"], r["dim"]), []).append((r["cell"], r["radius"], r["blocks"]))
-    pairs = []
-    for key, cs in at.items():
-        p, rad = pivots[key], np.array([c[1] for c in cs])
-        near = distances(p[[c[0] for c in cs]], p[[c[0] for c in cs]]) <= rad[:, None] + rad[None, :] + limit
-        pairs += [(key[0], key[1], cs[i][0], cs[j][0], cs[j][2]) for i, j in zip(*np.nonzero(near | np.eye(len(cs), dtype=bool)), strict=True)]
-    partner = spark.createDataFrame(pairs, "label string, dim int, cell int, other int, other_blocks int") if pairs else None
-    single = cells.select("label", "dim", "cell", F.col("cell").alias("other"), F.col("blocks").alias("other_blocks"))
-    if partner is not None:
-        single = single.join(F.broadcast(some), ["label", "dim"], "left_anti").union(partner.select("label", "dim", "cell", "other", "other_blocks"))
     member = placed.join(cells.select("label", "dim", "cell", "blocks"), ["label", "dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    member = member.select("label", "dim", "node", "n", "embedding", "cell", "block").join(single, ["label", "dim", "cell"]).withColumn("other_block", F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1)))
-    own, oth = F.struct(F.col("cell").alias("c"), F.col("block").alias("b")), F.struct(F.col("other").alias("c"), F.col("other_block").alias("b"))
-    dealt = member.select("label", "dim", "node", "n", "embedding", F.least(own, oth).alias("p"), F.greatest(own, oth).alias("q"), (own > oth).cast("int").alias("side"), (own == oth).alias("same"))
-    out = dealt.groupBy("label", "dim", "p", "q").applyInArrow(_block_pair(cosine), "kind int, a long, b long")
+    member = member.select("label", "dim", "cell", "block", "node", "n", "embedding")
+    blocks = shared.written(member.groupBy("label", "dim", "cell", "block").applyInArrow(_build_blocks, BLOCKS), "blocks")
+    pairs = near_blocks(near_cells(cells, pivots, limit), blocks, limit).where("near").drop("near")
+
+    def within(batches):
+        for b in shared.slices(batches, 1):
+            yield _links_of(b.to_pylist()[0], None, cosine, dtype)
+
+    def between(batches):
+        for b in shared.slices(batches, 1):
+            r = b.to_pylist()[0]
+            yield _links_of(r["x"], r["y"], cosine, dtype)
+
+    side = F.struct("dim", "nodes", "copies", "vectors", "tree")
+    x = blocks.select("label", "dim", "cell", "block", side.alias("x"))
+    y = blocks.select("label", "dim", F.col("cell").alias("other"), F.col("block").alias("other_block"), side.alias("y"))
+    two = pairs.join(x, ["label", "dim", "cell", "block"]).join(y, ["label", "dim", "other", "other_block"]).select("x", "y")
+    out = blocks.select("dim", "nodes", "copies", "vectors", "tree").mapInArrow(within, FOUND).union(two.mapInArrow(between, FOUND))
     out = shared.written(out, "vector-links")
+    for t in (placed, cells, blocks):
+        shared.dropped(t)
     links = out.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("links"))
     comp = shared.connected_components(out.where("kind = 1").select("a", "b"))
-    by_point = points.select("label", "h1", "h2", "node", "n").join(links, "node", "left").join(comp, "node", "left").select(
-        "label", "h1", "h2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "node").alias("component"))
+    ends = points.select("label", "h1", "h2", "node", "first", "n").join(links, "node", "left").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = ends.groupBy("component").agg(F.min("first").alias("least"))
+    by_point = ends.join(least, "component").select("label", "h1", "h2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.col("least").alias("component"))
     found = rows.where("good").select("vec_id", "label", "h1", "h2").join(by_point, ["label", "h1", "h2"], "left").select("vec_id", "links", "component")
     rest = rows.where("not good").select("vec_id", F.lit(0).cast("long"), F.col("vec_id"))
     both = found.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("links")).otherwise(F.lit(0)).alias("n_links"), F.when(F.col("vec_id").isNotNull(), F.col("component")).alias("component_id")).union(rest)
