@@ -86,7 +86,22 @@ def slug(x: Column) -> Column:
 
 
 def year_of(x: Column) -> Column:
-    return F.regexp_extract(x, r"20\d{2}", 0).try_cast("int") if hasattr(Column, "try_cast") else F.regexp_extract(x, r"20\d{2}", 0).cast("int")
+    """The first year from 2000 on in a text; null where there is none."""
+    return F.nullif(F.regexp_extract(x, r"20\d{2}", 0), F.lit("")).try_cast("int")
+
+
+def date_es(x: Column) -> Column:
+    """Day, month and year without leading zeros."""
+    return F.date_format(x, "d/M/yyyy")
+
+
+def block_of(topic: Column) -> Column:
+    return F.split_part(topic, F.lit("."), F.lit(1))
+
+
+def normal_answer(x: Column) -> Column:
+    """An answer in lower case; null stays null."""
+    return F.lower(F.trim(x))
 
 
 def document_id(path: Column) -> Column:

@@ -18,11 +18,11 @@ def candidate_dedup(rows: DataFrame, least: int = 4) -> DataFrame:
 def mark_duplicates(items: DataFrame, profile: str) -> DataFrame:
     """``items`` with ``duplicate_of``: the first item, by ``seq``, of the same signature.
 
-    The first one is found by an aggregate with map-side combine and joined back, so a signature
-    that very many items share is split by adaptive execution. Items of one ``seq`` and signature
-    are all first.
+    The first one is found by an aggregate with map-side combine over a digest of the signature, and
+    joined back, so a signature that very many items share is split by adaptive execution and no
+    text is shuffled for the sake of its key. Items of one ``seq`` and signature are all first.
     """
-    sig = items.withColumn("sig", T.signature(F.concat_ws(" ", F.col("prompt"), F.array_join("options", " ")), profile))
+    sig = items.withColumn("sig", F.md5(T.signature(F.concat_ws(" ", F.col("prompt"), F.array_join("options", " ")), profile)))
     first = sig.groupBy("sig").agg(F.min(F.struct("seq", "item_id")).alias("f"), F.count("*").alias("n")).where("n > 1").select("sig", "f")
     return sig.join(first, "sig", "left").withColumn("duplicate_of", F.when(F.col("f.seq") < F.col("seq"), F.col("f.item_id"))).drop("f", "sig")
 
@@ -107,9 +107,12 @@ def upsert_latest(rows: DataFrame, key: list[str], order: str, tie: str) -> Data
 
 
 def import_guard(incoming: DataFrame, existing: DataFrame, key: str = "user_id", most: int = 10_000) -> DataFrame:
-    """Rows of accounts that are empty so far and import no more than ``most`` items."""
-    small = incoming.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") <= most).select(key)
-    return incoming.join(existing.select(key).distinct(), key, "left_anti").join(small, key, "left_semi")
+    """``incoming`` with ``refused``: null for accounts that are empty so far and import no more than
+    ``most`` items, else the reason, by which the whole import of the account fails."""
+    there = existing.select(key).distinct().withColumn("_there", F.lit(True))
+    size = incoming.groupBy(key).agg(F.count("*").alias("_n"))
+    why = F.when(F.col("_n") > most, "too many items").when(F.col("_there"), "the account has progress")
+    return incoming.join(size.join(there, key, "left").select(key, why.alias("refused")), key)
 
 
 def sample(items: DataFrame, seed: str, n: int, key: str = "item_id") -> DataFrame:
@@ -129,7 +132,6 @@ def simulation(items: DataFrame, seed: str, strata: list[tuple[str, int]], strat
         part = items.where(F.col(stratum) == name).orderBy(*T.seeded_order(seed, key)).limit(n).select(key, F.lit(i).alias("block"), F.lit(False).alias("filler"))
         out = part if out is None else out.union(part)
         wanted += n
-    out = out.cache()  # as many rows as a test has
     lack = wanted - out.count()
     fill = items.join(out.select(key), key, "left_anti").orderBy(*T.seeded_order(seed, key)).limit(max(0, lack)).select(key, F.lit(len(strata)).alias("block"), F.lit(True).alias("filler"))
     every = out.union(fill)

@@ -5,7 +5,7 @@ Scores and confidences are integers (twentieths, and units of 0.00005), so that
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from itembank.functions import text as T
@@ -15,29 +15,30 @@ THRESHOLD = {"pdf": 13600, "txt": 13500}
 FALLBACK = 6000
 
 
-def lexicon_frame(spark: SparkSession, lexicon: list[tuple[str, list[str]]]) -> DataFrame:
-    """``topic``, ``topic_ord``, ``term`` (folded), ``term_len``; the order of topics breaks ties."""
-    rows = [(topic, i, term) for i, (topic, terms) in enumerate(lexicon) for term in terms]
-    df = spark.createDataFrame(rows, "topic string, topic_ord int, term string")
-    return df.withColumn("term", T.fold(F.col("term"))).withColumn("term_len", F.length("term"))
-
-
-def score_topics(items: DataFrame, lexicon: list[tuple[str, list[str]]]) -> DataFrame:
-    """``item_id``, ``topic``, ``topic_ord``, ``score`` for every item and topic.
+def topic_scores(lexicon: list[tuple[str, list[str]]], prompt: Column, whole: Column) -> Column:
+    """An array of topic, topic_ord and score, from folded texts.
 
     A term in the prompt scores 60 + min(40, its length), elsewhere in the item 20. The lexicon is
     a list in the plan (its size is a parameter's), so an item is scored without any join.
     """
-    p, a = F.col("_p"), F.col("_a")
-    df = items.withColumn("_p", T.fold(F.coalesce("prompt", F.lit("")))).withColumn("_a", T.fold(F.concat_ws(" ", F.coalesce("prompt", F.lit("")), F.array_join("options", " "))))
-    folded = lambda t: T_fold_py(t)
     parts = []
     for i, (topic, terms) in enumerate(lexicon):
         s = F.lit(0)
-        for t in map(folded, terms):
-            s = s + F.when(p.contains(t), 60 + min(40, len(t))).when(a.contains(t), 20).otherwise(0)
+        for t in map(T_fold_py, terms):
+            s = s + F.when(prompt.contains(t), 60 + min(40, len(t))).when(whole.contains(t), 20).otherwise(0)
         parts.append(F.struct(F.lit(topic).alias("topic"), F.lit(i).alias("topic_ord"), s.cast("int").alias("score")))
-    return df.select("item_id", F.explode(F.array(*parts)).alias("x")).select("item_id", "x.topic", "x.topic_ord", "x.score")
+    return F.array(*parts)
+
+
+def _folded(items: DataFrame) -> DataFrame:
+    p = F.coalesce("prompt", F.lit(""))
+    return items.withColumn("_p", T.fold(p)).withColumn("_a", T.fold(F.concat_ws(" ", p, F.array_join("options", " "))))
+
+
+def score_topics(items: DataFrame, lexicon: list[tuple[str, list[str]]]) -> DataFrame:
+    """``item_id``, ``topic``, ``topic_ord``, ``score`` for every item and topic."""
+    df = _folded(items)
+    return df.select("item_id", F.explode(topic_scores(lexicon, F.col("_p"), F.col("_a"))).alias("x")).select("item_id", "x.topic", "x.topic_ord", "x.score")
 
 
 def T_fold_py(t: str) -> str:
@@ -45,11 +46,13 @@ def T_fold_py(t: str) -> str:
     return t.lower().replace("ß", "ss").translate(str.maketrans(T.ACCENTED, T.PLAIN))
 
 
-def rank(scores: DataFrame) -> DataFrame:
-    """Best topic of each item, its score and its margin to the second; ties go to the lexicon's order."""
-    best = F.struct((-F.col("score")).alias("neg"), "topic_ord", "topic")
-    two = F.slice(F.array_sort(F.collect_list(best)), 1, 2)  # as many as there are topics
-    return scores.groupBy("item_id").agg(two.alias("t")).select("item_id", F.col("t")[0]["topic"].alias("topic"), (-F.col("t")[0]["neg"]).alias("score"), (F.get("t", F.lit(1))["neg"] - F.col("t")[0]["neg"]).alias("margin"))
+def ranked(items: DataFrame, lexicon: list[tuple[str, list[str]]]) -> DataFrame:
+    """``items`` with their best ``topic``, its ``score`` and ``margin`` to the second, within the row;
+    ties go to the lexicon's order. The margin is null where there is one topic only."""
+    order = F.transform("_s", lambda x: F.struct((-x["score"]).alias("neg"), x["topic_ord"].alias("topic_ord"), x["topic"].alias("topic")))
+    df = _folded(items).withColumn("_s", topic_scores(lexicon, F.col("_p"), F.col("_a"))).withColumn("_two", F.slice(F.array_sort(order), 1, 2))
+    first, second = F.get("_two", F.lit(0)), F.get("_two", F.lit(1))
+    return df.withColumns({"topic": first["topic"], "score": -first["neg"], "margin": second["neg"] - first["neg"]}).drop("_p", "_a", "_s", "_two")
 
 
 def confidence_units(score: Column, margin: Column) -> Column:
@@ -57,15 +60,21 @@ def confidence_units(score: Column, margin: Column) -> Column:
     return F.when(score > 0, F.least(F.lit(19600), 11200 + 35 * score + 25 * F.coalesce(margin, F.lit(0)))).otherwise(FALLBACK).cast("int")
 
 
+def classified(items: DataFrame, lexicon) -> DataFrame:
+    """``items`` with ``topic``, ``units`` and ``method`` by the rules, within the row."""
+    r = ranked(items, lexicon)
+    units, method = confidence_units(F.col("score"), F.col("margin")), F.when(F.col("score") > 0, "rules").otherwise("fallback")
+    return r.withColumns({"units": units, "method": method}).drop("score", "margin")
+
+
 def classify(items: DataFrame, lexicon, decisions: DataFrame | None = None, overrides: DataFrame | None = None) -> DataFrame:
     """``item_id``, ``topic``, ``units``, ``method``: a decision, else an override, else the rules."""
-    r = rank(score_topics(items, lexicon)).withColumn("units", confidence_units(F.col("score"), F.col("margin")))
-    r = r.withColumn("method", F.when(F.col("score") > 0, "rules").otherwise("fallback"))
+    r = classified(items, lexicon).select("item_id", "topic", "units", "method")
     for name, table in (("override", overrides), ("decision", decisions)):
         if table is not None:
             t = table.select(F.col("item_id"), F.col("topic").alias("_t"))
-            r = r.join(t, "item_id", "left").select("item_id", F.coalesce("_t", "topic").alias("topic"), "score", "margin", F.when(F.col("_t").isNotNull(), 20000).otherwise(F.col("units")).alias("units"), F.when(F.col("_t").isNotNull(), name).otherwise(F.col("method")).alias("method"))
-    return r.select("item_id", "topic", "units", "method")
+            r = r.join(t, "item_id", "left").select("item_id", F.coalesce("_t", "topic").alias("topic"), F.when(F.col("_t").isNotNull(), 20000).otherwise(F.col("units")).alias("units"), F.when(F.col("_t").isNotNull(), name).otherwise(F.col("method")).alias("method"))
+    return r
 
 
 def outdated_reason(folded: Column, terms: list[tuple[str, str]]) -> Column:
@@ -110,6 +119,3 @@ def document_role(path: Column) -> Column:
 def needs_ocr(pages: Column, chars: Column, year: Column) -> Column:
     return (pages > 2) & ((chars < 5000) | year.between(2005, 2018))
 
-
-def by_order(key: str, *order: str):
-    return Window.partitionBy(key).orderBy(*order)

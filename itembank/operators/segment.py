@@ -1,7 +1,7 @@
 """Raw lines to questions: line types, sections, segments, alignment and geometry.
 
 What a window can express is a window over one document's lines; folds that depend on their own
-earlier results run once for each document, in ``applyInPandas``. A document's lines are bounded,
+earlier results run on each document's row, without a shuffle. A document's lines are bounded,
 a corpus's are not, so nothing here is ordered across documents.
 """
 
@@ -61,13 +61,23 @@ def repaired(numbers: Column) -> Column:
     return F.aggregate(numbers, F.array().cast("array<int>"), step)
 
 
+#: Readings of the markers b, c and d, and the longest run of marks after one.
+READ_AS = {"b": ["hb", "bh"], "c": ["ec", "e", "€", "£", "<", "¢", "ç", "ce", "cc", "cl"], "d": ["dd", "od", "0d"]}
+
+
 def marker_label(token: Column) -> Column:
     """The option a misread marker stands for; ``?`` where it could be any."""
-    t = F.regexp_replace(F.lower(token), r"[).:\s]", "")
-    return (
-        F.when(t.isin("a", "b", "c", "d"), t).when(t.isin("€", "£", "<", "¢", "ç", "ce", "cc", "cl", "e"), "c").when(t.isin("hb", "bh"), "b")
-        .when(t.isin("dd", "od", "0d"), "d").when(t.isin("o", "0"), "?")
-    )
+    t = F.lower(F.trim(F.regexp_replace(F.trim(token), r"[.),/;:]+$", "")))
+    label = F.when(t.isin("a", "b", "c", "d"), t).when(t.isin("aj", "bj", "cj", "dj"), F.substring(t, 1, 1))
+    for letter, tokens in READ_AS.items():
+        label = label.when(t.isin(*tokens), letter)
+    return label.otherwise("?")
+
+
+def marker_number(token: Column) -> Column:
+    """The number of a marker; null if it isn't one."""
+    t = F.regexp_replace(F.trim(token), r"[.),;:]+$", "")
+    return F.when(t.rlike(r"^[0-9]{1,9}$"), t).try_cast("int")
 
 
 def align_options(labels: list[str]) -> list[int]:
@@ -134,16 +144,17 @@ def lcs_rows(groups: DataFrame, key: str, observed: str, expected: list[int]) ->
     return groups.select(key, observed).mapInPandas(run, f"{key} long, observed long, expected long")
 
 
-def per_document(lines: DataFrame, fold, schema: str) -> DataFrame:
-    """``fold(doc_id, lines) -> rows`` for each document, over its lines in order."""
+def per_document(docs: DataFrame, fold, schema: str, text: str = "text") -> DataFrame:
+    """``fold(doc_id, lines) -> rows`` for each document, over the lines of its text, in place."""
     names = [c.split()[0] for c in schema.split(", ")]
-    workers.ready(lines.sparkSession)
+    workers.ready(docs.sparkSession)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("line_no")
-        return pd.DataFrame(fold(int(pdf.doc_id.iloc[0]), pdf.line.tolist()), columns=names)
+    def run(it):
+        for pdf in it:
+            rows = [r for d, t in zip(pdf.doc_id, pdf[text], strict=True) for r in fold(int(d), (t or "").split("\n"))]
+            yield pd.DataFrame(rows, columns=names)
 
-    return lines.groupBy("doc_id").applyInPandas(run, schema)
+    return docs.select("doc_id", text).mapInPandas(run, schema)
 
 
 def column_clusters(boxes: DataFrame, width: int = 18) -> DataFrame:

@@ -195,12 +195,18 @@ def number_repair(spark, d):
     return g.select("l_orderkey", F.to_json(S.repaired(F.col("numbers"))).alias("repaired"))
 
 
-@query("""with t as (select doc_id, unnest(string_split(text, ' ')) as token from documents), n as (select *, regexp_replace(lower(token), '[).:\\s]', '', 'g') as t from t),
-  m as (select doc_id, case when t in ('a','b','c','d') then t when t in ('€','£','<','¢','ç','ce','cc','cl','e') then 'c' when t in ('hb','bh') then 'b' when t in ('dd','od','0d') then 'd' when t in ('o','0') then '?' end as label from n)
-  select doc_id, label, count(*) as n from m where label is not null group by 1, 2""")
+@query("""with t as (select doc_id, unnest(string_split(text, ' ')) as token from documents), n as (select *, lower(trim(regexp_replace(trim(token), '[.),/;:]+$', ''))) as t from t),
+  m as (select doc_id, case when t in ('a','b','c','d') then t when t in ('aj','bj','cj','dj') then left(t, 1) when t in ('hb','bh') then 'b' when t in ('ec','e','€','£','<','¢','ç','ce','cc','cl') then 'c' when t in ('dd','od','0d') then 'd' else '?' end as label from n)
+  select doc_id, label, count(*) as n from m group by 1, 2""")
 def marker_labels(spark, d):
     t = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("token"))
-    return t.select("doc_id", S.marker_label(F.col("token")).alias("label")).where("label is not null").groupBy("doc_id", "label").agg(F.count("*").alias("n"))
+    return t.select("doc_id", S.marker_label(F.col("token")).alias("label")).groupBy("doc_id", "label").agg(F.count("*").alias("n"))
+
+
+@query("select doc_id, sum(t.n)::bigint as total, count(*) as numbers from (select doc_id, try_cast(regexp_extract(regexp_replace(trim(token), '[.),;:]+$', ''), '^[0-9]{1,9}$') as int) as n from (select doc_id, unnest(string_split(text, ' ')) as token from documents)) t where n is not null group by 1")
+def marker_numbers(spark, d):
+    t = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("token"))
+    return t.select("doc_id", S.marker_number(F.col("token")).alias("n")).where("n is not null").groupBy("doc_id").agg(F.sum("n").cast("long").alias("total"), F.count("*").alias("numbers"))
 
 
 def _fold_options(doc_id, lines):
@@ -211,7 +217,7 @@ def _fold_options(doc_id, lines):
 
 @query()
 def option_align(spark, d):
-    return S.per_document(S.lines_of(table(spark, d, "documents")), _fold_options, "doc_id long, position long, option string")
+    return S.per_document(table(spark, d, "documents"), _fold_options, "doc_id long, position long, option string")
 
 
 def _fold_chain(doc_id, lines):
@@ -220,7 +226,7 @@ def _fold_chain(doc_id, lines):
 
 @query()
 def best_chain(spark, d):
-    return S.per_document(S.lines_of(table(spark, d, "documents")), _fold_chain, "doc_id long, line_no long, length long")
+    return S.per_document(table(spark, d, "documents"), _fold_chain, "doc_id long, line_no long, length long")
 
 
 @query()
@@ -268,7 +274,7 @@ def classify_scores(spark, d):
 
 @query(RANKED + "select item_id, topic, score, margin from best")
 def classify_top1(spark, d):
-    return C.rank(C.score_topics(items(spark, d), LEXICON))
+    return C.ranked(items(spark, d), LEXICON).select("item_id", "topic", "score", "margin")
 
 
 @query(RANKED + "select item_id, topic, units, method from best")
@@ -316,7 +322,7 @@ def quality_reason(spark, d):
 
 
 def statuses(spark, d, profile):
-    i = keyed(spark, d).join(C.classify(items(spark, d), LEXICON).select("item_id", "topic", "units"), "item_id")
+    i = C.classified(keyed(spark, d), LEXICON)
     s = C.status(profile, F.col("answer"), C.quality_reason(F.col("prompt"), F.col("options")), C.outdated_reason(T.fold(F.col("text")), OUTDATED), F.col("units"))
     return i.withColumn("status", s).withColumn("active", s == "valid")
 
@@ -552,8 +558,8 @@ def upload_validate(spark, d):
 
 @query("select 'uploaded:' || conv_id || ':q-' || turn as item_id, row_number() over (partition by conv_id order by turn) as ordinal from conversations")
 def upload_unnest(spark, d):
-    g = uploads(spark, d).groupBy("source_id").agg(F.sort_array(F.collect_list("q.id")).alias("ids"))
-    return g.select(F.posexplode("ids").alias("p", "id"), "source_id").select(F.concat(F.lit("uploaded:"), F.col("source_id").cast("string"), F.lit(":"), "id").alias("item_id"), (F.col("p") + 1).cast("long").alias("ordinal"))
+    g = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("source_id")).agg(F.array_sort(F.collect_list("turn")).alias("turns"))
+    return g.select("source_id", F.posexplode("turns").alias("p", "turn")).select(F.concat(F.lit("uploaded:"), F.col("source_id").cast("string"), F.lit(":q-"), F.col("turn").cast("string")).alias("item_id"), (F.col("p") + 1).cast("long").alias("ordinal"))
 
 
 HALVES = "with c as (select user_id, max(ts) as updated, max(event_id) as payload from events where event_type in ('click', 'view') group by 1), s as (select user_id, max(ts) as updated, max(event_id) as payload from events where event_type = 'error' and value > 30 group by 1)"
@@ -572,7 +578,7 @@ def upsert_latest(spark, d):
     return B.upsert_latest(e, ["user_id", "event_type"], "ts", "event_id").select("user_id", "event_type", "event_id", "value")
 
 
-@query("with i as (select user_id, event_id from events where event_type = 'click'), ok as (select user_id from i group by 1 having count(*) <= 15) select user_id, event_id from i where user_id in (select user_id from ok) and user_id not in (select user_id from events where event_type = 'error' and value > 60)")
+@query("with i as (select user_id, event_id from events where event_type = 'click'), n as (select user_id, count(*) as n from i group by 1) select i.user_id, event_id, case when n > 15 then 'too many items' when i.user_id in (select user_id from events where event_type = 'error' and value > 60) then 'the account has progress' end as refused from i join n using (user_id)")
 def import_guard(spark, d):
     e = table(spark, d, "events")
     return B.import_guard(e.where("event_type = 'click'").select("user_id", "event_id"), e.where("event_type = 'error' and value > 60"), most=15)
