@@ -31,12 +31,12 @@ TOPS = 16
 
 
 class Node:
-    __slots__ = ("centre", "radius", "members", "children", "centres", "radii", "lo", "hi")
+    __slots__ = ("centre", "radius", "members", "children", "centres", "radii", "single", "lo", "hi")
 
     def __init__(self, x: np.ndarray, members: np.ndarray, centre: int, radius: float):
         self.centre, self.radius, self.members = centre, radius, members
         self.children: list[Node] = []
-        self.centres = self.radii = None
+        self.centres = self.radii = self.single = None
 
 
 def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -65,9 +65,31 @@ def build(x: np.ndarray, members: np.ndarray | None = None, scale: float = 2.0,
         first = int(left[0]) if len(left) else -1
     node.centres = np.array([c.centre for c in node.children])
     node.radii = np.array([c.radius for c in node.children])
+    node.single = np.array([len(c.members) == 1 for c in node.children])
     return node
 
 
+def descend(x: np.ndarray, rows: np.ndarray, y: np.ndarray, node: Node, cosine: float, found) -> None:
+    """:func:`dual` for single vectors: all that a node may hold links of go down its tree together."""
+    limit = np.sqrt(2.0 - 2.0 * cosine) + EPS
+    stack = [(rows, node)]
+    while stack:
+        rows, node = stack.pop()
+        if not node.children:
+            i, j = np.nonzero(x[rows] @ y[node.members].T >= cosine)
+            if len(i):
+                found(rows[i], node.members[j])
+            continue
+        alone, branches = np.nonzero(node.single)[0], np.nonzero(~node.single)[0]
+        if len(alone):
+            i, j = np.nonzero(x[rows] @ y[node.centres[alone]].T >= cosine)
+            if len(i):
+                found(rows[i], node.centres[alone[j]])
+        if len(branches):
+            near = distances(x[rows], y[node.centres[branches]]) <= node.radii[branches] + limit
+            stack += [(rows[near[:, k]], node.children[c]) for k, c in enumerate(branches.tolist()) if near[:, k].any()]
+
+
 def dual(x: np.ndarray, a: Node, y: np.ndarray, b: Node, cosine: float, found) -> None:
     """Calls ``found(i, j)`` with arrays of rows of ``x`` and ``y`` that are at least ``cosine`` alike.
 
@@ -87,37 +109,45 @@ def dual(x: np.ndarray, a: Node, y: np.ndarray, b: Node, cosine: float, found) -
             if len(i):
                 found(p.members[i], q.members[j])
             continue
-        if p is q:
-            ps = qs = p.children
-            pc, pr, qc, qr = p.centres, p.radii, p.centres, p.radii
-        else:
-            if p.children and (not q.children or p.radius >= q.radius):
-                ps, pc, pr = p.children, p.centres, p.radii
-                qs, qc, qr = [q], np.array([q.centre]), np.array([q.radius])
-                if q.children and q.radius * 2 >= p.radius:
-                    qs, qc, qr = q.children, q.centres, q.radii
-            else:
-                ps, pc, pr = [p], np.array([p.centre]), np.array([p.radius])
-                qs, qc, qr = q.children, q.centres, q.radii
-                if p.children and p.radius * 2 >= q.radius:
-                    ps, pc, pr = p.children, p.centres, p.radii
+        (ps, pc, pr, p1), (qs, qc, qr, q1) = _sides(p, q)
+        alone, other = {}, {}  # rows of single vectors, by the node of the other side that they are near
         for at in range(0, len(ps), 512):
             near = distances(x[pc[at : at + 512]], y[qc]) <= pr[at : at + 512, None] + qr[None, :] + limit
             if p is q:
                 near &= np.arange(at, min(at + 512, len(ps)))[:, None] <= np.arange(len(qs))[None, :]
             i, j = np.nonzero(near)
             i += at
-            # single vectors are settled together, other pairs go on
-            one = (pr[i] <= EPS) & (qr[j] <= EPS) & np.array([len(ps[k].members) == 1 for k in i.tolist()], bool) & np.array([len(qs[k].members) == 1 for k in j.tolist()], bool)
-            if one.any():
-                s, t = pc[i[one]], qc[j[one]]
-                if p is q:
-                    s, t = s[i[one] != j[one]], t[i[one] != j[one]]
-                if len(s):
-                    hit = np.einsum("ij,ij->i", x[s], y[t]) >= cosine
-                    if hit.any():
-                        found(s[hit], t[hit])
-            stack += [(ps[k], qs[m]) for k, m in zip(i[~one].tolist(), j[~one].tolist(), strict=True)]
+            # single vectors are settled together or go down the other side's tree, other pairs go on
+            one = p1[i] & q1[j]
+            s, t = pc[i[one]], qc[j[one]]
+            if p is q:
+                s, t = s[i[one] != j[one]], t[i[one] != j[one]]
+            hit = np.einsum("ij,ij->i", x[s], y[t]) >= cosine
+            if hit.any():
+                found(s[hit], t[hit])
+            for side, mask, key, rows in ((alone, p1[i] & ~q1[j], j, pc[i]), (other, ~p1[i] & q1[j], i, qc[j])):
+                for k in np.unique(key[mask]).tolist():
+                    side.setdefault(k, []).append(rows[mask & (key == k)])
+            rest = ~(p1[i] | q1[j])
+            stack += [(ps[k], qs[m]) for k, m in zip(i[rest].tolist(), j[rest].tolist(), strict=True)]
+        for k, rows in alone.items():
+            descend(x, np.concatenate(rows), y, qs[k], cosine, found)
+        for k, rows in other.items():
+            descend(y, np.concatenate(rows), x, ps[k], cosine, lambda i, j: found(j, i))
+
+
+def _sides(p: Node, q: Node) -> tuple[tuple, tuple]:
+    """What of a pair of nodes is compared next: nodes, centres, radii and which are single vectors.
+
+    The side with the larger radius is split, both if their radii are within a factor of two.
+    """
+    parts = lambda n: (n.children, n.centres, n.radii, n.single)
+    whole = lambda n: ([n], np.array([n.centre]), np.array([n.radius]), np.array([len(n.members) == 1]))
+    if p is q:
+        return parts(p), parts(p)
+    if p.children and (not q.children or p.radius >= q.radius):
+        return parts(p), parts(q) if q.children and q.radius * 2 >= p.radius else whole(q)
+    return parts(p) if p.children and p.radius * 2 >= q.radius else whole(p), parts(q)
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -161,9 +191,10 @@ def restored(table: np.ndarray) -> Node:
     whole = table[:, [0, 2, 3, 4, 5]].astype(np.int64).tolist()
     for node, radius, (centre, lo, hi, first, n) in zip(nodes, table[:, 1].tolist(), whole, strict=True):
         node.centre, node.radius, node.members, node.children = centre, radius, np.arange(lo, hi), nodes[first : first + n]
-        node.centres = node.radii = None
+        node.centres = node.radii = node.single = None
         if n:
-            node.centres, node.radii = np.array([c[0] for c in whole[first : first + n]]), table[first : first + n, 1]
+            below = table[first : first + n]
+            node.centres, node.radii, node.single = below[:, 0].astype(np.int64), below[:, 1], below[:, 3] - below[:, 2] == 1
     return nodes[0]
 
 
