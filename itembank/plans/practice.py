@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from itembank.operators import audit as A
 from itembank.operators import exam as E
+from itembank.operators import layout as L
 from itembank.operators import practice as P
 from itembank.operators import uploads as U
 from itembank.plans.queries import ACT, KEYED, LEXICON, SECTIONS, activity, items, keyed, query, sql_fold, sql_status, statuses, table
@@ -351,6 +352,45 @@ def report(spark, d):
     return A.report(full_items(spark, d), topic_table(spark)).select(F.row_number().over(Window.orderBy("ord")).cast("long").alias("line_no"), "line")  # a report's lines are few
 
 
+# Layouts: six words of a document to a line, five lines to a question, thirty lines to a page; every
+# fourth number is unreadable, some options too
+
+PLAN = [("first", 12), ("reserve", 5), ("second", 8)]
+
+
+def layouts(spark, d):
+    i, w, count = F.col("doc_id"), F.col("w"), F.col("count")
+    docs = table(spark, d, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), " ").alias("w")).withColumn("count", F.ceil(F.size("w") / 6).cast("int"))
+
+    def line(k):
+        at = (k % 5).cast("int")
+        q = F.floor(k / 5).cast("int")
+        n = F.when(q % 4 == 2, "%").otherwise(F.concat((q % 12 + 1).cast("string"), F.lit(".")))
+        letter = F.get(F.array(*map(F.lit, ["a)", "b.", "€", "d)"])), at - 1)
+        lead = F.when(at == 0, n).when((i + q) % 9 == 4, F.lit("O)")).otherwise(letter)
+        y = (k % 30 * 31 + 100).cast("double")
+        word = lambda x, left: F.struct(left.cast("double").alias("left"), y.alias("top"), x.alias("text"))
+        six = F.slice(w, k * 6 + 1, 6)
+        words = F.concat(F.array(word(lead, F.when(at == 0, 40).otherwise(90))), F.transform(six, lambda x, j: word(x, j * 100 + 120)))
+        return F.struct(y.alias("top"), F.concat_ws(" ", lead, six).alias("text"), words.alias("words"))
+
+    last = F.floor((count - 1) / 30).cast("int")
+    page = lambda p: F.struct((p + 1).alias("page"), F.lit(1000.0).alias("width"), F.lit(1000.0).alias("height"), F.transform(F.sequence(p * 30, F.least(p * 30 + 29, count - 1)), line).alias("lines"))
+    return docs.select("doc_id", F.transform(F.sequence(F.lit(0), last), page).alias("pages"))
+
+
+@query()
+def layout_questions(spark, d):
+    return L.layout_questions(layouts(spark, d))
+
+
+@query()
+def section_alignment(spark, d):
+    q = L.layout_questions(layouts(spark, d)).withColumn("seq", F.col("order"))
+    once = B.candidate_dedup(q.withColumn("page", F.struct("doc_id", "page"))).select("page.doc_id", "page.page", "order", "number", "segment")
+    return L.aligned(once, PLAN, "doc_id", "order")
+
+
 # Uploads: conversations as sources, each turn a question
 
 SQL_SOURCES = """us as (select conv_id as source_no, list(struct_pack(id := case when turn % 6 = 5 then 'Q ' || turn when turn % 4 = 3 then 'q-0' else 'q-' || turn end, topicId := case when role = 'user' then 't1' when turn % 5 = 1 then 't2' else 't9' end, prompt := case when turn % 7 = 6 then '   ' else ' ' || text end,

@@ -53,3 +53,11 @@ def export_progress(progress: DataFrame) -> DataFrame:
     """One JSON document for each user, version 1."""
     rows = F.sort_array(F.collect_list(F.struct("question", "seen", "correct", "wrong")))
     return progress.groupBy("user_id").agg(rows.alias("progress")).select("user_id", F.to_json(F.struct(F.lit(1).alias("version"), "progress")).alias("json"))
+
+
+def legacy_snapshot(attempts: DataFrame, progress: DataFrame, now) -> DataFrame:
+    """What an old store hands to an account: one row with version, time of export, ``attempts`` and
+    ``progress`` as JSON; no row if both are empty. A store is one user's, so its rows fit one row."""
+    whole = lambda rows: rows.agg(F.to_json(F.sort_array(F.collect_list(F.struct(*rows.columns)))).alias("json"), F.count("*").alias("n"))
+    both = whole(attempts).select(F.col("json").alias("attempts"), F.col("n").alias("a")).join(whole(progress).select(F.col("json").alias("progress"), F.col("n").alias("p")))
+    return both.where("a + p > 0").select(F.lit(1).alias("schemaVersion"), now.alias("exportedAt"), "attempts", "progress")
