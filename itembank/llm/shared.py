@@ -51,6 +51,22 @@ def dropped(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: A key with a larger share of the rows is looked up by broadcast; fewer than 1 / share keys have it.
+HOT_SHARE = 0.001
+
+
+def looked_up(rows: DataFrame, values: DataFrame, keys: list[str], total: int, how: str = "left") -> DataFrame:
+    """``rows`` joined to ``values`` (one row a key, ``n``: how many of the rows have it) by ``keys``.
+
+    However many rows share a key, no task gets them all: keys of over a thousandth of the ``total``
+    are under a thousand at any size, so theirs are broadcast and their rows stay where they are;
+    the others are joined by a shuffle. Null keys find nothing.
+    """
+    hot = F.broadcast(values.where(F.col("n") > HOT_SHARE * total))
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(values.where(F.col("n") <= HOT_SHARE * total), keys, how)
+    return rows.join(hot, keys).unionByName(rest)
+
+
 def ready(spark: SparkSession) -> None:
     """Let workers import this package from where the driver has it, unless it was shipped to them."""
     env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])

@@ -128,15 +128,18 @@ def fingerprint_components(docs: DataFrame, radius: int = 2) -> DataFrame:
     An empty table gives no rows.
     """
     fps = shared.written(fingerprints(docs), "fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    nodes = shared.written(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "nodes")
     links = covering_links(nodes.select(F.col("fp").alias("node"), "fp"), radius)
     comp = shared.connected_components(links)
     shared.dropped(links)
-    linked = nodes.join(comp, nodes.fp == comp.node).select("fp", "first", "component")
-    least = linked.groupBy("component").agg(F.min("first").alias("least"))
-    by_fp = linked.join(least, "component").select("fp", "least", F.lit(True).alias("linked"))
-    by_fp = nodes.join(by_fp, "fp", "left").select("fp", F.when(F.col("linked"), F.col("least")).otherwise(F.col("first")).alias("component_id"))
-    return fps.join(by_fp, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    ends = nodes.join(comp, nodes.fp == comp.node, "left").select("fp", "first", F.col("n").alias("copies"), F.coalesce("component", "fp").alias("component"))
+    ends = shared.written(ends, "ends")
+    least = ends.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    by_fp = shared.looked_up(ends, least, ["component"], ends.count()).select("fp", "component_id", F.col("copies").alias("n"))
+    by_fp = shared.written(by_fp, "components")
+    shared.dropped(comp)
+    shared.dropped(ends)
+    return shared.looked_up(fps, by_fp, ["fp"], fps.count()).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 # Groups of near-duplicates: candidates by the tables, decisions by exact similarity.
