@@ -191,17 +191,19 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def _close(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """``pairs`` (``node``, ``lead``) with ``close``: enough of their signatures agree."""
+    """``pairs`` (``node``, ``lead``; a written table) with ``close``: enough of their signatures agree.
+
+    Very many nodes may have one lead; a node has as many leads as there are tables, or as few
+    buckets hold.
+    """
     unlike = F.lit(0)
     for c in SIGN_COLS:
         d = F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))
         d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
         unlike = unlike + F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseAND(F.lit(0x1111111111111111)))
-    return (
-        pairs.join(reps.select("node", F.struct(*SIGN_COLS).alias("x")), "node")
-        .join(reps.select(F.col("node").alias("lead"), F.struct(*SIGN_COLS).alias("y")), "lead")
-        .select("node", "lead", (unlike <= HASHES - LEAST_AGREEING).alias("close"))
-    )
+    leads = pairs.groupBy("lead").agg(F.count("*").alias("n")).join(reps.select(F.col("node").alias("lead"), F.struct(*SIGN_COLS).alias("y")), "lead")
+    both = shared.looked_up(pairs.select("node", "lead"), leads, ["lead"], pairs.count(), "inner").join(reps.select("node", F.struct(*SIGN_COLS).alias("x")), "node")
+    return both.select("node", "lead", (unlike <= HASHES - LEAST_AGREEING).alias("close"))
 
 
 def _crossing(group):
@@ -237,12 +239,14 @@ def _candidate_links(reps: DataFrame, small: int = 32, block: int = 256) -> Data
     """
     keys = reps.select("node", F.explode(F.array(*KEY_COLS)).alias("k"))
     full = keys.groupBy("k").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    bucket = shared.written(keys.join(full, "k").where("node > lead").select("k", "node", "lead", "n"), "buckets")
-    close = _close(bucket.select("node", "lead").distinct(), reps).where("close")
+    bucket = shared.looked_up(keys, full, ["k"], TABLES * reps.count(), "inner").where("node > lead")
+    bucket = shared.written(bucket.select("k", "node", "lead", "n"), "buckets")
+    first = shared.written(bucket.select("node", "lead").distinct(), "pairs")
+    close = _close(first, reps).where("close")
     known = shared.connected_components(close.select(F.col("node").alias("a"), F.col("lead").alias("b")))
     rest = bucket.where("n > 2").join(known, "node", "left").select("k", "node", F.coalesce("component", "node").alias("component"))
-    split = rest.groupBy("k").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low < high").select("k", "members")
-    rest = shared.written(rest.join(split, "k"), "split")
+    split = rest.groupBy("k").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high").select("k", "n")
+    rest = shared.written(shared.looked_up(rest, split, ["k"], bucket.count(), "inner").withColumnRenamed("n", "members"), "split")
     few = rest.where(F.col("members") <= small).select("k", "node", "component")
     pairs = few.join(few.select("k", F.col("node").alias("lead"), F.col("component").alias("other")), "k").where("component > other")
     pairs = shared.written(pairs.select("node", "lead", "component", "other").distinct(), "pairs")
@@ -250,7 +254,7 @@ def _candidate_links(reps: DataFrame, small: int = 32, block: int = 256) -> Data
     many = rest.where(F.col("members") > small).withColumn("blocks", F.ceil(F.col("members") / block).cast("int")).withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     two = _dealt(many, "k", "node", "component").join(reps.select("node", *SIGN_COLS), "node").groupBy("k", "p", "q").applyInArrow(_crossing, "a long, b long")
     links = shared.written(known.where("node > component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(one).union(two), "links")
-    for t in (bucket, known, rest, pairs):
+    for t in (bucket, first, known, rest, pairs):
         shared.dropped(t)
     return links
 
@@ -315,11 +319,11 @@ def near_duplicate_groups(docs: DataFrame, block: int = 256) -> DataFrame:
     left out; repeated rows come out repeated.
     """
     sk = shared.written(signatures(docs.where("doc_id is not null")), "signatures")
-    nodes = sk.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), *[F.max(c).alias(c) for c in ("n_words", *SIGN_COLS, *KEY_COLS)])
+    nodes = sk.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), *[F.max(c).alias(c) for c in ("n_words", *SIGN_COLS, *KEY_COLS)])
     reps = shared.written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # written, so the numbers are fixed
     groups = shared.connected_components(_candidate_links(reps.where("n_words > 0")))
-    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    member = groups.join(sizes, "component").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sizes = groups.groupBy("component").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    member = shared.looked_up(groups, sizes, ["component"], groups.count(), "inner").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = _dealt(member, "node", "component")
     wanted = groups.select("node").join(reps.select("node", "h1", "h2", F.col("first").alias("doc_id")), "node")
     wanted = shared.written(wanted, "wanted")
@@ -329,10 +333,14 @@ def near_duplicate_groups(docs: DataFrame, block: int = 256) -> DataFrame:
     comp = shared.connected_components(links)
     shared.dropped(wanted)
     shared.dropped(groups)
-    ends = reps.select("h1", "h2", "first", "node").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = ends.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_text = ends.join(least, "component").select("h1", "h2", "component_id")
-    return sk.join(by_text, ["h1", "h2"]).select("doc_id", "component_id")
+    ends = reps.select("h1", "h2", "first", "copies", "node").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    ends = shared.written(ends, "ends")
+    least = ends.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    by_text = shared.looked_up(ends, least, ["component"], ends.count()).select("h1", "h2", "component_id", F.col("copies").alias("n"))
+    by_text = shared.written(by_text, "components")
+    shared.dropped(comp)
+    shared.dropped(ends)
+    return shared.looked_up(sk.select("doc_id", "h1", "h2"), by_text, ["h1", "h2"], sk.count(), "inner").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
