@@ -55,6 +55,18 @@ def merge_supplement(items: DataFrame, extra: DataFrame, key: str, cols: list[st
     return i.join(e, key, "full_outer").select(key, *[F.coalesce(f"_{c}", c).alias(c) for c in cols], action.alias("action"))
 
 
+def supplement_issues(items: DataFrame, extra: DataFrame, key: str, answer: str) -> DataFrame:
+    """``key``, ``issue`` of the rows of ``extra`` that may not be merged: ``unknown``, if no item has the
+    key that they name, or ``contradicts``, if an item has another answer already.
+
+    Rows without a key are inserts and always may; an item without an answer contradicts nothing, a
+    row without one contradicts every item that has one.
+    """
+    have = items.select(key, F.col(answer).alias("_answer"), F.lit(True).alias("_there"))
+    issue = F.when(F.col("_there").isNull(), "unknown").when(F.col("_answer").isNotNull() & ~F.col("_answer").eqNullSafe(F.col(answer)), "contradicts")
+    return extra.where(F.col(key).isNotNull()).select(key, answer).join(have, key, "left").select(key, issue.alias("issue")).where("issue is not null")
+
+
 def split_key(stream: DataFrame, sections: DataFrame) -> DataFrame:
     """A flat, ordered key (``pos`` from 1, ``answer``) dealt to sections by their lengths, in order.
 

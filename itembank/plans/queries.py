@@ -405,6 +405,14 @@ def supplement_merge(spark, d):
     return B.merge_supplement(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), extra, "id", ["text"]).select("id", F.md5("text").alias("body"), "action")
 
 
+@query("with e as (select doc_id * 3 as id, ['a', 'b', 'c'][1 + doc_id % 3] as answer from labels), i as (select doc_id as id, case when doc_id % 5 <> 0 then ['a', 'b'][1 + doc_id % 2] end as mine from documents), r as (select e.id, case when i.id is null then 'unknown' when mine <> answer then 'contradicts' end as issue from e left join i using (id) where e.id is not null) select id, issue from r where issue is not null")
+def supplement_issues(spark, d):
+    letter = lambda n: F.substring(F.lit("abc"), (1 + F.col("doc_id") % n).cast("int"), F.lit(1))
+    extra = table(spark, d, "labels").select((F.col("doc_id") * 3).alias("id"), letter(3).alias("answer"))
+    have = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 5 != 0, letter(2)).alias("answer"))
+    return B.supplement_issues(have, extra, "id", "answer")
+
+
 @query(KEYED + "x as (select 1) select item_id, section, answer from keyed")
 def answer_key_join(spark, d):
     return keyed(spark, d).select("item_id", "section", "answer")

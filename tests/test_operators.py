@@ -127,3 +127,11 @@ def test_stream(spark, tmp_path):
     q.stop()
     r = spark.sql("select * from p").collect()
     assert [(x["seen"], x["correct"], x["wrong"]) for x in r] == [(2, 1, 1)]
+
+
+def test_what_may_not_be_merged(spark):
+    have = spark.createDataFrame([(1, "a"), (2, None), (3, "b")], "id int, answer string")
+    extra = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, None), (9, "a"), (None, "a")], "id int, answer string")
+    got = sorted(tuple(r) for r in B.supplement_issues(have, extra, "id", "answer").collect())
+    assert got == [(1, "contradicts"), (3, "contradicts"), (9, "unknown")]
+    assert B.supplement_issues(have, extra.limit(0), "id", "answer").count() == 0
