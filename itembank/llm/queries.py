@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import covertree, decontaminate, langid, licenses, packing, pii, shared, simhash, sstable, urlrules, warc
+from . import covertree, decontaminate, divergence, kdmeans, langid, licenses, merkle, packing, pii, shared, simhash, sstable, urlrules, warc
 
 WORDS = "word_bpe_49k.json"
 
@@ -58,6 +59,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op11_kd_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdmeans.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 == 0)
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.judged(table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
 
@@ -78,6 +91,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language": op9_language,
     "language_of_documents": language_of_documents,
     "op10_pii": op10_pii,
+    "op11_kd_means": op11_kd_means,
+    "op12_manifest": op12_manifest,
+    "op13_quality": op13_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -99,4 +115,7 @@ ORACLE_SQL: dict[str, str] = {
                case when first < page_id then 'revisit' else 'response' end as record_type,
                case when first < page_id then first end as refers_to
         from f""",
+    "op11_kd_means": kdmeans.oracle_sql(),
+    "op12_manifest": merkle.oracle_sql(),
+    "op13_quality": divergence.oracle_sql(),
 }
