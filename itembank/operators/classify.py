@@ -46,11 +46,16 @@ def T_fold_py(t: str) -> str:
     return t.lower().replace("ß", "ss").translate(str.maketrans(T.ACCENTED, T.PLAIN))
 
 
-def ranked(items: DataFrame, lexicon: list[tuple[str, list[str]]]) -> DataFrame:
+def ranked(items: DataFrame, lexicon: list[tuple[str, list[str]]], blocks: Column | None = None) -> DataFrame:
     """``items`` with their best ``topic``, its ``score`` and ``margin`` to the second, within the row;
-    ties go to the lexicon's order. The margin is null where there is one topic only."""
+    ties go to the lexicon's order. The margin is null where there is one topic only. Of ``blocks``
+    (an array of names), only their topics count; where the lexicon has none of these, all do."""
     order = F.transform("_s", lambda x: F.struct((-x["score"]).alias("neg"), x["topic_ord"].alias("topic_ord"), x["topic"].alias("topic")))
-    df = _folded(items).withColumn("_s", topic_scores(lexicon, F.col("_p"), F.col("_a"))).withColumn("_two", F.slice(F.array_sort(order), 1, 2))
+    df = _folded(items).withColumn("_s", topic_scores(lexicon, F.col("_p"), F.col("_a")))
+    if blocks is not None:
+        own = F.filter("_s", lambda x: F.coalesce(F.array_contains(blocks, T.block_of(x["topic"])), F.lit(False)))
+        df = df.withColumn("_own", own).withColumn("_s", F.when(F.size("_own") > 0, F.col("_own")).otherwise(F.col("_s"))).drop("_own")
+    df = df.withColumn("_two", F.slice(F.array_sort(order), 1, 2))
     first, second = F.get("_two", F.lit(0)), F.get("_two", F.lit(1))
     return df.withColumns({"topic": first["topic"], "score": -first["neg"], "margin": second["neg"] - first["neg"]}).drop("_p", "_a", "_s", "_two")
 
@@ -60,9 +65,9 @@ def confidence_units(score: Column, margin: Column) -> Column:
     return F.when(score > 0, F.least(F.lit(19600), 11200 + 35 * score + 25 * F.coalesce(margin, F.lit(0)))).otherwise(FALLBACK).cast("int")
 
 
-def classified(items: DataFrame, lexicon) -> DataFrame:
+def classified(items: DataFrame, lexicon, blocks: Column | None = None) -> DataFrame:
     """``items`` with ``topic``, ``units`` and ``method`` by the rules, within the row."""
-    r = ranked(items, lexicon)
+    r = ranked(items, lexicon, blocks)
     units, method = confidence_units(F.col("score"), F.col("margin")), F.when(F.col("score") > 0, "rules").otherwise("fallback")
     return r.withColumns({"units": units, "method": method}).drop("score", "margin")
 

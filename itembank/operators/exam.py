@@ -81,11 +81,12 @@ def questions_of(text: str) -> list[tuple[str | None, int, str, list[str], str |
     return found
 
 
-QUESTIONS = "number int, section string, prompt string, options array<string>, answer string"
+QUESTIONS = "number int, section string, prompt string, options array<string>, answer string, position int"
 
 
 def parse_txt(docs: DataFrame, key: str = "exam_id", text: str = "text") -> DataFrame:
-    """``key``, number, section, prompt, options and answer of every question of every transcript.
+    """``key``, number, section, prompt, options, answer and position (from 0) of every question of every
+    transcript.
 
     Null and empty texts have none; a question before any header has a null section, one without an
     answer line a null answer. Repeated rows come out repeated.
@@ -97,12 +98,12 @@ def parse_txt(docs: DataFrame, key: str = "exam_id", text: str = "text") -> Data
         for b in batches:
             keys, rows = [], []
             for i, t in enumerate(b.column(1).to_pylist()):
-                mine = questions_of(t)
+                mine = [(*q, at) for at, q in enumerate(questions_of(t))]
                 rows += mine
                 keys += [i] * len(mine)
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = [pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string()]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keys, pa.int64())), *[pa.array(cols[j], k) for j, k in zip((1, 0, 2, 3, 4), kinds, strict=True)]], names=[key, "number", "section", "prompt", "options", "answer"])
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = [pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keys, pa.int64())), *[pa.array(cols[j], k) for j, k in zip((1, 0, 2, 3, 4, 5), kinds, strict=True)]], names=[key, "number", "section", "prompt", "options", "answer", "position"])
 
     return docs.select(key, text).mapInArrow(run, f"{key} {kind}, {QUESTIONS}")
 

@@ -1,0 +1,122 @@
+"""Queries that build, store and report a bank, with their SQL.
+
+Transcripts are documents dressed as an exam's, written as files and read through the file source;
+``labels`` are decisions (toxic) and overrides (quality 0) on the first questions of a document.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from itembank.functions import stage
+from itembank.operators import build as M
+from itembank.operators import classify as C
+from itembank.operators import exam as E
+from itembank.operators import report as R
+from itembank.plans.practice import SQL_QUESTIONS, scripts
+from itembank.plans.queries import LEXICON, query, sql_fold, sql_sig, table
+
+OUTDATED = [("thether", "repealed"), ("ciónes", "withdrawn")]
+SOURCE = "`EXAMENES REALES/`"
+
+
+def transcript_files(spark, d):
+    """The fixture's transcripts as files: a folder each, as a build finds them."""
+    path = stage.new_dir(spark, "transcripts")
+    scripts(spark, d).select(F.col("exam_id").alias("folder"), "text").write.partitionBy("folder").text(path)
+    return path
+
+
+def exams(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("exam_id"), F.concat(F.lit("folder="), "doc_id").alias("folder"), F.col("doc_id").alias("ord"), (2000 + F.col("n_chars") % 26).cast("int").alias("year"), F.lit("oficial").alias("answer_status"))
+
+
+def built(spark, d) -> M.Build:
+    e, lab = exams(spark, d), table(spark, d, "labels")
+    item = lambda n: F.concat_ws(":", F.col("doc_id").cast("string"), F.lit("first"), F.lit(n))
+    dec = lab.where("toxic = 1").select(item(2).alias("item_id"), F.lit("IV.2").alias("topic"), F.concat(F.lit("read "), "doc_id").alias("reason"))
+    over = lab.where("quality = 0").select(item(3).alias("item_id"), F.lit("I.2").alias("topic"))
+    return M.build(M.transcripts(spark, transcript_files(spark, d), e, "part-*"), e, LEXICON, OUTDATED, dec, over)
+
+
+def _sql_build() -> str:
+    specs = ", ".join(f"('{k}', '{ex}', {res}, {n}, {b})" for k, _, ex, res, n, b in E.SECTIONS)
+    scores = []
+    for i, (topic, terms) in enumerate(LEXICON):
+        s = " + ".join(f"case when contains(p, '{t}') then {60 + min(40, len(t))} when contains(a, '{t}') then 20 else 0 end" for t in map(C.T_fold_py, terms))
+        scores.append(f"select rid, '{topic}' as topic, {i} as topic_ord, {s} as score from bq where list_contains(blocks, '{topic.split('.')[0]}') or blocks is null")
+    old = "case " + " ".join(f"when contains(a, '{C.T_fold_py(t)}') then '{r}'" for t, r in OUTDATED) + " end"
+    blank = "regexp_replace({0}, '[\\s\\p{{Z}}]+', '', 'g') = ''"
+    return SQL_QUESTIONS + f""",
+  spec as (select * from (values {specs}) v(section, exercise, reserve, expected, blocks)),
+  bq as materialized (select q.*, spec.exercise, spec.reserve, spec.blocks, row_number() over () as rid, q.exam_id || coalesce(':' || q.section, '') || ':' || q.number as item_id,
+    {sql_fold('prompt')} as p, {sql_fold("prompt || ' ' || array_to_string(options, ' ')")} as a, left({sql_sig('prompt')}, 160) as sig from q left join spec on spec.section = q.section),
+  sc as ({" union all ".join(scores)}),
+  rk as (select rid, topic, score, score - lead(score) over w as margin, row_number() over w as k from sc window w as (partition by rid order by score desc, topic_ord)),
+  dec as (select doc_id || ':first:2' as item_id, 'IV.2' as topic, 'read ' || doc_id as reason from labels where toxic = 1), ov as (select doc_id || ':first:3' as item_id, 'I.2' as topic from labels where quality = 0),
+  st0 as (select bq.*, coalesce(dec.topic, ov.topic, rk.topic) as topic, dec.reason as decision, {old} as old,
+      case when dec.topic is not null or ov.topic is not null then 20000 when score > 0 then least(19600, 11200 + 35 * score + 25 * coalesce(margin, 0)) else 6000 end as units,
+      case when dec.topic is not null then '{M.DECIDED}' when ov.topic is not null then '{M.OVERRIDDEN}' when score > 0 then '{M.BY_RULES}' else '{M.FALLEN_BACK}' end as method,
+      case when bq.section is null then '{M.OUTSIDE}' else array_to_string(list_filter([case when len(options) <> 4 then 'Tiene ' || len(options) || ' opciones en lugar de 4' end, case when len(list_filter(options, lambda o: {blank.format("o")})) > 0 then '{M.BROKEN[1]}' end,
+        case when {blank.format("prompt")} then '{M.BROKEN[2]}' end], lambda x: x is not null), '; ') end as issues
+    from bq join rk on rk.rid = bq.rid and rk.k = 1 left join dec on dec.item_id = bq.item_id left join ov on ov.item_id = bq.item_id),
+  st1 as (select *, case when answer is null then 'missing_official_answer' when old is not null then 'outdated' when units < 13500 then 'classification_review' else 'valid' end as status from st0),
+  stg as materialized (select *, status = 'valid' and issues = '' as active from st1),
+  good as (select *, first_value(item_id) over w as f, row_number() over w as dup from stg where issues = '' window w as (partition by sig order by exam_id, position, item_id)),
+  bank as materialized (select *, case when active and dup > 1 then 'duplicate' else status end as final, active and dup = 1 as live, case when dup > 1 then f end as duplicate_of,
+    case when active and dup > 1 then '{M.REASONS["duplicate"]}' else case status when 'missing_official_answer' then '{M.REASONS["missing_official_answer"]}' when 'outdated' then old when 'classification_review' then '{M.REASONS["classification_review"]}' else coalesce(decision, '{M.REASONS["valid"]}') end end as why from good),
+  sct as (select exam_id, section, count(*) as n, min(position) as since from stg where issues = '' group by 1, 2), sj as (select exam_id, '{{' || string_agg('"' || section || '": ' || n, ', ' order by since) || '}}' as section_counts from sct group by 1),
+  cov as (select s.exam_id, (select sum(expected) from spec)::bigint as expected, count(*) filter (issues = '') as extracted, count(*) filter (active) as active, coalesce(any_value(section_counts), '{{}}') as section_counts, count(*) filter (issues <> '') as excluded
+    from (select doc_id as exam_id from documents) s left join stg on stg.exam_id = s.exam_id left join sj on sj.exam_id = s.exam_id group by 1)
+"""
+
+
+SQL_BUILD = "with " + _sql_build()
+
+
+@query(SQL_BUILD + """select item_id, exam_id, position, section, exercise, reserve as is_reserve, number, md5(prompt) as prompt, len(options)::int as options, answer, topic, split_part(topic, '.', 1) as block, units::int as units, method, final as status, why as reason, live as active, duplicate_of from bank""")
+def bank_build(spark, d):
+    q = built(spark, d).questions
+    return q.select("item_id", "exam_id", F.col("position").cast("long").alias("position"), "section", "exercise", "is_reserve", "number", F.md5("prompt").alias("prompt"), F.size("options").alias("options"), "answer", "topic", "block", "units", "method", "status", "reason", "active", "duplicate_of")
+
+
+@query(SQL_BUILD + "select * from cov")
+def build_coverage(spark, d):
+    return built(spark, d).coverage
+
+
+@query(SQL_BUILD + "select exam_id, position, section, number, left(prompt, 100) as preview, issues as reason from stg where issues <> ''")
+def build_excluded(spark, d):
+    return built(spark, d).excluded.withColumn("position", F.col("position").cast("long"))
+
+
+@query(SQL_BUILD + "select final as status, why as reason, count(*) as n from bank where not live group by 1, 2")
+def review_queue(spark, d):
+    return built(spark, d).review().groupBy("status", "reason").agg(F.count("*").alias("n"))
+
+
+PROGRAM = [(b, f"Bloque {b}", [t for t, _ in LEXICON if t.split(".")[0] == b]) for b in ("I", "II", "III", "IV")]
+
+
+def _sql_report() -> str:
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    fixed = [(1, k, x) for k, x in enumerate([R.TITLE, "", "Fecha: 2026-01-31", f"Fuente: {SOURCE}", ""])]
+    fixed += [(p, k - 1000, x) for p, ts in R.HEADS.items() for k, x in enumerate(ts + [""] * (len(ts) == 1))] + [(9, k, x) for k, x in enumerate(R.CRITERIA)]
+    values = ", ".join(f"({p}, '', {a}, 0, {text(x)})" for p, a, x in fixed)
+    topics = ", ".join(f"({i}, {k}, {text(h)}, {text(t)})" for i, (b, n, ts) in enumerate(PROGRAM) for k, h, t in [(-1, f"### Bloque {b}: {n}", ""), *[(k, t, t) for k, t in enumerate(ts)]])
+    totals = ["(select count(*) from cov)", "(select count(*) from bank)", "(select count(*) from bank where live)", "(select count(*) from bank where not live)", "(select count(*) from stg where issues <> '')"]
+    summary = " union all ".join(f"select 2, '', 0, {k}, '- **{s}**: ' || {v}" for k, (s, v) in enumerate(zip(R.SUMMARY, totals, strict=True)))
+    return SQL_BUILD + f""", rep(part, name, a, b, line) as (select * from (values {values}) union all {summary}
+  union all select 3, final, 0, 0, '- `' || final || '`: ' || count(*) from bank group by final
+  union all select 4, '', exam_id, 0, '| ' || exam_id || ' | ' || expected || ' | ' || extracted || ' | ' || active || ' | ' || replace(regexp_replace(section_counts, '[{{}}"]', '', 'g'), ': ', '=') || ' |' from cov
+  union all select 5, '', i, k, case when k < 0 then head else '- **' || topic || '**: ' || (select count(*) from bank where live and bank.topic = t.topic) || ' preguntas' end from (values {topics}) t(i, k, head, topic)
+  union all select 6, '', exam_id, position, '| `' || item_id || '` | ' || topic || ' | ' || decision || ' |' from bank where decision is not null
+  union all select 7, '', exam_id, 2 * position, '- [' || exam_id || '] #' || number || ': ' || issues from stg where issues <> ''
+  union all select 7, '', exam_id, 2 * position + 1, '  Texto: _' || left(prompt, 100) || '_' from stg where issues <> ''
+  union all select 8, '', exam_id, position, '| ' || item_id || ' | ' || exam_id || ' | ' || section || ' | ' || number || ' | `' || final || '` | ' || why || ' |' from bank where not live)
+  select part::int as part, name, a::bigint as a, b::bigint as b, line from rep"""
+
+
+@query(_sql_report())
+def build_report(spark, d):
+    return R.markdown(built(spark, d), exams(spark, d), PROGRAM, "2026-01-31", SOURCE)

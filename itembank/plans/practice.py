@@ -48,7 +48,7 @@ SQL_QUESTIONS = sql_patterns() + f"""
   pt as (select sp.exam_id, sp.span, no, kind, line, st.s, st.answer, sum((kind = 'option')::int) over (partition by sp.exam_id, sp.span order by no) as o from sp join st on st.exam_id = sp.exam_id and st.span = sp.span and no >= s and kind in ('start', 'option', 'text')),
   pc as (select exam_id, span, o, string_agg(case kind when 'start' then regexp_extract(line, '{E.START}', 2) when 'option' then regexp_extract(line, '{E.OPTION}', 2) else trim(line) end, ' ' order by no) as t from pt group by 1, 2, 3),
   q as (select st.exam_id, regexp_extract(h.line, '{E.START}', 1)::int as number, h.above as section, (select trim(regexp_replace(t, '\\s+', ' ', 'g')) from pc where pc.exam_id = st.exam_id and pc.span = st.span and o = 0) as prompt,
-    coalesce((select list(trim(t) order by o) from pc where pc.exam_id = st.exam_id and pc.span = st.span and o > 0), []) as options, st.answer from st join sp h on h.exam_id = st.exam_id and h.no = st.s)
+    coalesce((select list(trim(t) order by o) from pc where pc.exam_id = st.exam_id and pc.span = st.span and o > 0), []) as options, st.answer, row_number() over (partition by st.exam_id order by st.s) - 1 as position from st join sp h on h.exam_id = st.exam_id and h.no = st.s)
 """
 
 

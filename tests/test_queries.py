@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from itembank.plans import building as _building  # noqa: F401
 from itembank.plans import practice as _more  # noqa: F401
 from itembank.plans import queries as Q
 
