@@ -44,9 +44,28 @@ def clean(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(y, r"[\s ]+", " "), "^[ \\-–]+|[ \\-–]+$", "")
 
 
-def cut_footer(x: Column, window: int = 110) -> Column:
-    """Cut a closing page footer (a rule, ``page`` and a number) with no word of three letters after it."""
-    return F.regexp_replace(x, rf"(?i)[\s·|–-]*(?:page|pág(?:ina)?\.?|seite)\s*\d+(?:\s*(?:of|de|von|/)\s*\d+)?[^\p{{L}}]{{0,{window}}}$", "")
+#: A page reference, what begins the footer before it, a block's name that may follow
+#: it, a word, how far back a footer reaches, and what is trimmed off the end.
+PAGE_REFERENCE = r"\bp[aá]gina\s+\d+\s+de\s+\d+\b"
+FOOTER_ANCHOR = r"ejercicio\s+[uú]nico|[12]\s*[-.]\s*(?:test|cp)|20\d{2}\s*[-—–].{0,24}?tai"
+BLOCK_NAME, A_WORD, LOOK_BACK, TRAILING = r"\bbloque\s+[ivx]+\b", "[a-záéíóúñ]{3,}", 110, r"[ \t\n\r|,:;*\-—–\[\]()€]+$"
+
+
+def without_footer(x: Column) -> Column:
+    """White space collapsed, and a closing page footer cut off.
+
+    The last page reference is a footer's if no word of three letters follows it but a block's name.
+    The cut is at the first anchor in the 110 characters before it, and else at the reference. A
+    reference that more text follows stays, for the quality rules to see.
+    """
+    v = F.trim(F.regexp_replace(x, r"[\s\p{Z}]+", " "))
+    parts = rf"(?isu)^(.*)({PAGE_REFERENCE})(.*?)$"
+    head, tail = F.regexp_extract(v, parts, 1), F.regexp_extract(v, parts, 3)
+    goes_on = F.regexp_replace(tail, f"(?iu){BLOCK_NAME}", "").rlike(f"(?iu){A_WORD}")
+    window = F.right(head, F.lit(LOOK_BACK))
+    at = F.regexp_instr(window, F.lit(f"(?iu)(?:{FOOTER_ANCHOR})"))
+    kept = F.when(at > 0, head.substr(F.lit(1), F.length(head) - F.length(window) + at - 1)).otherwise(head)
+    return F.when(~v.rlike(f"(?iu){PAGE_REFERENCE}") | goes_on, v).otherwise(F.regexp_replace(kept, TRAILING, ""))
 
 
 def page_of_offset(text: Column, offset: Column, mark: str = "\f") -> Column:

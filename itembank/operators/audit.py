@@ -59,9 +59,21 @@ def literal_key(keys: DataFrame, sections: DataFrame) -> DataFrame:
     return parts.join(F.broadcast(ranges), (F.col("p") >= F.col("lo")) & (F.col("p") < F.col("lo") + F.col("n"))).select("doc", "section", (F.col("p") - F.col("lo") + 1).cast("long").alias("number"), F.lower("answer").alias("answer"))
 
 
-def filled(readings: DataFrame, repairs: DataFrame, key: list[str]) -> DataFrame:
-    """``readings`` and those ``repairs`` whose key no reading has."""
-    return readings.unionByName(repairs.join(readings.select(*key), key, "left_anti"))
+#: Names that are complex whatever they say, and the years that are.
+COMPLEX_NAMES = ["tai libre 2018.pdf", "tai libre 2018_segundo ejercicio.pdf", "tai pi 2018.pdf"]
+COMPLEX_YEARS = range(2005, 2019)
+
+
+def needs_recognition(path: Column, pages: Column, chars: Column) -> Column:
+    """Whether a document has to be recognised: over two pages, and hardly any text or a complex old questionnaire.
+
+    The path says a year from 2005 to 2018; the name is a questionnaire's, and no answers' or template's.
+    """
+    folded = F.lower(path)
+    name = F.element_at(F.split(folded, "/"), -1)
+    old = folded.rlike("|".join(map(str, COMPLEX_YEARS)))
+    no_key = (~name.contains("respuesta") | name.contains("cuestionario y respuestas")) & ~name.contains("plant")
+    return (pages > 2) & ((chars < 5000) | (old & no_key & (name.contains("cuestionario") | name.isin(*COMPLEX_NAMES))))
 
 
 def needs_high_accuracy(path: Column) -> Column:

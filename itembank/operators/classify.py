@@ -61,8 +61,9 @@ def ranked(items: DataFrame, lexicon: list[tuple[str, list[str]]], blocks: Colum
 
 
 def confidence_units(score: Column, margin: Column) -> Column:
-    """0.56 + 0.035 score + 0.025 margin, at most 0.98, in units; without any hit 0.30."""
-    return F.when(score > 0, F.least(F.lit(19600), 11200 + 35 * score + 25 * F.coalesce(margin, F.lit(0)))).otherwise(FALLBACK).cast("int")
+    """0.56 + 0.035 score + 0.025 margin, at most 0.98, in units; without any hit 0.30.
+    A single topic's margin (null) is its score."""
+    return F.when(score > 0, F.least(F.lit(19600), 11200 + 35 * score + 25 * F.coalesce(margin, score))).otherwise(FALLBACK).cast("int")
 
 
 def classified(items: DataFrame, lexicon, blocks: Column | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from itembank.functions import text as T
@@ -166,3 +166,42 @@ def solutions(items: DataFrame, answers: DataFrame) -> DataFrame:
 def reserve(stored: Column, mode: Column, index: Column) -> Column:
     """Stored, or by place in a simulation: the five after the first eighty, and from 105 on."""
     return F.coalesce(stored, F.lit(False)) | ((mode == "simulation") & (index.between(80, 84) | (index >= 105)))
+
+
+#: Questions of a simulation's parts.
+FIRST, FIRST_RESERVE, CASE, CASE_RESERVE = 80, 5, 20, 5
+
+
+def exam_simulation(items: DataFrame, seed: str, practical: str) -> DataFrame:
+    """``item_id``, ``part`` (0 to 3), ``filler``, ``position`` of a simulated exam with the practical block ``practical``.
+
+    Eighty of the first part, no uploads; five of its reserve; twenty of the block's case questions that
+    are no reserves; five case reserves of the block, filled up with other case questions of the block.
+    No item comes twice, and a part that is short stays short. ``items``: item_id, section, exercise,
+    block, reserve, origin. One scan ranks items by what they could serve as, which bounds them; the
+    parts are chosen among these few.
+    """
+    case = (F.col("exercise") == "supuesto_practico") & (F.col("block") == practical)
+    reserve = F.coalesce("reserve", F.lit(False))
+    may = {"a": (F.col("section") == "first") & (F.coalesce("origin", F.lit("official")) != "uploaded"), "b": F.col("section") == "first_reserve", "c": case & ~reserve, "d": case}
+    order = T.seeded_order(seed, "item_id")
+    few = items.select("item_id", *[F.coalesce(c, F.lit(False)).alias(k) for k, c in may.items()], (case & reserve).alias("own")).where("a or b or c or d")
+    # of items alike in all this no more than a whole exam's can be chosen, and the first come first
+    rank = F.row_number().over(Window.partitionBy("a", "b", "c", "d", "own").orderBy(*order))
+    few = few.withColumn("k", rank).where(F.col("k") <= FIRST + FIRST_RESERVE + CASE + CASE_RESERVE).drop("k").withColumn("part", F.lit(None).cast("int"))
+    for part, (k, n) in enumerate(zip("abcd", (FIRST, FIRST_RESERVE, CASE, CASE_RESERVE), strict=True)):
+        free = F.col("part").isNull() & F.col(k)
+        first = [~free] + ([~F.coalesce("own", F.lit(False))] if k == "d" else [])
+        place = F.row_number().over(Window.orderBy(*first, *order))
+        few = few.withColumn("place", place).withColumn("part", F.when(free & (F.col("place") <= n), part).otherwise(F.col("part"))).drop("place")
+    filler = (F.col("part") == 3) & ~F.coalesce("own", F.lit(False))
+    chosen = few.where("part is not null").select("item_id", "part", filler.alias("filler"))
+    return chosen.withColumn("position", F.row_number().over(Window.orderBy("part", "filler", *order)).cast("long"))
+
+
+def own_rows(spark: SparkSession, path: str, user: int) -> DataFrame:
+    """A stored table's rows of one user, which is all that there is a way to read: the filter is part of
+    the scan, whatever is done with the result. Raises without a user."""
+    if user is None or isinstance(user, bool) or not isinstance(user, int):
+        raise PermissionError("sign in to read progress")
+    return spark.read.parquet(path).where(F.col("user_id") == F.lit(user))

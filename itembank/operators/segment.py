@@ -1,18 +1,14 @@
 """Raw lines to questions: line types, sections, segments, alignment and geometry.
 
-What a window can express is a window over one document's lines; folds that depend on their own
-earlier results run on each document's row, without a shuffle. A document's lines are bounded,
+What a window can express is a window over one document's lines. A document's lines are bounded,
 a corpus's are not, so nothing here is ordered across documents.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from itembank.functions import workers
-
 
 def lines_of(docs: DataFrame, text: str = "text") -> DataFrame:
     """``doc_id``, ``line_no`` from 0, ``line`` of every line."""
@@ -80,83 +76,6 @@ def marker_number(token: Column) -> Column:
     return F.when(t.rlike(r"^[0-9]{1,9}$"), t).try_cast("int")
 
 
-def align_options(labels: list[str]) -> list[int]:
-    """Positions of the markers for a, b, c and d: order is kept, a match gains 2, a mismatch loses 2,
-    an unreadable one nothing. Of equal alignments that with the earliest markers; too few: none."""
-    best: list[tuple[int, list[int]] | None] = [(0, []), None, None, None, None]
-    for i, x in enumerate(labels):
-        for slot in range(3, -1, -1):
-            if best[slot] is not None:
-                gain = best[slot][0] + (2 if x == "abcd"[slot] else 0 if x == "?" else -2)
-                if best[slot + 1] is None or gain > best[slot + 1][0]:
-                    best[slot + 1] = (gain, best[slot][1] + [i])
-    return best[4][1] if best[4] and best[4][0] > 0 else []
-
-
-def best_chain(starts: list[tuple[int, int]], back: int = 40) -> list[int]:
-    """Indices of the best chain of candidate starts ``(number, quality)``: every link counts, numbers
-    that go on by one count most, and a link reaches back at most ``back`` candidates."""
-    score, prev = [], []
-    for i, (n, q) in enumerate(starts):
-        top, at = q, -1
-        for j in range(max(0, i - back), i):
-            step = n - starts[j][0]
-            s = score[j] + q + 100 + (5 if step == 1 else 2 if 1 < step <= 3 else 0 if step > 3 else -5)
-            if s > top and step > 0:
-                top, at = s, j
-        score.append(top)
-        prev.append(at)
-    out, i = [], max(range(len(score)), key=score.__getitem__, default=-1)
-    while i >= 0:
-        out.append(i)
-        i = prev[i]
-    return out[::-1]
-
-
-def lcs(a: list, b: list) -> list[tuple[int, int]]:
-    """Index pairs of a longest common subsequence."""
-    n, m = len(a), len(b)
-    t = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            t[i][j] = t[i + 1][j + 1] + 1 if a[i] == b[j] else max(t[i + 1][j], t[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < n and j < m:
-        if a[i] == b[j]:
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        elif t[i + 1][j] >= t[i][j + 1]:
-            i += 1
-        else:
-            j += 1
-    return out
-
-
-def lcs_rows(groups: DataFrame, key: str, observed: str, expected: list[int]) -> DataFrame:
-    """``key``, ``observed``, ``expected``: index pairs that align each group's numbers with the grid."""
-    workers.ready(groups.sparkSession)
-
-    def run(it):
-        for pdf in it:
-            rows = [(k, i, j) for k, m in zip(pdf[key], pdf[observed], strict=True) for i, j in lcs(list(m), expected)]
-            yield pd.DataFrame(rows, columns=[key, "observed", "expected"])
-
-    return groups.select(key, observed).mapInPandas(run, f"{key} long, observed long, expected long")
-
-
-def per_document(docs: DataFrame, fold, schema: str, text: str = "text") -> DataFrame:
-    """``fold(doc_id, lines) -> rows`` for each document, over the lines of its text, in place."""
-    names = [c.split()[0] for c in schema.split(", ")]
-    workers.ready(docs.sparkSession)
-
-    def run(it):
-        for pdf in it:
-            rows = [r for d, t in zip(pdf.doc_id, pdf[text], strict=True) for r in fold(int(d), (t or "").split("\n"))]
-            yield pd.DataFrame(rows, columns=names)
-
-    return docs.select("doc_id", text).mapInPandas(run, schema)
-
-
 def column_clusters(boxes: DataFrame, width: int = 18) -> DataFrame:
     """``boxes`` (page, x, y, token) with ``col`` and ``flow``: columns left to right, then down.
 

@@ -1,7 +1,7 @@
 """Queries that build, store and report a bank, with their SQL.
 
-Transcripts are documents dressed as an exam's, written as files and read through the file source;
-``labels`` are decisions (toxic) and overrides (quality 0) on the first questions of a document.
+Transcripts are documents dressed as an exam's (a folder of files for each of so many would test the
+file system; tests/test_building.py reads files); ``labels`` are decisions (toxic) and overrides (quality 0) on the first questions of a document.
 """
 
 from __future__ import annotations
@@ -9,26 +9,28 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from itembank.functions import stage
+from itembank.functions import text as T
+from itembank.operators import audit as A
 from itembank.operators import build as M
 from itembank.operators import classify as C
 from itembank.operators import exam as E
+from itembank.operators import layout as L
+from itembank.operators import manifest as X
+from itembank.operators import merge as G
+from itembank.operators import ocr as O
+from itembank.operators import practice as P
+from itembank.operators import readings as RD
 from itembank.operators import report as R
+from itembank.operators import store as W
 from itembank.plans.practice import SQL_QUESTIONS, scripts
-from itembank.plans.queries import LEXICON, query, sql_fold, sql_sig, table
+from itembank.plans.queries import LEXICON, items, numbers, query, sql_fold, sql_sig, table
 
 OUTDATED = [("thether", "repealed"), ("ciónes", "withdrawn")]
 SOURCE = "`EXAMENES REALES/`"
 
 
-def transcript_files(spark, d):
-    """The fixture's transcripts as files: a folder each, as a build finds them."""
-    path = stage.new_dir(spark, "transcripts")
-    scripts(spark, d).select(F.col("exam_id").alias("folder"), "text").write.partitionBy("folder").text(path)
-    return path
-
-
 def exams(spark, d):
-    return table(spark, d, "documents").select(F.col("doc_id").alias("exam_id"), F.concat(F.lit("folder="), "doc_id").alias("folder"), F.col("doc_id").alias("ord"), (2000 + F.col("n_chars") % 26).cast("int").alias("year"), F.lit("oficial").alias("answer_status"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("exam_id"), F.col("doc_id").alias("ord"), (2000 + F.col("n_chars") % 26).cast("int").alias("year"), F.lit("oficial").alias("answer_status"))
 
 
 def built(spark, d) -> M.Build:
@@ -36,7 +38,7 @@ def built(spark, d) -> M.Build:
     item = lambda n: F.concat_ws(":", F.col("doc_id").cast("string"), F.lit("first"), F.lit(n))
     dec = lab.where("toxic = 1").select(item(2).alias("item_id"), F.lit("IV.2").alias("topic"), F.concat(F.lit("read "), "doc_id").alias("reason"))
     over = lab.where("quality = 0").select(item(3).alias("item_id"), F.lit("I.2").alias("topic"))
-    return M.build(M.transcripts(spark, transcript_files(spark, d), e, "part-*"), e, LEXICON, OUTDATED, dec, over)
+    return M.build(scripts(spark, d), e, LEXICON, OUTDATED, dec, over)
 
 
 def _sql_build() -> str:
@@ -120,3 +122,239 @@ def _sql_report() -> str:
 @query(_sql_report())
 def build_report(spark, d):
     return R.markdown(built(spark, d), exams(spark, d), PROGRAM, "2026-01-31", SOURCE)
+
+
+# Readings by priority: an order's line items are cells, their suppliers tell the readings that have them
+
+MODES = ["layout", "linear", "relaxed", "psm4", "psm4-relaxed", "high", "embedded"]
+SQL_CELLS = """cells as (select l_orderkey as doc_id, l_linestatus as section, 1 + l_linenumber % 3 as number, ['layout', 'linear', 'relaxed', 'psm4', 'psm4-relaxed', 'high', 'embedded'][1 + l_suppkey % 7] as reading, l_partkey as prompt, l_suppkey as page from lineitem),
+  rep as (select distinct o_orderkey as doc_id, 'F' as section, 1 as number, 'repair' as reading, o_custkey as prompt, 0 as page from orders)"""
+
+
+def reading_cells(spark, d):
+    li = table(spark, d, "lineitem")
+    rank = (F.col("l_suppkey") % 7).cast("int")
+    rows = li.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linestatus").alias("section"), (1 + F.col("l_linenumber") % 3).alias("number"), F.get(F.array(*map(F.lit, MODES)), rank).alias("reading"), rank.alias("priority"), F.col("l_partkey").alias("prompt"), F.col("l_suppkey").alias("page"))
+    repairs = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit("F").alias("section"), F.lit(1).alias("number"), F.col("o_custkey").alias("prompt"), F.lit(0).alias("page"))
+    return rows, repairs
+
+
+@query("with " + SQL_CELLS + ", r as (select *, case reading when 'embedded' then -2 when 'high' then -1 " + " ".join(f"when '{m}' then {i}" for i, m in enumerate(MODES)) + f""" when 'repair' then 99 else {len(MODES)} end as p from (select * from cells union all select * from rep))
+  select doc_id, section, number::int as number, reading, prompt, page from (select *, row_number() over (partition by doc_id, section, number order by p, reading, prompt, page) as k from r) where k = 1""")
+def readings_resolved(spark, d):
+    rows, repairs = reading_cells(spark, d)
+    return RD.resolved(rows, ["doc_id", "section", "number"], repairs, ["high", "embedded"])
+
+
+def exam_pages(spark, d):
+    """Documents as recognised exams: eleven words a question, every seventh number and some markers
+    damaged, a page every nine questions."""
+    w = F.split(F.coalesce("text", F.lit("")), " ")
+
+    def question(k):
+        word = lambda i: F.coalesce(F.get("w", k * 11 + i), F.lit(""))
+        lead = F.when(k % 7 == 4, "%. ").otherwise(F.concat((k % 25 + 1).cast("string"), F.lit(". ")))
+        mark = lambda x, bad: F.when(k % 5 == 3, bad).otherwise(x)
+        return F.concat(
+            F.when(k % 9 == 8, "\fPágina 3 de 9\n").otherwise("\n"), lead, F.lit("¿Cuál es la "), word(0), F.lit(" de "), word(1), F.lit(" "), word(2), F.lit("?\n"), mark("a) ", "aj) "), word(3), F.lit(" "), word(4), F.lit("\n"),
+            mark("b) ", "hb "), word(5), F.lit(" "), word(6), F.lit("\n"), mark("c) ", "€) "), word(7), F.lit(" "), word(8), F.lit("\n"), mark("d) ", "0d. "), word(9), F.lit(" "), word(10))
+
+    docs = table(spark, d, "documents").select("doc_id", w.alias("w"))
+    n = F.floor(F.size("w") / 11).cast("int")
+    return docs.select("doc_id", F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), question), "")).otherwise("").alias("text"))
+
+
+def reading(spark, d, name):
+    return O.extract(exam_pages(spark, d), name)
+
+
+def shown(questions):
+    return questions.select("doc_id", "segment", "number", F.md5("prompt").alias("prompt"), F.md5(F.array_join("options", "|")).alias("options"), "page", "order")
+
+
+@query()
+def embedded_reading(spark, d):
+    return shown(reading(spark, d, "embedded"))
+
+
+@query()
+def relaxed_reading(spark, d):
+    return shown(reading(spark, d, "relaxed"))
+
+
+@query()
+def best_chain(spark, d):
+    return shown(reading(spark, d, "chain"))
+
+
+PLAN = [("first", 20), ("first_reserve", 5), ("case", 20), ("case_reserve", 5)]
+
+
+@query()
+def readings_by_priority(spark, d):
+    every = RD.together([(n, reading(spark, d, n)) for n in ("embedded", "chain", "relaxed")])
+    cells = RD.cells(RD.without_thin(every, "embedded"), PLAN)
+    one = RD.resolved(cells.select("doc_id", "section", "number", "priority", "reading", "how", "question.prompt", "question.page"), ["doc_id", "section", "number"])
+    return one.withColumn("prompt", F.md5("prompt"))
+
+
+@query()
+def lcs_align(spark, d):
+    n = numbers(spark, d).select("k", F.lit(1).alias("page"), F.col("o").alias("order"), "number", F.lit(1).alias("segment"), F.col("o").alias("ref"))
+    return L.aligned(n, [(f"part {i}", 7) for i in range(7)], "k", "ref")
+
+
+@query("""with t as (select doc_id, list_filter(list_transform(string_split(text, ' '), lambda w: case rtrim(lower(w), '.,!') when 'a' then 'a' when 'an' then 'b' when 'en' then 'c' when 'de' then 'd' when 'on' then '?' end), lambda x: x is not null) as l from documents),
+  p as (select doc_id, l, unnest(range(1, len(l) + 1)) as i from t), s as (select doc_id, i, l[i] as x from p),
+  a as (select doc_id, i as ia, case x when 'a' then 2 when '?' then 0 else -2 end as v from s), ba as (select *, max(v) over (partition by doc_id order by ia) as m from a), fa as (select doc_id, ia, m from ba),
+  b as (select s.doc_id, s.i, fa.m + case s.x when 'b' then 2 when '?' then 0 else -2 end as v from s join fa on fa.doc_id = s.doc_id and fa.ia = s.i - 1), mb as (select doc_id, i, max(v) over (partition by doc_id order by i) as m from b),
+  c as (select s.doc_id, s.i, mb.m + case s.x when 'c' then 2 when '?' then 0 else -2 end as v from s join mb on mb.doc_id = s.doc_id and mb.i = s.i - 1), mc as (select doc_id, i, max(v) over (partition by doc_id order by i) as m from c),
+  e as (select s.doc_id, mc.m + case s.x when 'd' then 2 when '?' then 0 else -2 end as v from s join mc on mc.doc_id = s.doc_id and mc.i = s.i - 1)
+  select t.doc_id, len(l)::bigint as markers, coalesce(max(e.v), -10000)::bigint as score from t left join e on e.doc_id = t.doc_id group by 1, 2""")
+def option_align(spark, d):
+    label = lambda w: F.when(w == "a", "a").when(w == "an", "b").when(w == "en", "c").when(w == "de", "d").when(w == "on", "?")
+    words = F.transform(F.split("text", " "), lambda w: label(F.regexp_replace(F.lower(w), "[.,!]+$", "")))
+    return O.aligned_scores(table(spark, d, "documents").select("doc_id", F.array_compact(words).alias("labels")))
+
+
+# Merging, drawing, cleaning
+
+SQL_BANK = """bk as (select doc_id::varchar as item_id, source as exam_id, 'first' as section, doc_id % 90 as number, md5(text) as prompt, [lang, source] as options, case when doc_id % 3 = 0 then null else ['a', 'b', 'c', 'd'][1 + doc_id % 4] end as answer, 'II.1' as topic, 'II' as block, 12000 as units, 'rules' as method, 'valid' as status, '' as reason, true as active from documents),
+  sp as (select case when d.doc_id is not null then d.doc_id::varchar end as item_id, b.item_id as number, md5(b.text) as prompt, ['x', 'y'] as options, case when d.doc_id is null or d.doc_id % 3 = 0 then 'b' else ['a', 'b', 'c', 'd'][1 + d.doc_id % 4] end as answer, 'outdated' as status, 'read again' as reason, b.item_id % 2 = 0 as active
+    from benchmark b left join documents d on d.doc_id = b.item_id * 7)"""
+
+
+def bank_and_supplement(spark, d):
+    letter = lambda n: F.get(F.array(*map(F.lit, "abcd")), (n % 4).cast("int"))
+    docs = table(spark, d, "documents")
+    i = F.col("doc_id")
+    bank = docs.select(
+        i.cast("string").alias("item_id"), F.col("source").alias("exam_id"), F.lit("first").alias("section"), (i % 90).alias("number"), F.md5("text").alias("prompt"), F.array("lang", "source").alias("options"), F.when(i % 3 != 0, letter(i)).alias("answer"),
+        F.lit("II.1").alias("topic"), F.lit("II").alias("block"), F.lit(12000).alias("units"), F.lit("rules").alias("method"), F.lit("valid").alias("status"), F.lit("").alias("reason"), F.lit(True).alias("active"))
+    b = table(spark, d, "benchmark").select("item_id", F.md5("text").alias("prompt")).join(docs.select((i / 7).alias("_seventh"), "doc_id"), F.col("item_id") == F.col("_seventh"), "left")
+    extra = b.select(
+        i.cast("string").alias("item_id"), F.col("item_id").alias("number"), "prompt", F.array(F.lit("x"), F.lit("y")).alias("options"), F.when(i.isNull() | (i % 3 == 0), "b").otherwise(letter(i)).alias("answer"), F.lit("outdated").alias("status"),
+        F.lit("read again").alias("reason"), (F.col("item_id") % 2 == 0).alias("active"))
+    return bank, extra
+
+
+@query("with " + SQL_BANK + f""" select bk.item_id, bk.exam_id, bk.section, bk.number, coalesce(sp.prompt, bk.prompt) as prompt, array_to_string(coalesce(sp.options, bk.options), '|') as options, coalesce(sp.answer, bk.answer) as answer, case when sp.item_id is null then bk.topic else 'I.9' end as topic,
+    case when sp.item_id is null then bk.block else 'I' end as block, case when sp.item_id is null then bk.units else 20000 end as units, case when sp.item_id is null then bk.method else '{G.METHOD}' end as method, coalesce(sp.status, bk.status) as status, coalesce(sp.reason, bk.reason) as reason,
+    coalesce(sp.active, bk.active) as active, case when sp.item_id is null then 'kept' else 'updated' end as action from bk left join sp using (item_id)
+  union all select 'extra:first:' || number, 'extra', 'first', number, prompt, array_to_string(options, '|'), answer, 'I.9', 'I', 20000, '{G.METHOD}', status, reason, active, 'inserted' from sp where item_id is null""")
+def supplement_apply(spark, d):
+    bank, extra = bank_and_supplement(spark, d)
+    return G.merged(bank, extra, "extra", "I.9").withColumn("options", F.array_join("options", "|"))
+
+
+@query("with " + SQL_BANK + " select 'extra' as exam_id, count(*) filter (item_id is null) as expected, count(*) filter (item_id is null) as extracted, count(*) filter (item_id is null and answer is not null) as answered, count(item_id) as already_present from sp")
+def supplement_coverage(spark, d):
+    return G.coverage_row(bank_and_supplement(spark, d)[1], "extra")
+
+
+SIM = "select doc_id as item_id, case when source in ('src1', 'src2') then 'first' when source = 'src3' then 'first_reserve' else 'case' end as section, case when source in ('src1', 'src2', 'src3') then 'primera_parte' else 'supuesto_practico' end as exercise, case when lang = 'en' then 'III' else 'IV' end as block, n_chars % 9 = 0 as reserve, case when n_chars % 5 = 0 then 'uploaded' end as origin from documents"
+
+
+@query(f"""with i as ({SIM}), o as (select *, md5('exam:' || item_id) as h from i), a as (select item_id from o where section = 'first' and origin is null order by h, item_id limit 80), b as (select item_id from o where section = 'first_reserve' and item_id not in (from a) order by h, item_id limit 5),
+  k as (select * from o where exercise = 'supuesto_practico' and block = 'IV'), c as (select item_id from k where not reserve order by h, item_id limit 20), e as (select item_id, not reserve as filler from k where item_id not in (from c) order by filler, h, item_id limit 5),
+  u as (select item_id, 0 as part, false as filler from a union all select item_id, 1, false from b union all select item_id, 2, false from c union all select item_id, 3, filler from e)
+  select u.item_id, part, filler, row_number() over (order by part, filler, h, u.item_id) as position from u join o on o.item_id = u.item_id""")
+def exam_simulation(spark, d):
+    src = F.col("source")
+    first = src.isin("src1", "src2")
+    items = table(spark, d, "documents").select(
+        F.col("doc_id").alias("item_id"), F.when(first, "first").when(src == "src3", "first_reserve").otherwise("case").alias("section"), F.when(first | (src == "src3"), "primera_parte").otherwise("supuesto_practico").alias("exercise"),
+        F.when(F.col("lang") == "en", "III").otherwise("IV").alias("block"), (F.col("n_chars") % 9 == 0).alias("reserve"), F.when(F.col("n_chars") % 5 == 0, "uploaded").alias("origin"))
+    return P.exam_simulation(items, "exam", "IV")
+
+
+FOOTED = """select doc_id, text || ['', ' 2024 - x TAI', ' Ejercicio único', ' 1 - TEST', ' nothing', ' 2 . cp ejercicio unico'][1 + doc_id % 6] || repeat('·', doc_id % 113) || ' Página ' || doc_id % 40 || ' de 40' || ['', ' Bloque IV', ' | 12', ' Bloque IV y más', ' el fin', ' ab 3'][1 + doc_id % 5] as text from documents"""
+
+
+@query(f"""with f as ({FOOTED}), v as (select doc_id, trim(regexp_replace(text, '[\\s\\p{{Z}}]+', ' ', 'g')) as v from f),
+  m as (select doc_id, v, regexp_extract(v, '(?is)^(.*)({T.PAGE_REFERENCE})(.*)$', 1) as head, regexp_extract(v, '(?is)^(.*)({T.PAGE_REFERENCE})(.*)$', 3) as tail, regexp_matches(v, '(?i){T.PAGE_REFERENCE}') as has from v),
+  w as (select *, right(head, {T.LOOK_BACK}) as win, regexp_matches(regexp_replace(tail, '(?i){T.BLOCK_NAME}', '', 'g'), '(?i){T.A_WORD}') as more from m),
+  a as (select *, regexp_extract(win, '(?i){T.FOOTER_ANCHOR}') as anchor from w)
+  select doc_id, md5(case when not has or more then v else regexp_replace(case when anchor <> '' then left(head, length(head) - length(win) + strpos(win, anchor) - 1) else head end, '{T.TRAILING}', '') end) as body from a""")
+def footer_removal(spark, d):
+    pick = lambda xs, n: F.get(F.array(*map(F.lit, xs)), (F.col("doc_id") % n).cast("int"))
+    i = F.col("doc_id")
+    text = F.concat("text", pick(["", " 2024 - x TAI", " Ejercicio único", " 1 - TEST", " nothing", " 2 . cp ejercicio unico"], 6), F.repeat(F.lit("·"), (i % 113).cast("int")), F.lit(" Página "), (i % 40).cast("string"), F.lit(" de 40"), pick(["", " Bloque IV", " | 12", " Bloque IV y más", " el fin", " ab 3"], 5))
+    return table(spark, d, "documents").select("doc_id", F.md5(T.without_footer(text)).alias("body"))
+
+
+SQL_PATHS = "select doc_id, ['2010 pi/TAI 2010-PI-CUESTIONARIO 1 PARTE.pdf', '2010 pi/TAI 2010-PI-RESPUESTAS cuestionario.pdf', '2006 libre/CUESTIONARIO Y RESPUESTAS.pdf', '2018 pi/TAI PI 2018.pdf', '2024 libre/CUESTIONARIO.pdf', '2016/Plantilla cuestionario.pdf', '2017/other.pdf'][1 + doc_id % 7] as path, n_chars % 7 as pages, n_chars from documents"
+
+
+@query(f"""with p as ({SQL_PATHS}), n as (select *, lower(path) as f, lower(split_part(path, '/', 2)) as name from p)
+  select doc_id, pages > 2 and (n_chars < 5000 or (regexp_matches(f, '{"|".join(map(str, A.COMPLEX_YEARS))}') and (not contains(name, 'respuesta') or contains(name, 'cuestionario y respuestas')) and not contains(name, 'plant')
+    and (contains(name, 'cuestionario') or name in ({", ".join(f"'{x}'" for x in A.COMPLEX_NAMES)})))) as ocr from n""")
+def recognition_needed(spark, d):
+    paths = ["2010 pi/TAI 2010-PI-CUESTIONARIO 1 PARTE.pdf", "2010 pi/TAI 2010-PI-RESPUESTAS cuestionario.pdf", "2006 libre/CUESTIONARIO Y RESPUESTAS.pdf", "2018 pi/TAI PI 2018.pdf", "2024 libre/CUESTIONARIO.pdf", "2016/Plantilla cuestionario.pdf", "2017/other.pdf"]
+    path = F.get(F.array(*map(F.lit, paths)), (F.col("doc_id") % 7).cast("int"))
+    return table(spark, d, "documents").select("doc_id", A.needs_recognition(path, F.col("n_chars") % 7, F.col("n_chars")).alias("ocr"))
+
+
+# The manifest
+
+SQL_MANIFEST = "sec(exam_id, questionnaire, ord, section, n, reserve) as (values " + ", ".join(
+    f"('{y}-{access.replace('_', '-')}{'' if sitting == 'ordinario' else '-' + sitting}', {q + 1}, {p * 100 + s + 1}, '{spec.split(':')[0]}', {spec.split(':')[1]}, {str(spec.split(':')[0].endswith('_reserve')).lower()})"
+    for years, access, sitting, qs, _ in X.RULES for y in years for q, names in enumerate(qs) for p, plan in enumerate(names.split(" ")) for s, spec in enumerate(X.PLANS[plan].split(" "))) + ")"
+
+
+@query("with " + SQL_MANIFEST + " select exam_id, questionnaire::int as questionnaire, ord::int as ord, section, n::int as n, reserve from sec")
+def manifest_sections(spark, d):
+    return X.sections(spark).select("exam_id", "questionnaire", "ord", "section", "n", "reserve")
+
+
+@query("with " + SQL_MANIFEST + """, ex as (select exam_id, row_number() over (order by exam_id) - 1 as k from (select distinct exam_id from sec)), h as (select distinct exam_id, case when lang = 'en' then 'first' when lang = 'es' then 'case_iii' else 'case_iv' end as section, 1 + n_chars % 110 as number from documents join ex on ex.k = doc_id % (select count(*) from ex)),
+  g as (select exam_id, section, unnest(range(1, n + 1)) as number from sec), j as (select g.*, h.number is not null as there from g left join h using (exam_id, section, number))
+  select exam_id, count(*) as expected, count(*) filter (there) as extracted, coalesce(string_agg(section || ':' || number, ',' order by section, number) filter (not there), '') as missing from j group by 1""")
+def manifest_coverage(spark, d):
+    s = X.sections(spark)
+    ex = s.groupBy(F.lit(1).alias("one")).agg(F.array_sort(F.collect_set("exam_id")).alias("ids"))  # a manifest's exams are few
+    docs = table(spark, d, "documents").crossJoin(F.broadcast(ex)).select(F.get("ids", (F.col("doc_id") % F.size("ids")).cast("int")).alias("exam_id"), F.when(F.col("lang") == "en", "first").when(F.col("lang") == "es", "case_iii").otherwise("case_iv").alias("section"), (1 + F.col("n_chars") % 110).alias("number"))
+    return X.coverage(s, docs)
+
+
+# Stores
+
+
+@query("with i as (select * from lineitem) select o_custkey as user_id, l_partkey::varchar as item_id, count(*) as seen, count(*) filter (l_returnflag = 'A') as correct, count(*) filter (l_returnflag = 'R') as wrong, max(o_orderdate)::timestamp as last_seen from i join orders on o_orderkey = l_orderkey group by 1, 2")
+def progress_batches(spark, d):
+    """Orders as attempts, recorded in three batches, one of which comes twice and one again under a new number."""
+    o = F.when(F.col("l_returnflag") == "A", "correct").when(F.col("l_returnflag") == "R", "wrong").otherwise("blank")
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_partkey").cast("string").alias("item_id"), o.alias("outcome"))).alias("outcomes"))
+    every = table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").cast("string").alias("attempt_id"), F.col("o_orderdate").cast("timestamp").alias("finished"), "outcomes", "o_orderkey")
+    store = W.Store(spark, stage.new_dir(spark, "progress"), 8)
+    for number, part in enumerate([0, 1, 1, 2]):
+        W.record(store, every.where(F.col("o_orderkey") % 3 == part), number)
+    W.record(store, every, 3)  # this number is in already
+    return W.progress(store)
+
+
+@query("select document_id, length(t)::bigint as chars, md5(t) as body from (select doc_id::varchar as document_id, case when lang = 'de' then text || '!' else text end as t from documents where lang <> 'es')")
+def incremental_build(spark, d):
+    """Documents built as files, and again after one language's have changed and another's are gone."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "lang", "text")
+    later = docs.where("lang <> 'es'").withColumn("text", F.when(F.col("lang") == "de", F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    store = W.Store(spark, stage.new_dir(spark, "built"), 8)
+    for state in (docs, later, later):
+        files = state.select("document_id", F.col("document_id").alias("path"), T.cache_key(F.col("text").cast("binary")).alias("cache_key"))
+        W.rebuild(store, files, lambda todo, state=state: state.join(todo.select("document_id"), "document_id", "left_semi").select("document_id", F.length("text").cast("long").alias("chars"), F.md5("text").alias("body")), BUILT)
+    return store.read(store.current(), "built", BUILT)
+
+
+BUILT = "document_id string, chars long, body string"
+
+
+@query("select count(*) as written, count(*) as stored, true as same from documents")
+def stored_bank(spark, d):
+    rows = items(spark, d).drop("text")
+    return W.read_back(spark, W.put(rows, stage.new_dir(spark, "bank")), rows.schema)[1]
+
+
+@query("select user_id, event_id, value from events where user_id in (7, 11, 13)")
+def row_scope_users(spark, d):
+    mine = [P.own_rows(spark, f"{d}/events.parquet", u).select("user_id", "event_id", "value") for u in (7, 11, 13)]
+    return mine[0].union(mine[1]).union(mine[2])

@@ -209,32 +209,6 @@ def marker_numbers(spark, d):
     return t.select("doc_id", S.marker_number(F.col("token")).alias("n")).where("n is not null").groupBy("doc_id").agg(F.sum("n").cast("long").alias("total"), F.count("*").alias("numbers"))
 
 
-def _fold_options(doc_id, lines):
-    words = [w.strip(".,!").lower() for line in lines for w in line.split()]
-    labels = [{"a": "a", "of": "b", "the": "c", "and": "d", "o": "?"}.get(w, "") for w in words]
-    return [(doc_id, i, "abcd"[k]) for k, i in enumerate(S.align_options([x for x in labels if x]))]
-
-
-@query()
-def option_align(spark, d):
-    return S.per_document(table(spark, d, "documents"), _fold_options, "doc_id long, position long, option string")
-
-
-def _fold_chain(doc_id, lines):
-    return [(doc_id, i, len(lines[i])) for i in S.best_chain([(len(x) % 50, min(40, len(x))) for x in lines])]
-
-
-@query()
-def best_chain(spark, d):
-    return S.per_document(table(spark, d, "documents"), _fold_chain, "doc_id long, line_no long, length long")
-
-
-@query()
-def lcs_align(spark, d):
-    n = numbers(spark, d).groupBy("k").agg(F.sort_array(F.collect_list(F.struct("o", "number"))).alias("m"))
-    return S.lcs_rows(n.select("k", F.transform("m", lambda x: x["number"]).alias("m")), "k", "m", [1 + x % 7 for x in range(50)])
-
-
 def boxes(spark, d):
     return table(spark, d, "lineitem").select((F.col("l_suppkey") % 50).cast("int").alias("page"), (F.col("l_partkey") % 400).cast("int").alias("x"), (F.col("l_orderkey") % 600).cast("int").alias("y"), F.col("l_returnflag").alias("token")).distinct()
 

@@ -31,10 +31,9 @@ def test_alignment_and_runs():
 def test_readings_in_spark(spark):
     text = "1. ¿Qué es la red?\na) uno b) dos\nc) tres d) cuatro"
     docs = spark.createDataFrame([(1, text), (2, None), (3, ""), (None, text), (4, "Instrucciones")], "doc_id long, text string")
-    first, second = ocr.extract(docs, "embedded"), ocr.extract(docs, "relaxed")
+    first = ocr.extract(docs, "embedded")
     assert sorted(str(r["doc_id"]) for r in first.collect()) == ["1", "None"]
     assert ocr.no_instructions(first).count() == 2
-    assert [r["options"] for r in ocr.chosen_reading(first, second, least=2).where("doc_id = 1").collect()] == [["uno", "dos", "tres", "cuatro"]]
     assert ocr.extract(docs.limit(0), "chain").count() == 0
 
 
@@ -50,3 +49,38 @@ def test_transcript_quirks():
     # an announcement inside a line sets the section but closes nothing; letters' order isn't checked
     q = E.questions_of(f"see SUPUESTO II — Preguntas de reserva\n1. one\n  B) x\n  A) y\n{end}")
     assert q == [("case_iv_reserve", 1, "one", ["x", "y"], "b")] and E.questions_of("") == []
+
+
+def test_the_chain_is_the_longest_path():
+    """Against every way to choose line marks, on texts with damaged numbers, markers and prompts."""
+    from itertools import combinations
+
+    import random
+
+    r = random.Random(4)
+    for _ in range(60):
+        text = "".join(
+            f"\n{r.choice(['%', i + 1, i + 1, i + 1, 1])}. {r.choice(['¿Qué es la red de datos?', '¿Cuál es la que señale?', '12 34'])}\n{r.choice(['a)', 'aj)', 'x)'])} uno\nb) dos\n{r.choice(['c)', '€)', 'e)'])} tres\n{r.choice(['d)', '0d'])} cuatro"
+            for i in range(r.randint(1, 4)))
+        marked = ocr.Marked(text, ocr.DAMAGED, ocr.align)
+        nodes = [m for m in ocr.re.finditer(ocr.LINE_MARK, text) if m[1].rstrip(".)") not in set("abcdABCD")]
+        said = [ocr.number(m[1]) for m in nodes]
+
+        def worth(i, end, nodes=nodes, marked=marked, said=said, text=text):
+            score, four = marked.four(nodes[i].end(), end)
+            return ocr.quality(text[nodes[i].end() : four[0][0]], said[i] is not None) if score >= ocr.GOOD else -100
+
+        def score(path, nodes=nodes, said=said):
+            total = {1: 20, None: 5}.get(said[path[0]], 0)
+            for a, b in zip(path, path[1:], strict=False):
+                w = worth(a, nodes[b].start())
+                if w < ocr.GOOD or total < 0:
+                    return None
+                x, y = said[a], said[b]
+                total += 100 + w + (5 if x is not None and y == x + 1 else 2 if x is not None and x >= 10 and y == 1 else 0 if y is None else -5)
+            return total if total > 0 and worth(path[-1], len(text)) >= ocr.GOOD else None
+
+        every = [s for n in range(1, len(nodes) + 1) for p in combinations(range(len(nodes)), n) if (s := score(p)) is not None] if len(nodes) <= 12 else None
+        got = [nodes.index(next(n for n in nodes if n.start() == m.start())) for m in ocr.longest_chain(marked)]
+        if every is not None:
+            assert (score(got) if got else None) == (max(every) if every else None)

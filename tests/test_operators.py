@@ -1,5 +1,6 @@
 import datetime as dt
 import unicodedata
+from itertools import combinations
 
 from hypothesis import given
 from hypothesis import strategies as st
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from itembank.functions import text as T
 from itembank.operators import bank as B
 from itembank.operators import classify as C
+from itembank.operators import layout, ocr
 from itembank.operators import segment as S
 from itembank.sources import files
 from itembank.streaming import progress
@@ -27,7 +29,6 @@ def test_fold_is_pythons(spark):
 def test_scalars(spark):
     assert one(spark, T.number_es(F.lit(12345.5))) == "12.345,50" and one(spark, T.number_es(F.lit(-1234.5))) == "-1234,50"
     assert one(spark, T.mmss(F.lit(7384))) == "123:04" and one(spark, T.slug(F.lit(" ¡Hola, Ñandú! "))) == "hola-nandu"
-    assert one(spark, T.cut_footer(F.lit("What is it? Page 3 of 9"))) == "What is it?"
     assert one(spark, T.year_of(F.lit("exam-2019-b"))) == 2019
 
 
@@ -76,18 +77,17 @@ def test_uploads(spark):
 
 
 @given(st.lists(st.sampled_from("abcd?"), max_size=9))
-def test_align_options(labels):
-    got = S.align_options(labels)
-    assert got == sorted(set(got)) and len(got) in (0, 4)
-    if "".join(labels) == "abcd":
-        assert got == [0, 1, 2, 3]
+def test_alignment_is_the_best_one(labels):
+    worth = lambda c: sum({w: 2, "?": 0}.get(labels[i], -2) for i, w in zip(c, "abcd", strict=True))
+    ways = list(combinations(range(len(labels)), 4))
+    score, places = ocr.align(labels)
+    assert (score, places) == ((max(map(worth, ways)), places) if ways else (-10_000, []))
+    assert not ways or worth(places) == score
 
 
 @given(st.lists(st.integers(0, 3), max_size=7), st.lists(st.integers(0, 3), max_size=7))
 def test_lcs(a, b):
-    from itertools import combinations
-
-    got = S.lcs(a, b)
+    got = layout.longest_common(a, b)
     assert [a[i] for i, _ in got] == [b[j] for _, j in got]
     subs = {tuple(a[i] for i in c) for n in range(len(a) + 1) for c in combinations(range(len(a)), n)}
     assert len(got) == max(n for n in range(len(b) + 1) for c in combinations(range(len(b)), n) if tuple(b[j] for j in c) in subs)
@@ -95,7 +95,6 @@ def test_lcs(a, b):
 
 def test_folds(spark):
     assert one(spark, S.repaired(F.array(*[F.lit(x) for x in (1, 2, 30, 4, 99, 7)]))) == [1, 2, 3, 4, 5, 7]
-    assert S.best_chain([(1, 5), (9, 5), (2, 5), (3, 5)]) == [0, 2, 3] and S.best_chain([]) == []
     boxes = spark.createDataFrame([(1, 0, 5, "a"), (1, 17, 1, "b"), (1, 19, 0, "c"), (1, 36, 0, "d")], "page int, x int, y int, token string")
     assert [(r["token"], r["col"]) for r in S.column_clusters(boxes).orderBy("flow").collect()] == [("b", 1), ("a", 1), ("c", 2), ("d", 2)]
 
