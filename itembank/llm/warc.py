@@ -1,10 +1,11 @@
 """WARC archives: a writer with revisit records, and a reader that salvages damaged files.
 
 Archives are gzip files with one member for each record. The reader walks them member by member
-(or, in plain archives, record by record) in bounded memory. When a check fails - gzip's CRC or
-length, the version line, the header block, the block's length, its digest - it searches for the
-next member or version line that starts a valid record, goes on from there, and logs the bytes in
-between as a quarantined gap.
+(or, in plain archives, record by record), piece by piece: a record of any size is digested as it
+passes, and only its headers are held. When a check fails - gzip's CRC or length, the version line,
+the header block, the block's length, its digest - it searches for the next member or version line
+that starts a valid record, goes on from there, and logs the bytes in between as a quarantined gap.
+A plain record's end is looked at before its block is read, so a damaged length costs nothing.
 """
 
 from __future__ import annotations
@@ -32,8 +33,14 @@ IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LEAST_REVISIT = 100
 #: Reads are of so many bytes.
 CHUNK = 1 << 20
-#: Records of a decompressed member larger than this are damage, not data.
-MOST_RECORD = 1 << 31
+#: Decompressed data come in pieces of so many bytes.
+PIECE = 1 << 18
+#: A header block is held in memory: longer ones are damage to the reader, and the writer raises for them.
+MOST_HEADER = 1 << 26
+#: So much of an HTTP head is kept to be looked at.
+MOST_HTTP = 1 << 16
+END = b"\r\n\r\n"
+HEADER_LINE = re.compile(rb"[!#$%&'*+.^_`|~0-9A-Za-z-]+[ \t]*:")
 
 
 class Damage(Exception):
@@ -59,7 +66,10 @@ def build_record(page_id: int | None, url: str | None, payload: bytes, digest: s
     if revisit:
         head += [("WARC-Profile", IDENTICAL), ("WARC-Refers-To", record_id(refers_to, digest)), ("X-Refers-To-Page-ID", str(refers_to))]
     head.append(("Content-Length", str(len(block))))
-    return VERSIONS[1] + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
+    lines = VERSIONS[1] + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n"
+    if len(lines) > MOST_HEADER:
+        raise ValueError(f"page {page_id}: a header block of {len(lines)} bytes (at most {MOST_HEADER})")
+    return lines + block + END
 
 
 def gzip_member(data: bytes) -> bytes:
@@ -67,139 +77,194 @@ def gzip_member(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def parse_record(data: bytes) -> tuple[dict[str, str], bytes, int]:
-    """Headers, block and length of the record that ``data`` starts with; raises :class:`Damage`."""
-    if not data.startswith(VERSIONS):
-        raise Damage("no version line")
-    end = data.find(b"\r\n\r\n")
-    if end < 0:
-        raise Damage("no end of the header block")
-    head: dict[str, str] = {}
-    for line in data[:end].split(b"\r\n")[1:]:
-        k, sep, v = line.partition(b":")
-        if not sep:
-            raise Damage("a header line without a colon")
-        head[k.decode("utf-8", "replace").strip().lower()] = v.decode("utf-8", "replace").strip()
-    n = head.get("content-length", "")
-    if not n.isdigit() or not head.get("warc-type"):
-        raise Damage("no length or type")
-    start, size = end + 4, int(n)
-    if len(data) < start + size + 4:
-        raise Damage("short block")
-    block = data[start : start + size]
-    if data[start + size : start + size + 4] != b"\r\n\r\n":
-        raise Damage("no end of the record")
-    kind, _, want = head.get("warc-block-digest", "").partition(":")
-    if kind == "sha256" and hashlib.sha256(block).hexdigest() != want:
-        raise Damage("wrong digest")
-    return head, block, start + size + 4
+class Record:
+    """One record, parsed from pieces of its bytes; any failed check raises :class:`Damage`.
 
+    ``head`` are its headers; of the block, ``http`` is (the beginning of) what stands before the first
+    blank line, and ``payload_bytes``, ``payload_sha256`` and, if kept, ``payload`` are of what follows.
+    """
 
-class _Window:
-    """A file's bytes from ``at`` on, read as they are needed and dropped once passed."""
+    def __init__(self, keep: bool = False):
+        self.head: dict[str, str] = {}
+        self.http, self.payload_bytes, self.payload = b"", 0, bytearray() if keep else None
+        self._lines, self._checked, self._from = bytearray(), 0, 0
+        self._left: int | None = None  # bytes of the block to come
+        self._in_payload, self._last, self._end = False, b"", b""
+        self._block, self._payload = hashlib.sha256(), hashlib.sha256()
+        self.done = False
+
+    @property
+    def payload_sha256(self) -> str:
+        return self._payload.hexdigest()
+
+    def feed(self, data) -> int:
+        """Takes what belongs to the record from a piece; returns how many bytes that were."""
+        data, used = memoryview(data), 0
+        if self._left is None:
+            used = self._feed_head(data)
+        if self._left:
+            part = data[used : used + self._left]
+            self._feed_block(part)
+            self._left -= len(part)
+            used += len(part)
+        if self._left == 0 and not self.done:
+            part = bytes(data[used : used + len(END) - len(self._end)])
+            self._end += part
+            used += len(part)
+            if not END.startswith(self._end):
+                raise Damage("no end of the record")
+            if self._end == END:
+                self._check_digest()
+                self.done = True
+        return used
+
+    def _feed_head(self, data: memoryview) -> int:
+        lines, before = self._lines, len(self._lines)
+        lines += data[: max(0, MOST_HEADER + len(END) - before)]
+        if not any(v.startswith(lines[: len(v)]) for v in VERSIONS):
+            raise Damage("no version line")
+        at = lines.find(END, max(0, before - len(END) + 1))
+        whole = at if at >= 0 else lines.rfind(b"\r\n")
+        while self._checked < whole:
+            end = lines.find(b"\r\n", self._checked, whole)
+            end = whole if end < 0 else end
+            if self._checked and not HEADER_LINE.match(lines, self._checked, end):
+                raise Damage("a header line without a colon")
+            self._checked = end + 2
+        if at < 0:
+            if len(lines) > MOST_HEADER:
+                raise Damage("no end of the header block")
+            return len(data)
+        for line in bytes(lines[:at]).split(b"\r\n")[1:]:
+            k, _, v = line.partition(b":")
+            self.head[k.decode("utf-8", "replace").strip().lower()] = v.decode("utf-8", "replace").strip()
+        size = self.head.get("content-length", "")
+        if not (size.isascii() and size.isdigit()) or not self.head.get("warc-type"):
+            raise Damage("no length or type")
+        self._left = int(size)
+        self._lines = bytearray()
+        return at + len(END) - before
+
+    def _feed_block(self, part: memoryview) -> None:
+        self._block.update(part)
+        if not self._in_payload:
+            joined = self._last + bytes(part)
+            at = joined.find(END)
+            head = joined[len(self._last) : at if at >= 0 else None] if at >= len(self._last) or at < 0 else b""
+            self.http += head[: MOST_HTTP - len(self.http)]
+            if at < 0:
+                self._last = joined[-len(END) + 1 :]
+                return
+            self._in_payload = True
+            part = memoryview(joined)[at + len(END) :]
+        self._payload.update(part)
+        self.payload_bytes += len(part)
+        if self.payload is not None:
+            self.payload += part
+
+    def _check_digest(self) -> None:
+        kind, _, want = self.head.get("warc-block-digest", "").partition(":")
+        if kind == "sha256" and self._block.hexdigest() != want:
+            raise Damage("wrong digest")
+
+
+class _Source:
+    """A file's bytes by place. Going on from where the last piece ended reads each byte once."""
 
     def __init__(self, f, size: int):
-        self.f, self.size, self.at, self.buf = f, size, 0, b""
-
-    def need(self, n: int) -> bool:
-        while len(self.buf) < n and self.at + len(self.buf) < self.size:
-            more = self.f.read(max(CHUNK, n - len(self.buf)))
-            if not more:
-                break
-            self.buf += more
-        return len(self.buf) >= n
-
-    def skip(self, n: int) -> None:
-        self.buf, self.at = self.buf[n:], self.at + n
-
-
-def _member(w: _Window) -> tuple[bytes, int]:
-    """The content and stored length of the gzip member at the window's start."""
-    z, out, start, used, size = zlib.decompressobj(31), [], b"", 0, 0
+        self.f, self.size, self.start, self.buf = f, size, 0, b""
+
+    def piece(self, at: int) -> memoryview:
+        """What is at hand from ``at`` on; empty at the end of the file."""
+        if not self.start <= at < self.start + len(self.buf):
+            if at != self.start + len(self.buf) or not self.buf:
+                self.f.seek(at)
+            self.start, self.buf = at, self.f.read(min(CHUNK, max(0, self.size - at)))
+        return memoryview(self.buf)[at - self.start :]
+
+    def peek(self, at: int, n: int) -> bytes:
+        """``n`` bytes, or as many as there are; what is at hand stays."""
+        if self.start <= at and at + n <= self.start + len(self.buf):
+            return bytes(self.buf[at - self.start : at - self.start + n])
+        self.f.seek(at)
+        out = self.f.read(n)
+        self.f.seek(self.start + len(self.buf))
+        return bytes(out)
+
+    def next_start(self, at: int) -> int:
+        """The next place from ``at`` on where a member or a record could start; else the end."""
+        carry = b""
+        while data := self.piece(at):
+            joined = carry + bytes(data)
+            hits = [i for i in (joined.find(GZIP_START), joined.find(VERSION_START)) if i >= 0]
+            if hits:
+                return at - len(carry) + min(hits)
+            at += len(data)
+            carry = joined[-len(VERSION_START) + 1 :]
+        return self.size
+
+
+def _member(source: _Source, at: int, keep: bool) -> tuple[Record, int]:
+    """The record in the gzip member at ``at``, and the member's stored length."""
+    z, record, pos = zlib.decompressobj(31), Record(keep), at
     while not z.eof:
-        if used >= len(w.buf) and not w.need(used + 1):
+        piece = source.piece(pos)[:PIECE]
+        if not piece:
             raise Damage("the member is cut off")
-        part = w.buf[used : used + CHUNK]
-        try:
-            out.append(z.decompress(part))
-        except zlib.error as e:
-            raise Damage(str(e)) from None
-        used += len(part) - len(z.unused_data)
-        size += len(out[-1])
-        start += out[-1][: len(VERSION_START) - len(start)]  # pieces can be short or empty
-        if size > MOST_RECORD or not VERSION_START.startswith(start):
-            raise Damage("no record in the member")
-    return b"".join(out), used
-
-
-def _headers_so_far(data: bytes) -> bool:
-    """Whether every whole line after the version line has a name and a colon."""
-    return all(re.match(rb"[!#$%&'*+.^_`|~0-9A-Za-z-]+[ \t]*:", x) for x in data.split(b"\r\n")[1:-1])
-
-
-def _plain(w: _Window) -> tuple[bytes, int]:
-    n = CHUNK
-    while True:
-        w.need(n)
-        try:
-            _, _, used = parse_record(w.buf)
-            return w.buf[:used], used
-        except Damage as e:
-            # a header block may be as long as it likes while its lines look like header lines
-            more = str(e) == "short block" or (str(e) == "no end of the header block" and _headers_so_far(w.buf))
-            if not more or len(w.buf) < n or n >= MOST_RECORD:
-                raise
-            n *= 4
-
-
-def _next_start(w: _Window, by: int) -> int:
-    """Skip ``by`` bytes, then on to the next bytes that could start a member or a record."""
-    w.skip(by)
-    while w.need(1):
-        w.need(CHUNK)
-        hits = [i for i in (w.buf.find(GZIP_START), w.buf.find(VERSION_START)) if i >= 0]
-        if hits:
-            w.skip(min(hits))
-            return w.at
-        keep = len(VERSION_START) - 1
-        if w.at + len(w.buf) >= w.size:
-            w.skip(len(w.buf))
-            break
-        w.skip(max(1, len(w.buf) - keep))
-    return w.at
-
-
-def salvage(f, size: int) -> Iterator[tuple]:
-    """``("record", offset, length, headers, block)`` and ``("gap", offset, length, reason)``, in order.
-
-    Every byte of the file lies in exactly one of them.
+        pos += len(piece)
+        while piece and not z.eof:
+            try:
+                data = z.decompress(piece, PIECE)
+            except zlib.error as e:
+                raise Damage(str(e)) from None
+            if record.feed(data) != len(data):
+                raise Damage("bytes after the record")
+            piece = z.unconsumed_tail
+    if not record.done:
+        raise Damage("short block")
+    return record, pos - len(z.unused_data) - at
+
+
+def _plain(source: _Source, at: int, keep: bool) -> tuple[Record, int]:
+    """The record at ``at`` of a plain archive, and its length."""
+    record, pos, looked = Record(keep), at, False
+    while not record.done:
+        piece = source.piece(pos)[:PIECE]
+        if not piece:
+            raise Damage("short block" if record.head else "no end of the header block")
+        pos += record.feed(piece)
+        if record.head and not looked:
+            looked = True
+            end = pos + (record._left or 0)
+            if record._left and source.peek(end, len(END)) != END:
+                raise Damage("no end of the record" if end + len(END) <= source.size else "short block")
+    return record, pos - at
+
+
+def salvage(f, size: int, payloads: bool = False) -> Iterator[tuple]:
+    """``("record", offset, length, headers, record)`` and ``("gap", offset, length, reason)``, in order.
+
+    Every byte of the file (which can seek) lies in exactly one of them. ``record`` is a
+    :class:`Record`; its payload's bytes are held only if ``payloads``.
     """
-    w = _Window(f, size)
-    gap, why = None, ""
-    while w.need(1):
-        at = w.at
+    source = _Source(f, size)
+    at, gap, why = 0, None, ""
+    while at < size:
         try:
-            w.need(16)
-            if w.buf.startswith(GZIP_START):
-                data, used = _member(w)
-                head, block, n = parse_record(data)
-                if n != len(data):
-                    raise Damage("bytes after the record")
-            elif w.buf.startswith(VERSION_START):
-                data, used = _plain(w)
-                head, block, _ = parse_record(data)
-            else:
+            first = source.peek(at, len(VERSION_START))
+            if not first.startswith((GZIP_START, VERSION_START)):
                 raise Damage("neither a member nor a record")
+            record, used = (_member if first.startswith(GZIP_START) else _plain)(source, at, payloads)
         except Damage as e:
             if gap is None:
                 gap, why = at, str(e)
-            _next_start(w, 1)
+            at = source.next_start(at + 1)
             continue
         if gap is not None:
             yield "gap", gap, at - gap, why
             gap = None
-        yield "record", at, used, head, block
-        w.skip(used)
+        yield "record", at, used, record.head, record
+        at += used
     if gap is not None:
         yield "gap", gap, size - gap, why
 
@@ -214,8 +279,12 @@ def with_first(pages: DataFrame) -> DataFrame:
     at least :data:`LEAST_REVISIT` bytes. Only digests that repeat are joined back.
     """
     p = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
-    firsts = p.where(F.octet_length("html") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    return p.join(firsts, "digest", "left").withColumn("refers_to", F.expr("case when first < page_id or page_id is null then first end")).drop("first")
+    long = F.octet_length("html") >= LEAST_REVISIT
+    firsts = shared.written(p.where(long).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "first-pages")
+    total = p.agg(F.count("*")).first()[0]
+    # pages that very many repeat stay where they are, html and all
+    both = shared.looked_up(p, firsts, ["digest"], total)
+    return both.withColumn("refers_to", F.expr("case when first < page_id or page_id is null then first end")).drop("first", "n")
 
 
 def write_archives(pages: DataFrame, directory: str) -> DataFrame:
@@ -270,21 +339,20 @@ def read_archives(archives: DataFrame, payloads: bool = False, complete: bool =
                 store, name = fs.FileSystem.from_uri(path)
                 rows, held, n_read = [], 0, 0
                 with store.open_input_file(name) as f:
-                    for kind, at, length, *rest in salvage(f, f.size()):
+                    for kind, at, length, *rest in salvage(f, f.size(), payloads):
                         row = [kind, path, at, length] + [None] * (7 + payloads)
                         if kind == "gap":
                             row[4] = rest[0]
                         else:
-                            head, block = rest
+                            head, record = rest
                             n_read += 1
-                            http, _, payload = block.partition(b"\r\n\r\n")
                             revisit = head["warc-type"] == "revisit"
-                            said = re.search(rb"(?i)^content-length:\s*(\d+)", http, re.M)
+                            said = re.search(rb"(?i)^content-length:\s*(\d+)", record.http, re.M)
                             row[5:] = [
-                                head["warc-type"], _int(head.get("x-page-id")), head.get("warc-target-uri"), int(said[1]) if revisit and said else len(payload),
-                                head.get("warc-payload-digest", "").partition(":")[2] if revisit else hashlib.sha256(payload).hexdigest(), _int(head.get("x-refers-to-page-id")),
-                            ] + [payload] * payloads
-                            held += len(payload) * payloads
+                                head["warc-type"], _int(head.get("x-page-id")), head.get("warc-target-uri"), int(said[1]) if revisit and said else record.payload_bytes,
+                                head.get("warc-payload-digest", "").partition(":")[2] if revisit else record.payload_sha256, _int(head.get("x-refers-to-page-id")),
+                            ] + ([bytes(record.payload)] if payloads else [])
+                            held += record.payload_bytes * payloads
                         rows.append(row)
                         if len(rows) >= 1000 or held >= 1 << 24:
                             yield _batch(rows, kinds, names)

@@ -5,6 +5,8 @@ import hashlib
 import io
 import itertools
 import math
+import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -413,3 +415,59 @@ def test_slices_are_bounded():
     b = pa.RecordBatch.from_pydict({"t": ["x" * 1000] * 100 + ["y" * 50_000] * 3})
     parts = list(shared.slices([b, b.slice(0, 0)], 40, 20_000))
     assert sum(p.num_rows for p in parts) == 103 and all(p.num_rows == 1 or p.nbytes <= 20_000 for p in parts)
+
+
+# salvage in linear time
+
+
+class Counted(io.BytesIO):
+    """A file that counts the bytes read of it."""
+
+    taken = 0
+
+    def read(self, n=-1):
+        out = super().read(n)
+        self.taken += len(out)
+        return out
+
+
+@pytest.mark.parametrize("length", ["999999999999", "1500000", "0"])
+@pytest.mark.parametrize("zipped", [True, False])
+def test_a_damaged_length_costs_no_more_than_the_file(monkeypatch, zipped, length):
+    recs = [record(i, 1000) for i in range(3000)]
+    bad = re.sub(rb"(Content-Length: )\d+(\r\n\r\nHTTP)", rb"\g<1>" + length.encode() + rb"\2", recs[0])
+    pack = warc.gzip_member if zipped else bytes
+    data = b"".join([pack(bad), *map(pack, recs[1:])])
+    f = Counted(data)
+    tracemalloc.start()
+    got = [(g[0], g[3]["x-page-id"]) if g[0] == "record" else (g[0], g[1], g[2]) for g in warc.salvage(f, len(data))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [("gap", 0, len(pack(bad))), *[("record", str(i)) for i in range(1, 3000)]]
+    assert f.taken < 2 * len(data) + (4 << 20) and peak < 16 << 20
+
+
+def test_large_records_pass_in_pieces():
+    body = b"0123456789abcdef" * (1 << 21)  # 32 MiB, compressed to a few KiB
+    large = warc.build_record(1, "u", body, hashlib.sha256(body).hexdigest(), None)
+    data = warc.gzip_member(large) + warc.gzip_member(record(2, 50))
+    del large
+    tracemalloc.start()
+    got = [(g[3]["x-page-id"], g[4].payload_bytes, g[4].payload_sha256) for g in warc.salvage(io.BytesIO(data), len(data))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[0] == ("1", len(body), hashlib.sha256(body).hexdigest()) and got[1][0] == "2" and peak < 8 << 20
+    with pytest.raises(ValueError, match="header block"):
+        warc.build_record(1, "x" * (warc.MOST_HEADER + 1), b"", "", None)
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 7, 64])
+def test_pieces_of_any_size(monkeypatch, size):
+    """Headers, the blank line before a payload and a record's end may be cut anywhere."""
+    monkeypatch.setattr(warc, "PIECE", size)
+    body = b"\r\n\r\n<p>\r\n\r\n"
+    one = warc.build_record(1, "http://x", body, hashlib.sha256(body).hexdigest(), None)
+    for data in (one + record(2, 30), warc.gzip_member(one) + warc.gzip_member(record(2, 30))):
+        got = [g[4] for g in warc.salvage(io.BytesIO(data), len(data), payloads=True)]
+        assert [(bytes(r.payload), r.payload_bytes) for r in got][0] == (body, len(body)) and got[0].payload_sha256 == hashlib.sha256(body).hexdigest() and b"Content-Length: 11" in got[0].http
+        assert len(got) == 2
