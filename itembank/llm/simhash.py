@@ -263,7 +263,7 @@ def _linked(group):
     """Links found among one block pair's documents; pairs that are linked already aren't compared."""
     ids = group.column("node").to_pylist()
     sides = group.column("side").to_pylist()
-    sets = [set(np.frombuffer(x, "<u8").tolist()) for x in group.column("shingles").to_pylist()]
+    sets = [_set_of(x) for x in group.column("shingles").to_pylist()]
     order = sorted(range(len(ids)), key=lambda i: (sides[i], ids[i]))
     cross = len(set(sides)) > 1
     clusters: list[list[int]] = []
@@ -275,12 +275,9 @@ def _linked(group):
             for j in c:
                 if cross and sides[i] == sides[j]:
                     continue
-                a, b = sets[i], sets[j]
-                if min(len(a), len(b)) >= NEAR_SIMILARITY * max(len(a), len(b)):
-                    both = len(a & b)
-                    if both >= NEAR_SIMILARITY * (len(a) + len(b) - both) and (a or b):
-                        hit = j
-                        break
+                if _similar(sets[i], sets[j]):
+                    hit = j
+                    break
             if hit is None:
                 rest.append(c)
             else:
@@ -307,32 +304,96 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, h1 long, h2 long, shingles binary")
 
 
+def _similar(a: set, b: set) -> bool:
+    """Whether two sets of shingles have the similarity that decides; empty ones have none."""
+    if min(len(a), len(b)) < NEAR_SIMILARITY * max(len(a), len(b)):
+        return False
+    both = len(a & b)
+    return bool(a or b) and both >= NEAR_SIMILARITY * (len(a) + len(b) - both)
+
+
+def _set_of(x: bytes) -> set:
+    return set(np.frombuffer(x, "<u8").tolist())
+
+
+def _against_leads(batches):
+    """``node``, ``component``, ``close``: whether a node's shingles are similar to those of its component's lead."""
+    last, lead = None, set()
+    for b in shared.slices(batches, 200):
+        near = []
+        for c, x, y in zip(*[b.column(n).to_pylist() for n in ("component", "shingles", "lead")], strict=True):
+            if c != last:
+                last, lead = c, _set_of(y)
+            near.append(_similar(_set_of(x), lead))
+        yield pa.RecordBatch.from_arrays([b.column("node"), b.column("component"), pa.array(near, pa.bool_())], names=["node", "component", "close"])
+
+
+def _to_joined(group):
+    """Links of a block's documents that aren't joined (side 1) to one of a block's that are (side 0)."""
+    ids, sides = group.column("node").to_pylist(), group.column("side").to_pylist()
+    sets = [_set_of(x) for x in group.column("shingles").to_pylist()]
+    joined = [i for i, s in enumerate(sides) if s == 0]
+    hits = [(i, next((j for j in joined if _similar(sets[i], sets[j])), None)) for i, s in enumerate(sides) if s == 1]
+    found = [sorted((ids[i], ids[j])) for i, j in hits if j is not None]
+    return pa.table({"a": pa.array([y for _, y in found], pa.int64()), "b": pa.array([x for x, _ in found], pa.int64())})
+
+
+def _exact_links(groups: DataFrame, sets: DataFrame, block: int) -> DataFrame:
+    """Links ``a``, ``b`` that join just what exact similarity joins within groups of candidates.
+
+    ``groups``: node, component (its smallest node, the lead); ``sets``: node, shingles. Members are held
+    against their lead first, which joins nearly all copies, so a group costs about its size. Only
+    the others are held against each other and against those joined, in pairs of blocks.
+    """
+    sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
+    total = groups.count()
+    mine = shared.written(groups.where("node > component").join(sets, "node"), "members")
+    leads = shared.written(sizes.join(sets.select(F.col("node").alias("component"), F.col("shingles").alias("lead")), "component"), "leads")
+    held = shared.looked_up(mine, leads, ["component"], total, "inner").select("node", "component", "shingles", "lead")
+    held = shared.written(held.mapInArrow(_against_leads, "node long, component long, close boolean"), "held")
+    links = held.where("close").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    counts = held.groupBy("component").agg(F.count_if(~F.col("close")).alias("others"), (F.count_if("close") + 1).alias("joined"), F.count("*").alias("n")).where("others > 0")
+    counts = shared.written(counts.withColumns({"ob": F.ceil(F.col("others") / block).cast("int"), "jb": F.ceil(F.col("joined") / block).cast("int")}), "split-groups")
+    if not counts.isEmpty():
+        every = held.unionByName(counts.select(F.col("component").alias("node"), "component", F.lit(True).alias("close")))
+        every = shared.looked_up(every, counts, ["component"], total, "inner").withColumn("i", F.pmod(F.xxhash64("node"), F.when(F.col("close"), F.col("jb")).otherwise(F.col("ob"))).cast("int"))
+        among = _dealt(every.where("not close").withColumn("blocks", F.col("ob")), "node", "component")
+        many = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        a = every.where("close").select("node", "component", many(F.col("ob")).alias("p"), F.col("i").alias("q"), F.lit(0).alias("side"))
+        b = every.where("not close").select("node", "component", F.col("i").alias("p"), many(F.col("jb")).alias("q"), F.lit(1).alias("side"))
+        across = a.unionByName(b).join(sets, "node").groupBy("component", "p", "q").applyInArrow(_to_joined, "a long, b long")
+        links = links.union(among.join(sets, "node").groupBy("component", "p", "q").applyInArrow(_linked, "a long, b long")).union(across)
+    links = shared.written(links, "exact-links")
+    for t in (mine, leads, held, counts):
+        shared.dropped(t)
+    return links
+
+
 def near_duplicate_groups(docs: DataFrame, block: int = 256) -> DataFrame:
     """``doc_id``, ``component_id`` of every row of ``docs`` with an id.
 
     Documents link when their words are equal or the Jaccard similarity of their sets of
     five-word shingles is at least 0.8 (fewer words: the whole is one shingle). Candidates come
     from MinHash signatures of those sets, so that a pair's chance to be found depends on that
-    similarity only (see :data:`HASHES`); groups of candidates are compared exactly, in blocks of
-    about ``block`` documents. Distinct texts are the linked nodes, so an id that repeats with
-    several texts is decided text by text. Documents without words form one group. Null ids are
-    left out; repeated rows come out repeated.
+    similarity only (see :data:`HASHES`); groups of candidates are compared exactly, with their
+    smallest member first and then, where that isn't enough, in blocks of about ``block`` documents.
+    Distinct texts are the linked nodes, so an id that repeats with several texts is decided text
+    by text. Documents without words form one group. Null ids are left out; repeated rows come out
+    repeated.
     """
     sk = shared.written(signatures(docs.where("doc_id is not null")), "signatures")
     nodes = sk.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), *[F.max(c).alias(c) for c in ("n_words", *SIGN_COLS, *KEY_COLS)])
     reps = shared.written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # written, so the numbers are fixed
     groups = shared.connected_components(_candidate_links(reps.where("n_words > 0")))
-    sizes = groups.groupBy("component").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    member = shared.looked_up(groups, sizes, ["component"], groups.count(), "inner").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = _dealt(member, "node", "component")
     wanted = groups.select("node").join(reps.select("node", "h1", "h2", F.col("first").alias("doc_id")), "node")
     wanted = shared.written(wanted, "wanted")
-    some = docs.select("doc_id", "text").join(wanted.select("doc_id").hint("merge"), "doc_id", "left_semi")
+    some = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
     sets = shingle_sets(some).join(wanted, ["doc_id", "h1", "h2"]).select("node", "shingles").dropDuplicates(["node"])  # those of a node are equal
-    links = dealt.join(sets, "node").groupBy("component", "p", "q").applyInArrow(_linked, "a long, b long")
+    sets = shared.written(sets, "shingle-sets")
+    links = _exact_links(groups, sets, block)
     comp = shared.connected_components(links)
-    shared.dropped(wanted)
-    shared.dropped(groups)
+    for t in (wanted, groups, sets, links):
+        shared.dropped(t)
     ends = reps.select("h1", "h2", "first", "copies", "node").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ends = shared.written(ends, "ends")
     least = ends.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
@@ -352,7 +413,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     groups = near_duplicate_groups(docs)
     kept = groups.groupBy("doc_id").agg(F.count("*").alias("copies"), F.max(F.col("doc_id") == F.col("component_id")).alias("first")).where("first")
     kept = shared.written(kept.select("doc_id", "copies"), "kept")
-    out = docs.join(kept.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
+    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
     if not kept.where("copies > 1").isEmpty():
         again = kept.where("copies > 1").select("doc_id")
         least = out.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("r")).select(*[F.col(f"r.{c}").alias(c) for c in docs.columns])

@@ -471,3 +471,28 @@ def test_pieces_of_any_size(monkeypatch, size):
         got = [g[4] for g in warc.salvage(io.BytesIO(data), len(data), payloads=True)]
         assert [(bytes(r.payload), r.payload_bytes) for r in got][0] == (body, len(body)) and got[0].payload_sha256 == hashlib.sha256(body).hexdigest() and b"Content-Length: 11" in got[0].http
         assert len(got) == 2
+
+
+# groups whose members aren't all similar to the smallest one
+
+
+@pytest.mark.parametrize("block", [2, 256])
+def test_members_unlike_their_lead_are_compared(spark, block):
+    """Chains, in which each text is similar to its neighbours only, and stars around a lead."""
+    words = [f"w{i}" for i in range(700)]
+    texts = [" ".join(words[i * 15 : i * 15 + 300]) for i in range(12)]  # neighbours share 281 of 311 shingles
+    texts += [" ".join([f"s{i}" for i in range(200)] + [f"x{k}"] * (k % 2)) for k in range(30)] + ["a b c d e f"]
+    sets = [set(simhash.shingles([w.encode() for w in t.split()], 5)) for t in texts]
+    rows = list(enumerate(texts))
+    nodes = spark.createDataFrame([(i, 0 if i < 12 else 12) for i in range(42)], "node long, component long")
+    shingle = [(i, np.unique(simhash.shingle_hashes([w.encode() for w in t.split()], 5)).tobytes()) for i, t in rows]
+    links = simhash._exact_links(nodes, spark.createDataFrame(shingle, "node long, shingles binary"), block)
+    got = {r["node"]: r["component"] for r in shared.connected_components(links).collect()}
+    root = list(range(42))
+    for i in range(42):
+        for j in range(i):
+            if (i < 12) == (j < 12) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    assert len(sets[0] & sets[5]) < 0.8 * len(sets[0] | sets[5])
+    assert [got.get(i, i) for i in range(42)] == root
