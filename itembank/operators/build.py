@@ -9,6 +9,7 @@ deactivated last, whether or not the first of its kind is active.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,7 @@ REASONS = {
     "valid": "Respuesta oficial enlazada y clasificación compatible con el programa vigente", "duplicate": "Duplicada literalmente; se conserva la primera aparición",
 }
 DECIDED, OVERRIDDEN, BY_RULES, FALLEN_BACK = "revision_manual_2026_09_26", "curacion_manual_verificada", "taxonomia_reglas_2025", "fallback_sin_indicio"
+METHODS = {"decided": DECIDED, "overridden": OVERRIDDEN, "rules": BY_RULES, "fallback": FALLEN_BACK}
 TRANSCRIPT = "03 Preguntas y respuestas en texto.txt"
 
 
@@ -64,11 +66,10 @@ def contract_issues() -> Column:
     return F.array_join(found, "; ")
 
 
-def _sections(specs) -> DataFrame:
-    """Attributes of a section as one struct, chosen by its name; a plan's sections are few."""
-    kind = "struct<exercise:string,reserve:boolean,blocks:array<string>>"
-    one = lambda s: F.struct(F.lit(s[2]).alias("exercise"), F.lit(s[3]).alias("reserve"), F.array(*map(F.lit, s[5])).alias("blocks")).cast(kind)
-    return F.coalesce(*[F.when(F.col("section") == s[0], one(s)) for s in specs])
+def _of_section(specs, i: int) -> Column:
+    """A section's attribute, by its name; a plan's sections are few."""
+    lit = lambda v: F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v)
+    return F.coalesce(*[F.when(F.col("section") == s[0], lit(s[i])) for s in specs])
 
 
 def build(texts: DataFrame, exams: DataFrame, lexicon: list[tuple[str, list[str]]], outdated: list[tuple[str, str]], decisions: DataFrame | None = None, overrides: DataFrame | None = None, specs=E.SECTIONS) -> Build:
@@ -79,28 +80,32 @@ def build(texts: DataFrame, exams: DataFrame, lexicon: list[tuple[str, list[str]
     transcripts do; equal item ids stay apart by their place. Coverage has a row for every exam with
     a transcript; its ``excluded`` counts the exam's excluded rows.
     """
-    one = E.parse_txt(texts.join(exams.select("exam_id"), "exam_id", "left_semi")).join(exams, "exam_id")
-    one = one.withColumn("spec", _sections(specs)).withColumn("item_id", F.concat_ws(":", F.col("exam_id").cast("string"), "section", "number"))
-    ranked = C.classified(one, lexicon, F.col("spec.blocks"))
-    for name, t in (("override", overrides), ("decision", decisions)):
-        cols = ["item_id", F.col("topic").alias(f"{name}_topic")] + ([F.col("reason").alias("decision_reason")] if name == "decision" else [])
-        none = {f"{name}_topic": F.lit(None).cast("string")} | ({"decision_reason": F.lit(None).cast("string")} if name == "decision" else {})
-        ranked = ranked.join(t.select(*cols), "item_id", "left") if t is not None else ranked.withColumns(none)
-    chosen = F.col("decision_topic").isNotNull() | F.col("override_topic").isNotNull()
+    one = E.parse_txt(texts).join(exams, "exam_id")
+    one = one.withColumn("item_id", F.concat_ws(":", F.col("exam_id").cast("string"), "section", "number"))
+    ranked = C.classified(one, lexicon, _of_section(specs, 5))
+    # both kinds of decisions in one join; a decision comes before an override
+    kinds = [t.select("item_id", F.lit(i).alias("kind"), "topic", F.col("reason") if i == 0 else F.lit(None).cast("string").alias("reason")) for i, t in enumerate((decisions, overrides)) if t is not None]
+    chosen = F.lit(None).cast("struct<kind:int,topic:string,reason:string>")
+    if kinds:
+        first = reduce(DataFrame.unionByName, kinds).groupBy("item_id").agg(F.min(F.struct("kind", "topic", "reason")).alias("chosen"))
+        ranked, chosen = ranked.join(first, "item_id", "left"), F.col("chosen")
     text = F.concat_ws(" ", "prompt", F.array_join("options", " "))
     ranked = ranked.withColumns({
-        "topic": F.coalesce("decision_topic", "override_topic", "topic"), "units": F.when(chosen, 20000).otherwise(F.col("units")), "old": C.outdated_reason(T.fold(text), outdated),
-        "method": F.when(F.col("decision_topic").isNotNull(), DECIDED).when(chosen, OVERRIDDEN).otherwise(F.when(F.col("method") == "rules", BY_RULES).otherwise(FALLEN_BACK)),
-        "issues": F.when(F.col("spec").isNull(), OUTSIDE).otherwise(contract_issues()), "sig": F.md5(T.signature(F.col("prompt"), "txt")),
+        "topic": F.coalesce(chosen["topic"], "topic"), "units": F.when(chosen.isNotNull(), 20000).otherwise(F.col("units")), "old": C.outdated_reason(T.fold(text), outdated), "decision": chosen["reason"],
+        "method": F.when(chosen["kind"] == 0, "decided").when(chosen["kind"] == 1, "overridden").otherwise(F.col("method")),
+        "issues": F.when(F.col("section").isNull(), OUTSIDE).otherwise(contract_issues()), "sig": F.md5(T.signature(F.col("prompt"), "txt")),
     })
     status = C.status("txt", F.col("answer"), F.lit(None), F.col("old"), F.col("units"))
     ranked = ranked.withColumn("status", status).withColumn("active", (F.col("status") == "valid") & (F.col("issues") == ""))
-    reason = F.coalesce(*[F.when(F.col("status") == s, F.coalesce("decision_reason", F.lit(r)) if s == "valid" else F.lit(r)) for s, r in REASONS.items()], "old")
-    cols = ["exam_id", "ord", "position", "item_id", "year", "answer_status", F.col("spec.exercise").alias("exercise"), "section", F.col("spec.reserve").alias("is_reserve"), "number", "prompt", "options", "answer", "topic", "units", "method", "status", reason.alias("reason"), F.col("decision_reason").alias("decision"), "active", "issues", "sig"]
+    # what follows from these columns is added on the way out, so that it isn't stored and moved
+    cols = ["exam_id", "ord", "position", "item_id", "year", "answer_status", "section", "number", "prompt", "options", "answer", "topic", "units", "method", "status", "old", "decision", "active", "issues", "sig"]
     staged, counters = stage.written(
         ranked.select(*cols), "bank-stage", parsed=F.count("*"), outside=F.count_if(F.col("section").isNull()), broken=F.count_if(F.col("section").isNotNull() & (F.col("issues") != "")), active_before_duplicates=F.count_if("active"))
-    good = staged.where("issues = ''").drop("issues")
-    return Build(deduplicated(good), coverage(staged, texts, exams, specs), excluded(staged), counters)
+    good = deduplicated(staged.where("issues = ''").drop("issues"))
+    reason = F.coalesce(*[F.when(F.col("status") == s, F.coalesce("decision", F.lit(r)) if s == "valid" else F.lit(r)) for s, r in REASONS.items()], "old")
+    method = F.coalesce(*[F.when(F.col("method") == m, text) for m, text in METHODS.items()])
+    questions = good.withColumns({"reason": reason, "method": method, "exercise": _of_section(specs, 2), "is_reserve": _of_section(specs, 3), "block": T.block_of(F.col("topic"))}).drop("old")
+    return Build(questions, coverage(staged, texts, exams, specs), excluded(staged), counters)
 
 
 def deduplicated(questions: DataFrame) -> DataFrame:
@@ -112,7 +117,7 @@ def deduplicated(questions: DataFrame) -> DataFrame:
     first = questions.groupBy("sig").agg(F.min(place).alias("f"), F.count("*").alias("n")).where("n > 1").select("sig", "f")
     q = questions.join(first, "sig", "left").withColumn("duplicate_of", F.when(F.col("f") < place, F.col("f.item_id"))).drop("f", "sig")
     gone = F.col("active") & F.col("duplicate_of").isNotNull()
-    return q.withColumns({"status": F.when(gone, "duplicate").otherwise(F.col("status")), "reason": F.when(gone, REASONS["duplicate"]).otherwise(F.col("reason")), "active": F.col("active") & F.col("duplicate_of").isNull(), "block": T.block_of(F.col("topic"))})
+    return q.withColumns({"status": F.when(gone, "duplicate").otherwise(F.col("status")), "active": F.col("active") & F.col("duplicate_of").isNull()})
 
 
 def coverage(staged: DataFrame, texts: DataFrame, exams: DataFrame, specs=E.SECTIONS) -> DataFrame:
