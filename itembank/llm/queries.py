@@ -36,7 +36,7 @@ URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block",
 
 
 def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlrules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
+    return urlrules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES, lift=urlrules.LIFT, deviations=urlrules.DEVIATIONS)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,10 @@ from . import shared
 #: Mining: least share of labelled pages, least confidence, most tokens a rule asks for. Support
 #: bounds the rules: no more than so many itemsets can be frequent, whatever the input's size.
 MIN_SUPPORT, MIN_CONFIDENCE, MAX_TOKENS = 0.002, 0.6, 3
+#: What a rule has to add to its label's share of all labelled pages: so many times that share (or half
+#: of what is left to certainty, where that is less), and so many standard deviations above it. Of the
+#: hundreds of combinations tried, some are over three by chance alone.
+LIFT, DEVIATIONS = 1.25, 4.0
 BLOCK, ALLOW = "label=block", "label=allow"
 #: So many mined rules at most are matched from an index that every worker holds; more are joined.
 MOST_RULES = 100_000
@@ -57,12 +61,20 @@ def tokens_of(host: Column, path: Column) -> Column:
     return F.array_distinct(F.array_compact(F.concat(words, more)))
 
 
-def mine(labelled: DataFrame, support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE, most: int = MAX_TOKENS) -> DataFrame:
+def tells(freq: Column, whole: Column, share: Column, lift: float, deviations: float) -> Column:
+    """Whether ``freq`` of ``whole`` pages with a label is more than its ``share`` of all pages explains."""
+    least = F.least(share * lift, (1 + share) / 2)
+    chance = whole * share * (1 - share)
+    return (freq >= least * whole) & (freq - whole * share >= deviations * F.sqrt(chance))
+
+
+def mine(labelled: DataFrame, support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE, most: int = MAX_TOKENS, lift: float = 0.0, deviations: float = 0.0) -> DataFrame:
     """``rule_tokens``, ``verdict``, ``confidence``, ``support``, ``key`` (the rarest token).
 
     ``labelled`` has ``tokens`` and ``label`` (:data:`BLOCK` or :data:`ALLOW`). FP-growth runs in
-    Spark over all of it; a rule that a shorter one with the same label and at least its
-    confidence covers is dropped. No labelled rows give no rules; repeated ones count each time,
+    Spark over all of it; a rule has to have ``confidence`` and, by ``lift`` and ``deviations``, to be
+    more than its label's share explains (:func:`tells`; zero asks for nothing). One that a shorter
+    one with the same label and at least its confidence covers is dropped. No labelled rows give no rules; repeated ones count each time,
     null tokens or labels have to be left out before.
     """
     spark = labelled.sparkSession
@@ -70,11 +82,16 @@ def mine(labelled: DataFrame, support: float = MIN_SUPPORT, confidence: float =
     if labelled.isEmpty():
         return spark.createDataFrame([], empty)
     sets = FPGrowth(itemsCol="items", minSupport=support, minConfidence=1.0).fit(labelled.select(F.concat("tokens", F.array("label")).alias("items"))).freqItemsets
-    n = labelled.count()
+    of_label = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
+    n = sum(of_label.values())
     sets = sets.where(F.size("items") <= most + 1).select("freq", "items", F.filter("items", lambda x: x.startswith("label=")).alias("label"), F.sort_array(F.filter("items", lambda x: ~x.startswith("label="))).alias("rule_tokens"))
     sets = shared.written(sets, "itemsets")
     alone = sets.where((F.size("label") == 0)).select("rule_tokens", F.col("freq").alias("all"))
-    rules = sets.where((F.size("label") == 1) & (F.size("rule_tokens") > 0)).join(alone, "rule_tokens").select("rule_tokens", F.regexp_replace(F.col("label")[0], "label=", "").alias("verdict"), (F.col("freq") / F.col("all")).alias("confidence"), (F.col("freq") / n).alias("support")).where(F.col("confidence") >= confidence)
+    telling = sets.where((F.size("label") == 1) & (F.size("rule_tokens") > 0)).join(alone, "rule_tokens")
+    if lift or deviations:
+        share = F.coalesce(*[F.when(F.col("label")[0] == k, v / n) for k, v in of_label.items()])
+        telling = telling.where(tells(F.col("freq"), F.col("all"), share, lift, deviations))
+    rules = telling.select("rule_tokens", F.regexp_replace(F.col("label")[0], "label=", "").alias("verdict"), (F.col("freq") / F.col("all")).alias("confidence"), (F.col("freq") / n).alias("support")).where(F.col("confidence") >= confidence)
     single = alone.where(F.size("rule_tokens") == 1).select(F.col("rule_tokens")[0].alias("token"), "all")
     subs = rules.select("rule_tokens", "verdict", "confidence", F.explode("rule_tokens").alias("token"))
     shorter = rules.where(F.size("rule_tokens") < most).select(F.col("rule_tokens").alias("s"), F.col("verdict").alias("sv"), F.col("confidence").alias("sc"), F.col("rule_tokens")[0].alias("token"))
@@ -83,7 +100,7 @@ def mine(labelled: DataFrame, support: float = MIN_SUPPORT, confidence: float =
     return rules.join(covered, ["rule_tokens", "verdict"], "left_anti").join(keys, ["rule_tokens", "verdict"])
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]], support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]], support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE, lift: float = 0.0, deviations: float = 0.0) -> DataFrame:
     """``page_id``, ``host``, ``path``, ``rule``, ``verdict``, ``confidence`` for every page.
 
     A written rule decides where one fits. Else the mined rule with the highest confidence, then
@@ -95,7 +112,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
     p = pages.select(F.col("page_id").cast("long"), host_of(F.col("url").cast("string")).alias("host"), path_of(F.col("url").cast("string")).alias("path"))
     lab = labels.select(F.col("doc_id").cast("long").alias("page_id"), F.when((F.col("toxic") == 1) | (F.col("quality") == 0), F.lit(BLOCK)).when(F.col("toxic").isNotNull() | F.col("quality").isNotNull(), F.lit(ALLOW)).alias("label")).where("page_id is not null and label is not null")
     labelled = shared.written(p.join(lab, "page_id").select(tokens_of(F.col("host"), F.col("path")).alias("tokens"), "label"), "labelled")
-    mined = mine(labelled, support, confidence)
+    mined = mine(labelled, support, confidence, lift=lift, deviations=deviations)
     most = labelled.groupBy("label").count().orderBy(F.desc("count"), "label").first()
     default = most["label"].removeprefix("label=") if most else "allow"
     t = p.withColumn("w", written_rule(F.col("host"), F.col("path"), rules))

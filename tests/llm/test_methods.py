@@ -496,3 +496,33 @@ def test_members_unlike_their_lead_are_compared(spark, block):
                 root = [min(a, b) if r in (a, b) else r for r in root]
     assert len(sets[0] & sets[5]) < 0.8 * len(sets[0] | sets[5])
     assert [got.get(i, i) for i in range(42)] == root
+
+
+# rules that decide
+
+
+def addresses(rng, n, first=0):
+    """Pages of which those on a spam host, or in a folder of a shop, are bad nine times in ten, others one in five."""
+    rows, labels = [], []
+    for i in range(first, first + n):
+        host, folder = f"h{rng.integers(0, 12)}.example.net", f"f{rng.integers(0, 12)}"
+        spam = host.startswith("h3.") or (host.startswith("h5.") and folder == "f7")
+        rows.append((i, f"http://{host}/{folder}/p{i}.html"))
+        labels.append((i, int(rng.random() < (0.9 if spam else 0.2)), spam))
+    return rows, labels
+
+
+def test_only_rules_that_tell_something_decide(spark):
+    rng = np.random.default_rng(11)
+    rows, labels = addresses(rng, 6000)
+    held, truth = addresses(rng, 3000, 6000)
+    pages = spark.createDataFrame(rows + held, "page_id long, url string")
+    lab = spark.createDataFrame([(i, 1, bad) for i, bad, _ in labels], "doc_id long, quality int, toxic int")
+    got = {r["page_id"]: r for r in urlrules.judge(pages, lab, [], lift=urlrules.LIFT, deviations=urlrules.DEVIATIONS).collect()}
+    blocked = {i for i, _, _ in truth if got[i]["verdict"] == "block"}
+    spam = {i for i, _, s in truth if s}
+    assert len(blocked & spam) >= 0.95 * len(spam) and len(blocked & spam) >= 0.95 * len(blocked)
+    # what chance alone makes is no rule: without a signal every page gets the default
+    noise = spark.createDataFrame([(i, 1, int(rng.random() < 0.3)) for i, _, _ in labels], "doc_id long, quality int, toxic int")
+    assert {r["verdict"] for r in urlrules.judge(pages, noise, [], lift=urlrules.LIFT, deviations=urlrules.DEVIATIONS).collect()} == {"allow"}
+    assert urlrules.judge(pages, noise, []).where("mined_rule is not null").count() > 1000
