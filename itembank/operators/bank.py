@@ -67,6 +67,20 @@ def supplement_issues(items: DataFrame, extra: DataFrame, key: str, answer: str)
     return extra.where(F.col(key).isNotNull()).select(key, answer).join(have, key, "left").select(key, issue.alias("issue")).where("issue is not null")
 
 
+def with_answers(questions: DataFrame, keys: DataFrame) -> DataFrame:
+    """``questions`` with ``answer`` from a key (exam, section, number, answer), lower case; null where it has none.
+
+    A key that names a place several times gives its smallest answer, so no question is multiplied.
+    """
+    one = keys.groupBy("exam", "section", "number").agg(F.min(T.normal_answer(F.col("answer"))).alias("answer"))
+    return questions.drop("answer").join(one, ["exam", "section", "number"], "left")
+
+
+def exam_cards(items: DataFrame) -> DataFrame:
+    """By exam: all questions, active ones, and years from the first to the last."""
+    return items.groupBy("exam").agg(F.count("*").alias("questions"), F.count_if("active").alias("active"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))
+
+
 def split_key(stream: DataFrame, sections: DataFrame) -> DataFrame:
     """A flat, ordered key (``pos`` from 1, ``answer``) dealt to sections by their lengths, in order.
 

@@ -22,6 +22,11 @@ def topics_of(program: DataFrame) -> DataFrame:
     return program.select("block", F.explode("topics").alias("t")).select(F.col("t.id").alias("topic"), F.col("t.name").alias("name"), "block")
 
 
+def trimmed(x: Column) -> Column:
+    """As a client trims: all white space, no-break ones too, at both ends."""
+    return F.regexp_replace(x, r"^[\s\u00a0]+|[\s\u00a0]+$", "")
+
+
 def issues(sources: DataFrame, topics: DataFrame, profile: str = "client", by: str = "source_no") -> DataFrame:
     """``by``, ``question_no`` (from 0; -1: the source itself), ``issue``: the first one of each.
 
@@ -30,7 +35,7 @@ def issues(sources: DataFrame, topics: DataFrame, profile: str = "client", by: s
     """
     if profile not in ("client", "server"):
         raise ValueError(profile)
-    bare = F.trim if profile == "server" else lambda x: F.regexp_replace(x, r"^[\s\u00a0]+|[\s\u00a0]+$", "")
+    bare = F.trim if profile == "server" else trimmed
     size = lambda x: F.length(bare(x)) if profile == "server" else F.when(bare(x) == "", 0).otherwise(F.length(x))
     outside = lambda x, n: ~F.coalesce(size(x).between(1, n), F.lit(False))
     s, n = F.col("s"), F.size(F.coalesce(F.col("s.questions"), F.array().cast(f"array<{QUESTION}>")))
@@ -52,13 +57,13 @@ def issues(sources: DataFrame, topics: DataFrame, profile: str = "client", by: s
 
 
 def canonical(saved: DataFrame, topics: DataFrame) -> DataFrame:
-    """Questions of saved sources (``s``, ``uploaded_at``) as items of the bank, in the sources' order."""
+    """Questions of saved sources (``s``, ``uploaded_at``) as items of the bank, in the sources' order, trimmed as the client does."""
     block = F.broadcast(topics.select(F.col("topic").alias("_t"), "block").dropDuplicates(["_t"]))
     q = saved.select("s", F.year("uploaded_at").alias("year"), F.posexplode("s.questions").alias("p", "q")).join(block, F.col("q.topicId") == F.col("_t"), "left")
     exam = F.concat(F.lit("uploaded:"), F.col("s.sourceId"))
     return q.select(
         F.concat(exam, F.lit(":"), F.col("q.id")).alias("item_id"), exam.alias("exam"), "year", F.lit("libre").alias("access"), F.lit("uploaded").alias("section"), F.lit(False).alias("reserve"), (F.col("p") + 1).cast("long").alias("number"),
-        F.trim("q.prompt").alias("prompt"), F.transform("q.options", lambda o: F.trim(o)).alias("options"), F.col("q.correctAnswer").alias("answer"), F.coalesce("block", F.lit("")).alias("block"), F.col("q.topicId").alias("topic"),
+        trimmed(F.col("q.prompt")).alias("prompt"), F.transform("q.options", trimmed).alias("options"), F.col("q.correctAnswer").alias("answer"), F.coalesce("block", F.lit("")).alias("block"), F.col("q.topicId").alias("topic"),
         F.lit("valid").alias("status"), F.lit(True).alias("active"), F.lit("uploaded").alias("origin"), F.col("s.title").alias("source"))
 
 
@@ -73,6 +78,18 @@ def united(bank: DataFrame, uploads: DataFrame) -> DataFrame:
     return bank.unionByName(uploads, allowMissingColumns=True)
 
 
+#: Questions that are shown of a file before it is saved.
+SHOWN = 3
+
+
+def preview(sources: DataFrame, bad: DataFrame, saved: DataFrame, by: str = "source_no") -> DataFrame:
+    """``by``, ``title``, ``questions``, ``first`` (prompts of the first three), ``replaces`` of every source without
+    an issue; ``bad`` are those of :func:`issues`, ``saved`` has the ``sourceId`` of what is stored."""
+    stored = saved.select(F.col("sourceId").alias("_id"), F.lit(True).alias("_there")).distinct()
+    ok = sources.join(bad.select(by).distinct(), by, "left_anti").join(stored, F.col("s.sourceId") == F.col("_id"), "left")
+    return ok.select(by, trimmed(F.col("s.title")).alias("title"), F.size("s.questions").cast("long").alias("questions"), F.transform(F.slice("s.questions", 1, SHOWN), lambda q: trimmed(q["prompt"])).alias("first"), F.coalesce("_there", F.lit(False)).alias("replaces"))
+
+
 def totals(saved: DataFrame) -> DataFrame:
     return saved.agg(F.count("*").alias("sources"), F.coalesce(F.sum(F.size("s.questions")), F.lit(0)).cast("long").alias("questions"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from itembank.functions import stage
 from itembank.functions import text as T
 from itembank.operators import audit as A
+from itembank.operators import bank as B
 from itembank.operators import build as M
 from itembank.operators import classify as C
 from itembank.operators import exam as E
@@ -22,8 +23,10 @@ from itembank.operators import practice as P
 from itembank.operators import readings as RD
 from itembank.operators import report as R
 from itembank.operators import store as W
-from itembank.plans.practice import SQL_QUESTIONS, scripts
-from itembank.plans.queries import LEXICON, items, numbers, query, sql_fold, sql_sig, table
+from itembank.operators import uploads as U
+from itembank.plans.practice import SQL_QUESTIONS, SQL_SOURCES, scripts, sources, sql_upload_issues, up_topics
+from itembank.plans.queries import ACT, LEXICON, activity, items, numbers, query, sql_fold, sql_sig, sql_status, statuses, table
+from itembank.sources import files
 
 OUTDATED = [("thether", "repealed"), ("ciónes", "withdrawn")]
 SOURCE = "`EXAMENES REALES/`"
@@ -358,3 +361,47 @@ def stored_bank(spark, d):
 def row_scope_users(spark, d):
     mine = [P.own_rows(spark, f"{d}/events.parquet", u).select("user_id", "event_id", "value") for u in (7, 11, 13)]
     return mine[0].union(mine[1]).union(mine[2])
+
+
+# Keys, cards, previews, snapshots
+
+SQL_KEY = "k as (select source as exam, case when doc_id % 2 = 0 then 'first' else 'case_iii' end as section, doc_id % 40 as number, min(case when toxic = 1 then 'anulada' when quality = 0 then 'a' else 'b' end) as answer from documents join labels using (doc_id) group by 1, 2, 3)"
+
+
+@query("with " + SQL_KEY + " select d.doc_id as item_id, k.answer from documents d left join k on k.exam = d.source and k.section = case when d.doc_id % 3 = 0 then 'case_iii' else 'first' end and k.number = d.n_chars % 40")
+def key_by_place(spark, d):
+    docs = table(spark, d, "documents")
+    keys = docs.join(table(spark, d, "labels"), "doc_id").select(F.col("source").alias("exam"), F.when(F.col("doc_id") % 2 == 0, "first").otherwise("case_iii").alias("section"), (F.col("doc_id") % 40).alias("number"), F.when(F.col("toxic") == 1, " ANULADA ").when(F.col("quality") == 0, "A").otherwise("B").alias("answer"))
+    q = docs.select(F.col("doc_id").alias("item_id"), F.col("source").alias("exam"), F.when(F.col("doc_id") % 3 == 0, "case_iii").otherwise("first").alias("section"), (F.col("n_chars") % 40).alias("number"))
+    return B.with_answers(q, keys).select("item_id", "answer")
+
+
+@query(sql_status("txt") + "select exam, count(*) as questions, count(*) filter (status = 'valid') as active, min(2000 + n_chars % 26)::int as first_year, max(2000 + n_chars % 26)::int as last_year from st group by 1")
+def exam_cards(spark, d):
+    return B.exam_cards(statuses(spark, d, "txt").withColumn("year", (2000 + F.col("n_chars") % 26).cast("int")))
+
+
+SQL_CLIENT_ISSUES = sql_upload_issues("regexp_replace({x}, '^[\\s ]+|[\\s ]+$', '', 'g')", "(case when {b} = '' then 0 else length({x}) end)")
+
+
+@query("with " + SQL_SOURCES + f""", bad as (select source_no from ({SQL_CLIENT_ISSUES})), ok as (select source_no, qs from us where source_no not in (from bad))
+  select source_no, 'A title' as title, len(qs)::bigint as questions, array_to_string(list_transform(qs[1:3], lambda q: md5(trim(q.prompt, ' ' || chr(9) || chr(10)))), ' ') as first, source_no % 3 = 0 as replaces from ok""")
+def upload_preview(spark, d):
+    s, t = sources(spark, d), up_topics(spark)
+    saved = s.where("source_no % 3 = 0").select("s.sourceId")
+    shown = U.preview(s, U.issues(s, t), saved)
+    return shown.withColumn("first", F.array_join(F.transform("first", F.md5), " "))
+
+
+@query(ACT + "select user_id, question::varchar as item_id, seen, correct, wrong, favorite from prog where user_id is not null")
+def snapshot_round_trip(spark, d):
+    p = B.fold_progress(activity(spark, d)).where("user_id is not null").withColumnRenamed("question", "item_id")
+    a = table(spark, d, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("attempt_id"), F.col("o_orderdate").cast("timestamp").alias("finished"))
+    return files.import_progress(files.export_progress(a, p, "2026-01-31T00:00:00Z"))[1]
+
+
+@query("select o_custkey as user_id, o_orderkey::varchar as attempt_id, o_orderdate::timestamp as finished from orders")
+def snapshot_attempts(spark, d):
+    p = B.fold_progress(activity(spark, d)).where("user_id is not null").withColumnRenamed("question", "item_id")
+    a = table(spark, d, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("attempt_id"), F.col("o_orderdate").cast("timestamp").alias("finished"))
+    return files.import_progress(files.export_progress(a, p, "2026-01-31T00:00:00Z"))[0]

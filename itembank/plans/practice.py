@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from itembank.functions import stage
+from itembank.functions import text as T
 from itembank.operators import audit as A
 from itembank.operators import exam as E
 from itembank.operators import layout as L
 from itembank.operators import practice as P
+from itembank.operators import store as W
 from itembank.operators import uploads as U
 from itembank.plans.queries import ACT, KEYED, LEXICON, SECTIONS, activity, items, keyed, query, sql_fold, sql_status, statuses, table
 from itembank.operators import bank as B
@@ -333,8 +337,9 @@ def validator(spark, d):
 
 @query("with " + SQL_QUESTIONS + f", {SQL_SPECS}, g as (select e.exam_id, sum(expected) as expected, (select count(*) from q where q.exam_id = e.exam_id and section is not null) as extracted from (select distinct exam_id from q) e cross join specs group by 1) select unnest(['sum', 'gaps', 'stored']) as rule, unnest([((select sum(extracted) from g) <> (select count(*) from q))::bigint, (select count(*) from g), 0]) as n")
 def coverage_rules(spark, d):
-    q = questions(spark, d)
-    return A.coverage_rules(E.coverage(q), q, q)
+    receipt = W.put(questions(spark, d), stage.new_dir(spark, "questions"))
+    stored, _ = W.read_back(spark, receipt, questions(spark, d).schema)
+    return A.coverage_rules(E.coverage(stored), spark.range(receipt.rows), stored)
 
 
 @query("select unnest(['count', 'pending', 'call', 'version', 'topics', 'blocks']) as rule, unnest([((select count(*) from documents) <> 49)::bigint, (select count(*) from documents where doc_id % 17 = 0), 0, 1, ((select count(*) from nation) <> 33)::bigint, 0]) as n")
@@ -347,8 +352,6 @@ def head_rules(spark, d):
 
 @query(SQL_FULL + f", {SQL_TOPICS}, r as (select 1 as part, '' as name, 0 as no, printf('Questions: %d, active: %d', count(*), count(*) filter (active)) as line from fi union all select 2, status, 0, printf('- %s: %d', status, count(*)) from fi group by status union all select 3, '', topic_ord, printf('- %s: %d', tp.topic, count(fi.item_id)) from tp left join fi on fi.topic = tp.topic and active group by topic_ord, tp.topic) select row_number() over (order by part, name, no) as line_no, line from r")
 def report(spark, d):
-    from pyspark.sql import Window
-
     return A.report(full_items(spark, d), topic_table(spark)).select(F.row_number().over(Window.orderBy("ord")).cast("long").alias("line_no"), "line")  # a report's lines are few
 
 
@@ -456,6 +459,4 @@ def snapshot_guard(spark, d):
 
 @query("select o_orderkey, strftime(o_orderdate, '%-d/%-m/%Y') as day, split_part(o_orderpriority, '-', 1) as block from orders")
 def dates_es(spark, d):
-    from itembank.functions import text as T
-
     return table(spark, d, "orders").select("o_orderkey", T.date_es(F.col("o_orderdate")).alias("day"), F.split_part("o_orderpriority", F.lit("-"), F.lit(1)).alias("block"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from itembank.functions import text as T
+from itembank.operators import uploads as U
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -49,10 +50,26 @@ def write_table(df: DataFrame, path: str) -> None:
     df.select(*cols).write.mode("overwrite").parquet(path)
 
 
-def export_progress(progress: DataFrame) -> DataFrame:
-    """One JSON document for each user, version 1."""
-    rows = F.sort_array(F.collect_list(F.struct("question", "seen", "correct", "wrong")))
-    return progress.groupBy("user_id").agg(rows.alias("progress")).select("user_id", F.to_json(F.struct(F.lit(1).alias("version"), "progress")).alias("json"))
+#: A progress snapshot, version 1, as it is exported and imported.
+SNAPSHOT = "struct<schemaVersion:int,exportedAt:string,attempts:array<struct<id:string,finishedAt:string>>,progress:array<struct<questionId:string,seen:long,correct:long,wrong:long,favorite:boolean>>>"
+
+
+def export_progress(attempts: DataFrame, progress: DataFrame, exported_at: str) -> DataFrame:
+    """``user_id``, ``json``: one document of version 1 for each user with attempts (attempt_id, finished) or
+    progress (item_id, seen, correct, wrong, favorite), both in order of their ids. An account's history
+    is one document, as what reads it expects."""
+    a = attempts.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct(F.col("attempt_id").cast("string").alias("id"), F.col("finished").cast("string").alias("finishedAt")))).alias("attempts"))
+    p = progress.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct(F.col("item_id").cast("string").alias("questionId"), "seen", "correct", "wrong", "favorite"))).alias("progress"))
+    none = [F.coalesce(c, F.array()).alias(c) for c in ("attempts", "progress")]
+    return a.join(p, "user_id", "full_outer").select("user_id", F.to_json(F.struct(F.lit(1).alias("schemaVersion"), F.lit(exported_at).alias("exportedAt"), *none)).alias("json"))
+
+
+def import_progress(snapshots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Attempts and progress of snapshots (user_id, json); one of another version, or whose lists are none, gives nothing."""
+    ok = snapshots.where(U.snapshot_ok(F.col("json"))).select("user_id", F.from_json("json", SNAPSHOT).alias("s"))
+    a = ok.select("user_id", F.inline("s.attempts")).select("user_id", F.col("id").alias("attempt_id"), F.col("finishedAt").cast("timestamp").alias("finished"))
+    p = ok.select("user_id", F.inline("s.progress")).withColumnRenamed("questionId", "item_id")
+    return a, p
 
 
 def legacy_snapshot(attempts: DataFrame, progress: DataFrame, now) -> DataFrame:
