@@ -59,10 +59,11 @@ def repeated_words(df: DataFrame) -> DataFrame:
     place; only those are sorted by their words, so the count is exact.
     """
     bits = 31
-    at = lambda x: F.shiftright(x, bits)
     hashed = F.transform(F.slice("w", F.lit(1), F.greatest(F.size("w") - 2, F.lit(0))), lambda a, i: F.xxhash64(a, F.get("w", i + 1), F.get("w", i + 2)).bitwiseAND(F.lit(-1 << bits)).bitwiseOR(i.cast("long")))
     df = df.withColumn("packed", F.sort_array(hashed))
-    alike = F.filter("packed", lambda x, i: (at(x) == at(F.get("packed", i - 1))) | (at(x) == at(F.get("packed", i + 1))))
+    # neighbours whose hashes are alike, as pairs; few texts have many
+    twins = F.zip_with("packed", F.slice("packed", F.lit(2), F.size("packed")), lambda x, y: F.when(F.shiftrightunsigned(x.bitwiseXOR(y), bits) == 0, F.array(x, y)))
+    alike = F.array_distinct(F.flatten(F.array_compact(twins)))
     place = F.transform(alike, lambda x: x.bitwiseAND(F.lit((1 << bits) - 1)).cast("int"))
     df = df.withColumn("windows", F.sort_array(F.transform(place, lambda i: F.struct(F.get("w", i).alias("a"), F.get("w", i + 1).alias("b"), F.get("w", i + 2).alias("c"), i.alias("i")))))
 
@@ -89,12 +90,13 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def common_words(docs: DataFrame, most: int = COMMON) -> DataFrame:
-    """``lang`` and ``common``: the words that most of its documents have; equals by their bytes."""
+    """``lang``, ``common``: the words that most of its documents have (equals by their bytes), and ``longest``,
+    the bytes of the longest of them."""
     each = docs.select(F.col("lang").cast("string").alias("lang"), F.explode(F.array_distinct(words(spent(F.col("text"))))).alias("word")).where("lang is not null")
     counts = each.groupBy("lang", "word").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     top = counts.withColumn("k", rank).where(F.col("k") <= most)
-    return top.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "word"))), lambda x: x["word"]).alias("common"))
+    return top.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "word"))), lambda x: x["word"]).alias("common"), F.max(F.octet_length("word")).alias("longest"))
 
 
 def shares(counts: Column, total: Column) -> Column:
@@ -138,7 +140,10 @@ def judged(docs: DataFrame, common: int = COMMON, least_documents: int = LEAST_D
     spark = docs.sparkSession
     known = shared.written(common_words(docs, common), "common-words")
     counted = measured(docs.select("doc_id", "lang", "text")).join(known, "lang", "left")
-    of_word = F.transform("common", lambda x: F.size("w") - F.size(F.array_remove(F.col("w"), x)))
+    # words that could be common become their ranks; what is counted then are small numbers
+    rank = F.transform(F.filter("w", lambda x: F.octet_length(x) <= F.col("longest")), lambda x: F.array_position("common", x).cast("int"))
+    counted = counted.withColumn("ranks", F.array_remove(rank, 0))
+    of_word = F.transform(F.sequence(F.lit(1), F.size("common")), lambda k: F.size("ranks") - F.size(F.array_remove("ranks", k)))
     counted = counted.withColumn("hits", F.coalesce(of_word, F.array().cast("array<int>")))
     counted = counted.withColumn("hits", F.concat("hits", F.array((F.size("w") - F.aggregate("hits", F.lit(0), lambda a, b: a + b)))))
     total = F.aggregate("chars", F.lit(0).cast("long"), lambda a, b: a + b)
