@@ -59,15 +59,17 @@ def questions_of(text: str) -> list[tuple[str | None, int, str, list[str], str |
             found.append((place, number, re.sub(r"\s+", " ", " ".join(prompt)).strip(), [o.strip() for o in options], letter and letter.lower()))
 
     for line in (text or "").split("\n"):
-        said = next((key for key, p in heads if p.search(line)), None)
-        headed, ruled = header.match(line), rule.match(line.strip())
-        m = None if headed or ruled else answer.match(line)
+        # most lines can be told by a word that a pattern asks for
+        announces = "PRIMERA PARTE" in line or "SUPUESTO" in line
+        said = next((key for key, p in heads if p.search(line)), None) if announces else None
+        headed, ruled = announces and header.match(line), rule.match(line.strip())
+        m = None if headed or ruled or "RESPUESTA" not in line else answer.match(line)
         if headed or m:
             close(m[1] if m else None)
             number, prompt, options = None, [], []
         elif ruled:
             pass
-        elif m := option.match(line):
+        elif line[:1].isspace() and (m := option.match(line)):
             options.append(m[2])
         elif m := start.match(line):
             number, place, prompt, options = int(m[1]), section, [m[2]], []
