@@ -104,10 +104,16 @@ def shares(counts: Column, total: Column) -> Column:
     return F.transform(counts, lambda c: F.when(total > 0, F.floor(c.cast("long") * UNIT / total)).otherwise(F.lit(0)).cast("long"))
 
 
-def distance(p: Column, q: Column) -> Column:
-    """The Jensen-Shannon distance (base 2, so between 0 and 1) of two histograms of counts or shares."""
-    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
-    n, m = total(p), total(q)
+def total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
+
+
+def distance(p: Column, q: Column, n: Column | None = None, m: Column | None = None) -> Column:
+    """The Jensen-Shannon distance (base 2, so between 0 and 1) of two histograms of counts or shares.
+
+    ``n`` and ``m`` are their sums; as columns they aren't added up for every place again.
+    """
+    n, m = total(p) if n is None else n, total(q) if m is None else m
 
     def term(x, y):
         x, y = x / n, y / m
@@ -146,24 +152,24 @@ def judged(docs: DataFrame, common: int = COMMON, least_documents: int = LEAST_D
     of_word = F.transform(F.sequence(F.lit(1), F.size("common")), lambda k: F.size("ranks") - F.size(F.array_remove("ranks", k)))
     counted = counted.withColumn("hits", F.coalesce(of_word, F.array().cast("array<int>")))
     counted = counted.withColumn("hits", F.concat("hits", F.array((F.size("w") - F.aggregate("hits", F.lit(0), lambda a, b: a + b)))))
-    total = F.aggregate("chars", F.lit(0).cast("long"), lambda a, b: a + b)
-    counted = shared.written(counted.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "chars", "hits", shares(F.col("chars"), total).alias("char_share"), shares(F.col("hits"), F.col("n_words")).alias("word_share")), "histograms")
+    counted = counted.withColumn("n_chars", total(F.col("chars")))
+    counted = shared.written(counted.select("doc_id", "lang", "n_words", "n_chars", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "chars", "hits", shares(F.col("chars"), F.col("n_chars")).alias("char_share"), shares(F.col("hits"), F.col("n_words")).alias("word_share")), "histograms")
     good = counted.where("not base_failed")
     sizes = {"char_share": len(CLASSES), "word_share": common + 1}
     by_lang = summed(good.where("lang is not null"), ["lang"], sizes).where(F.col("n") >= least_documents)
     # a language of fewer common words has nothing in the last places
     by_lang = by_lang.select("lang", F.col("n").alias("n_docs"), F.col("char_share").alias("of_chars"), F.filter("word_share", lambda x: x.isNotNull()).alias("of_words"))
-    refs = shared.written(by_lang, "references")
+    refs = shared.written(by_lang.withColumns({"sum_chars": total(F.col("of_chars")), "sum_words": total(F.col("of_words"))}), "references")
     pooled = summed(good, [], {"char_share": len(CLASSES)}).first()["char_share"]
     all_chars = F.array(*[F.lit(x).cast("long") for x in pooled])
-    out = counted.join(refs, "lang", "left")
-    chars, w = distance(F.col("chars"), F.coalesce("of_chars", all_chars)), distance(F.col("hits"), F.col("of_words"))
-    long_enough = (total >= LEAST_CHARS, F.col("n_words") >= LEAST_WORDS)
+    out = counted.join(refs, "lang", "left").withColumns({"of_chars": F.coalesce("of_chars", all_chars), "sum_chars": F.coalesce("sum_chars", F.lit(sum(x or 0 for x in pooled)).cast("long"))})
+    chars, w = distance(F.col("chars"), F.col("of_chars"), F.col("n_chars"), F.col("sum_chars")), distance(F.col("hits"), F.col("of_words"), F.col("n_words"), F.col("sum_words"))
+    long_enough = (F.col("n_chars") >= LEAST_CHARS, F.col("n_words") >= LEAST_WORDS)
     out = out.withColumn("char_distance", F.when(long_enough[0], chars)).withColumn("word_distance", F.when(long_enough[1], w))
     far = lambda d, most, chance: d * d > most * most + chance
     reason = (
-        F.when(F.col("base_failed"), "base").when(far(F.col("char_distance"), MOST_CHARS, CHANCE_CHARS / total), "characters")
-        .when(far(F.col("word_distance"), MOST_WORDS, CHANCE_WORDS * common / F.col("n_words")), "words")
+        F.when(F.col("base_failed"), "base").when(far(F.col("char_distance"), MOST_CHARS, CHANCE_CHARS / F.nullif("n_chars", F.lit(0))), "characters")
+        .when(far(F.col("word_distance"), MOST_WORDS, CHANCE_WORDS * common / F.nullif("n_words", F.lit(0))), "words")
     )
     out = out.withColumn("reason", reason).withColumn("kept", F.col("reason").isNull())
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept", "reason")
