@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from itembank.operators.build import DECIDED, Build
 
 #: The report's texts.
-TITLE = "# Informe de importación · EXAMENES REALES → Preparador TAI"
+TITLE = "# Informe de importación"
 SUMMARY = ["Exámenes procesados", "Preguntas totales", "Banco activo (vigente)", "Excluidas del banco activo", "Rechazadas en parsing"]
 HEADS = {
     2: ["## Resumen general"], 3: ["## Estado de las preguntas"], 4: ["## Cobertura por examen", "", "| Examen | Esperadas | Extraídas | Activas | Secciones |", "|--------|-----------|-----------|---------|-----------|"],

@@ -29,7 +29,7 @@ from itembank.plans.queries import ACT, LEXICON, activity, items, numbers, query
 from itembank.sources import files
 
 OUTDATED = [("thether", "repealed"), ("ciónes", "withdrawn")]
-SOURCE = "`EXAMENES REALES/`"
+SOURCE = "`exams/`"
 
 
 def exams(spark, d):
