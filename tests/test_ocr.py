@@ -84,3 +84,23 @@ def test_the_chain_is_the_longest_path():
         got = [nodes.index(next(n for n in nodes if n.start() == m.start())) for m in ocr.longest_chain(marked)]
         if every is not None:
             assert (score(got) if got else None) == (max(every) if every else None)
+
+
+def exam_text(n, damaged=False):
+    one = lambda k: f"\n{k}. ¿Cuál es la norma de la red número {k} de que se trata?\na) uno\nb) dos\nc) tres\n{'0d.' if damaged else 'd)'} cuatro"
+    return "".join(one(k) for k in range(1, n + 1))
+
+
+def test_chain_looks_at_few_prompts(monkeypatch):
+    seen, quality = [], ocr.quality
+    monkeypatch.setattr(ocr, "quality", lambda *a: seen.append(a) or quality(*a))
+    text = exam_text(60).replace("\na)", "\naj)").replace("\nb)", "\nhb").replace("\nc)", "\n€)")
+    assert [q.number for q in ocr.chain(text)] == [*range(1, 61)]
+    assert len(seen) < 150  # of some 240 line marks with a span that could be a question
+
+
+def test_several_readings_at_once(spark):
+    docs = spark.createDataFrame([(1, exam_text(3)), (2, None)], "doc_id long, text string")
+    names = ["embedded", "chain", "relaxed"]
+    every = {(r["reading"], r["priority"], r["number"], r["prompt"]) for r in ocr.extract_each(docs, names).collect()}
+    assert every == {(n, i, r["number"], r["prompt"]) for i, n in enumerate(names) for r in ocr.extract(docs, n).collect()} and len(every) == 9
