@@ -104,3 +104,19 @@ def test_legacy_snapshot(spark):
     one = files.legacy_snapshot(a, p, now).first()
     assert json.loads(one["attempts"]) == [{"id": "t1", "n": 5}] and [x["questionId"] for x in json.loads(one["progress"])] == ["q1", "q2"] and one["schemaVersion"] == 1
     assert files.legacy_snapshot(a.limit(0), p.limit(0), now).count() == 0 and files.legacy_snapshot(a.limit(0), p, now).count() == 1
+
+
+def test_references_pass_through(spark):
+    rows = spark.createDataFrame([(1, "x", 1, 5, 2, 1, ("p", [1])), (1, "x", 1, 4, 1, 1, ("q", [2])), (1, "y", 1, 4, 9, 1, ("r", [3]))], "k int, reading string, page int, order int, number int, segment int, ref struct<a:string,b:array<int>>")
+    got = {(r["k"], r["reading"], r["number"], r["ref"] and r["ref"]["a"], r["how"]) for r in L.aligned(rows, [("s", 2)], ["k", "reading"], "ref").collect()}
+    assert got == {(1, "x", 1, "q", "aligned"), (1, "x", 2, "p", "aligned"), (1, "y", 1, None, "missing"), (1, "y", 2, None, "missing")}
+
+
+def test_batches_are_cut():
+    import pyarrow as pa
+
+    from itembank.functions import workers
+
+    b = pa.RecordBatch.from_arrays([pa.array(["x" * 1000] * 5000)], names=["text"])
+    cut = [*workers.slices([b], 64, 20_000)]
+    assert max(c.num_rows for c in cut) <= 20 and pa.Table.from_batches(cut).num_rows == 5000
