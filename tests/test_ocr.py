@@ -104,3 +104,15 @@ def test_several_readings_at_once(spark):
     names = ["embedded", "chain", "relaxed"]
     every = {(r["reading"], r["priority"], r["number"], r["prompt"]) for r in ocr.extract_each(docs, names).collect()}
     assert every == {(n, i, r["number"], r["prompt"]) for i, n in enumerate(names) for r in ocr.extract(docs, n).collect()} and len(every) == 9
+
+
+def test_transcripts_are_parsed_in_slices(spark, monkeypatch):
+    import pyarrow as pa
+
+    seen = []
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda df, run, schema: seen.append(run) or df)
+    E.parse_txt(spark.createDataFrame([(1, "x")], "exam_id long, text string"))
+    text = "PRIMERA PARTE — Preguntas 1 a 80\n1. what is it\n  A) a\n  B) b\n  C) c\n  D) d\n  RESPUESTA CORRECTA: A)"
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500), pa.int64()), pa.array([text] * 500)], names=["exam_id", "text"])
+    out = [*seen[0]([batch])]
+    assert max(b.num_rows for b in out) <= 64 and sum(b.num_rows for b in out) == 500
