@@ -116,3 +116,9 @@ def test_transcripts_are_parsed_in_slices(spark, monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(range(500), pa.int64()), pa.array([text] * 500)], names=["exam_id", "text"])
     out = [*seen[0]([batch])]
     assert max(b.num_rows for b in out) <= 64 and sum(b.num_rows for b in out) == 500
+
+
+def test_only_some_columns_are_parsed(spark):
+    docs = spark.createDataFrame([(1, "PRIMERA PARTE — Preguntas 1 a 80\n1. what\n  A) a\n  RESPUESTA CORRECTA: A)"), (2, None)], "exam_id long, text string")
+    some = E.parse_txt(docs, only=["section", "answer"])
+    assert some.columns == ["exam_id", "section", "answer"] and [tuple(r) for r in some.collect()] == [(1, "first", "a")]
