@@ -67,8 +67,20 @@ def looked_up(rows: DataFrame, values: DataFrame, keys: list[str], total: int, h
     return rows.join(hot, keys).unionByName(rest)
 
 
+#: Python workers live as long as an executor: they give memory back to the system when they free it,
+#: and Arrow batches, which the executor and its workers hold, have at most so many bytes.
+WORKER_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_MMAP_THRESHOLD_": "1048576"}
+BATCH_BYTES = 8 << 20
+
+
 def ready(spark: SparkSession) -> None:
-    """Let workers import this package from where the driver has it, unless it was shipped to them."""
+    """Let workers import this package from where the driver has it, unless it was shipped to them, and
+    keep them small."""
+    for k, v in WORKER_ENV.items():
+        spark.sparkContext.environment.setdefault(k, v)
+    most = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > BATCH_BYTES:
+        spark.conf.set(most, str(BATCH_BYTES))
     env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)

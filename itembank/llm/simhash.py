@@ -5,8 +5,9 @@ whose vector has an odd product with ``v``. At most ``radius`` differing positio
 the whole space, so some ``v`` is orthogonal to all of them: the pair collides in that table.
 
 :func:`fingerprint_components` links fingerprints by Hamming distance alone.
-:func:`near_duplicate_groups` finds candidates by MinHash signatures of the sets of five-word
-shingles and decides by the exact Jaccard similarity of those sets.
+:func:`near_duplicate_groups` finds candidates by the fingerprints first and, where these lie further
+apart, by MinHash signatures of the sets of five-word shingles; it decides by the exact Jaccard
+similarity of those sets.
 """
 
 from __future__ import annotations
@@ -127,7 +128,12 @@ def fingerprint_components(docs: DataFrame, radius: int = 2) -> DataFrame:
     part like any other (it just is no id to report; a component without any has null).
     An empty table gives no rows.
     """
-    fps = shared.written(fingerprints(docs), "fingerprints")
+    by_row = _components_of(shared.written(fingerprints(docs), "fingerprints"), radius)
+    return by_row.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _components_of(fps: DataFrame, radius: int) -> DataFrame:
+    """``doc_id``, ``fp``, ``component_id`` of every row of ``fps`` (``doc_id``, ``fp``; a written table)."""
     nodes = shared.written(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "nodes")
     links = covering_links(nodes.select(F.col("fp").alias("node"), "fp"), radius)
     comp = shared.connected_components(links)
@@ -139,7 +145,7 @@ def fingerprint_components(docs: DataFrame, radius: int = 2) -> DataFrame:
     by_fp = shared.written(by_fp, "components")
     shared.dropped(comp)
     shared.dropped(ends)
-    return shared.looked_up(fps, by_fp, ["fp"], fps.count()).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return shared.looked_up(fps, by_fp, ["fp"], fps.count()).select("doc_id", "fp", "component_id")
 
 
 # Groups of near-duplicates: candidates by the tables, decisions by exact similarity.
@@ -173,9 +179,9 @@ def sign_row(low: np.ndarray) -> list[int]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``h1``, ``h2`` (hash of the words in order), ``n_words``, signs and keys."""
+    """``doc_id``, ``h1``, ``h2`` (hash of the words in order), ``n_words``, ``fp`` (of five-word shingles), signs and keys."""
     shared.ready(docs.sparkSession)
-    names = ["doc_id", "h1", "h2", "n_words", *SIGN_COLS, *KEY_COLS]
+    names = ["doc_id", "h1", "h2", "n_words", "fp", *SIGN_COLS, *KEY_COLS]
 
     def run(batches):
         for b in shared.slices(batches):
@@ -183,7 +189,8 @@ def signatures(docs: DataFrame) -> DataFrame:
             for t in b.column(1).cast(pa.binary()).to_pylist():
                 words = (t or b"").lower().split()
                 h = xxhash.xxh128_intdigest(b" ".join(words), SEED)
-                rows.append([signed(h >> 64), signed(h & (1 << 64) - 1), len(words), *sign_row(signature(shingle_hashes(words, NEAR_WORDS)))])
+                grams = shingle_hashes(words, NEAR_WORDS)
+                rows.append([signed(h >> 64), signed(h & (1 << 64) - 1), len(words), signed(majority(grams)), *sign_row(signature(grams))])
             cols = list(zip(*rows)) or [()] * (len(names) - 1)
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in cols]], names=names)
 
@@ -232,18 +239,21 @@ def _dealt(members: DataFrame, *cols: str) -> DataFrame:
 def _candidate_links(reps: DataFrame, small: int = 32, block: int = 256) -> DataFrame:
     """Links that join all documents which collide in a table and are close.
 
-    A bucket's members are held against its smallest one first, which joins nearly all copies.
+    Documents that fingerprints join (``sim``, the smallest node of the fingerprints' component, if
+    ``reps`` has it) are joined already. A bucket's members are held against its smallest one first, which joins nearly all copies.
     Where the others then belong to several components, those of different components are held
     against each other: pair by pair for up to ``small`` members, by pairs of blocks for more. So
     every pair that collides is decided, unless it is joined already, and no bucket is capped.
     """
-    keys = reps.select("node", F.explode(F.array(*KEY_COLS)).alias("k"))
-    full = keys.groupBy("k").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1")
+    sim = F.col("sim") if "sim" in reps.columns else F.col("node")
+    keys = reps.select("node", sim.alias("sim"), F.explode(F.array(*KEY_COLS)).alias("k"))
+    full = keys.groupBy("k").agg(F.min(F.struct("node", "sim")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    full = full.select("k", "n", F.col("first.node").alias("lead"), F.col("first.sim").alias("lead_sim"))
     bucket = shared.looked_up(keys, full, ["k"], TABLES * reps.count(), "inner").where("node > lead")
-    bucket = shared.written(bucket.select("k", "node", "lead", "n"), "buckets")
-    first = shared.written(bucket.select("node", "lead").distinct(), "pairs")
-    close = _close(first, reps).where("close")
-    known = shared.connected_components(close.select(F.col("node").alias("a"), F.col("lead").alias("b")))
+    bucket = shared.written(bucket.select("k", "node", "lead", "n", (F.col("sim") != F.col("lead_sim")).alias("apart")), "buckets")
+    first = shared.written(bucket.where("apart").select("node", "lead").distinct(), "pairs")
+    close = _close(first, reps).where("close").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+    known = shared.connected_components(close.union(reps.where(sim < F.col("node")).select("node", sim)))
     rest = bucket.where("n > 2").join(known, "node", "left").select("k", "node", F.coalesce("component", "node").alias("component"))
     split = rest.groupBy("k").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high").select("k", "n")
     rest = shared.written(shared.looked_up(rest, split, ["k"], bucket.count(), "inner").withColumnRenamed("n", "members"), "split")
@@ -369,22 +379,32 @@ def _exact_links(groups: DataFrame, sets: DataFrame, block: int) -> DataFrame:
     return links
 
 
+def _with_sim(reps: DataFrame) -> DataFrame:
+    """``reps`` with ``sim``: the smallest node that links between fingerprints reach."""
+    fps = shared.written(reps.select(F.col("node").alias("doc_id"), "fp"), "fingerprints")
+    sim = shared.written(_components_of(fps, 2).select(F.col("doc_id").alias("node"), F.col("component_id").alias("sim")), "by-fingerprint")
+    shared.dropped(fps)
+    return reps.join(sim, "node")
+
+
 def near_duplicate_groups(docs: DataFrame, block: int = 256) -> DataFrame:
     """``doc_id``, ``component_id`` of every row of ``docs`` with an id.
 
     Documents link when their words are equal or the Jaccard similarity of their sets of
-    five-word shingles is at least 0.8 (fewer words: the whole is one shingle). Candidates come
-    from MinHash signatures of those sets, so that a pair's chance to be found depends on that
-    similarity only (see :data:`HASHES`); groups of candidates are compared exactly, with their
+    five-word shingles is at least 0.8 (fewer words: the whole is one shingle). Candidates are joined
+    by SimHash fingerprints of the shingles that lie within two bits, by covering tables. A pair at 0.8
+    differs in some ten bits, so what fingerprints leave apart is held against each other where MinHash
+    signatures of the sets meet, so that a pair's chance to be found depends on that similarity only
+    (see :data:`HASHES`); groups of candidates are compared exactly, with their
     smallest member first and then, where that isn't enough, in blocks of about ``block`` documents.
     Distinct texts are the linked nodes, so an id that repeats with several texts is decided text
     by text. Documents without words form one group. Null ids are left out; repeated rows come out
     repeated.
     """
     sk = shared.written(signatures(docs.where("doc_id is not null")), "signatures")
-    nodes = sk.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), *[F.max(c).alias(c) for c in ("n_words", *SIGN_COLS, *KEY_COLS)])
+    nodes = sk.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), *[F.max(c).alias(c) for c in ("n_words", "fp", *SIGN_COLS, *KEY_COLS)])
     reps = shared.written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # written, so the numbers are fixed
-    groups = shared.connected_components(_candidate_links(reps.where("n_words > 0")))
+    groups = shared.connected_components(_candidate_links(_with_sim(reps.where("n_words > 0"))))
     wanted = groups.select("node").join(reps.select("node", "h1", "h2", F.col("first").alias("doc_id")), "node")
     wanted = shared.written(wanted, "wanted")
     some = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")

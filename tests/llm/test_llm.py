@@ -319,6 +319,16 @@ def test_near_duplicates_of_any_kind(spark):
     assert [got[i + 1] for i in pairs] == pairs
 
 
+def test_near_duplicates_by_fingerprints(spark):
+    # no table's key is shared, so only fingerprints can join these: 3 with 5 (2 bits), 5 with 9 (2 others), 9 with none of 11's 40 bits
+    prints = {3: 0, 5: 0b11, 9: 0b1111, 11: (1 << 40) - 1}
+    cols = ["node", "fp", *simhash.SIGN_COLS, *simhash.KEY_COLS]
+    rows = [(n, fp, *[n] * len(simhash.SIGN_COLS), *[n * 100 + j for j in range(len(simhash.KEY_COLS))]) for n, fp in prints.items()]
+    reps = simhash._with_sim(spark.createDataFrame(rows, ", ".join(f"{c} long" for c in cols)))
+    assert {r["node"]: r["sim"] for r in reps.collect()} == {3: 3, 5: 3, 9: 3, 11: 11}
+    assert {r["node"]: r["component"] for r in shared.connected_components(simhash._candidate_links(reps)).collect()} == {3: 3, 5: 3, 9: 3}
+
+
 def test_members_of_a_bucket_meet(spark):
     # those in the middle are close to the first of their bucket and to the last ones; the last ones aren't close to the first
     rows = []
