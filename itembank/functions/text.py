@@ -23,8 +23,14 @@ ACCENTED, PLAIN = _accent_table()
 
 
 def fold(x: Column) -> Column:
-    """Lower case without accents; sharp s is ss. Null stays null."""
-    return F.regexp_replace(F.translate(F.replace(F.lower(x), F.lit("ß"), F.lit("ss")), ACCENTED, PLAIN), r"\p{Mn}+", "")
+    """Lower case without accents; sharp s is ss. Null stays null. Plain ASCII only needs lower case."""
+    whole = F.regexp_replace(F.translate(F.replace(F.lower(x), F.lit("ß"), F.lit("ss")), ACCENTED, PLAIN), r"\p{Mn}+", "")
+    return F.when(F.length(x) == F.octet_length(x), F.lower(x)).otherwise(whole)
+
+
+def once(x: Column, f) -> Column:
+    """``f(x)`` with ``x`` evaluated once, however often ``f`` uses it and wherever a filter on it is moved."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
 def fold_search(x: Column) -> Column:

@@ -21,13 +21,19 @@ def topic_scores(lexicon: list[tuple[str, list[str]]], prompt: Column, whole: Co
     A term in the prompt scores 60 + min(40, its length), elsewhere in the item 20. The lexicon is
     a list in the plan (its size is a parameter's), so an item is scored without any join.
     """
-    parts = []
-    for i, (topic, terms) in enumerate(lexicon):
+    scores = enumerate(_scores(lexicon, prompt, whole))
+    return F.array(*[F.struct(F.lit(t).alias("topic"), F.lit(i).alias("topic_ord"), s.alias("score")) for i, (t, s) in scores])
+
+
+def _scores(lexicon: list[tuple[str, list[str]]], prompt: Column, whole: Column) -> list[tuple[str, Column]]:
+    """Each topic with its score."""
+    out = []
+    for topic, terms in lexicon:
         s = F.lit(0)
         for t in map(T_fold_py, terms):
             s = s + F.when(prompt.contains(t), 60 + min(40, len(t))).when(whole.contains(t), 20).otherwise(0)
-        parts.append(F.struct(F.lit(topic).alias("topic"), F.lit(i).alias("topic_ord"), s.cast("int").alias("score")))
-    return F.array(*parts)
+        out.append((topic, s.cast("int")))
+    return out
 
 
 def _folded(items: DataFrame) -> DataFrame:
@@ -50,20 +56,29 @@ def ranked(items: DataFrame, lexicon: list[tuple[str, list[str]]], blocks: Colum
     """``items`` with their best ``topic``, its ``score`` and ``margin`` to the second, within the row;
     ties go to the lexicon's order. The margin is null where there is one topic only. Of ``blocks``
     (an array of names), only their topics count; where the lexicon has none of these, all do."""
-    order = F.transform("_s", lambda x: F.struct((-x["score"]).alias("neg"), x["topic_ord"].alias("topic_ord"), x["topic"].alias("topic")))
-    df = _folded(items).withColumn("_s", topic_scores(lexicon, F.col("_p"), F.col("_a")))
-    if blocks is not None:
-        own = F.filter("_s", lambda x: F.coalesce(F.array_contains(blocks, T.block_of(x["topic"])), F.lit(False)))
-        df = df.withColumn("_own", own).withColumn("_s", F.when(F.size("_own") > 0, F.col("_own")).otherwise(F.col("_s"))).drop("_own")
-    df = df.withColumn("_two", F.slice(F.array_sort(order), 1, 2))
-    first, second = F.get("_two", F.lit(0)), F.get("_two", F.lit(1))
-    return df.withColumns({"topic": first["topic"], "score": -first["neg"], "margin": second["neg"] - first["neg"]}).drop("_p", "_a", "_s", "_two")
+    p = F.coalesce("prompt", F.lit(""))
+    own = lambda t: F.coalesce(F.array_contains(blocks, t.split(".")[0]), F.lit(False))
+    names = {t.split(".")[0]: own(t) for t, _ in lexicon} if blocks is not None else {}
+
+    def best(two: Column) -> Column:
+        first, second = F.get(two, F.lit(0)), F.get(two, F.lit(1))
+        margin = F.when(second["out"] == first["out"], second["neg"] - first["neg"])
+        return F.struct(first["topic"].alias("topic"), (-first["neg"]).alias("score"), margin.alias("margin"))
+
+    def places(x: Column) -> Column:  # own topics come first
+        every = [F.struct(F.when(names[t.split(".")[0]], 0).otherwise(1).alias("out") if names else F.lit(1).alias("out"), (-s).alias("neg"), F.lit(i).alias("topic_ord"), F.lit(t).alias("topic")) for i, (t, s) in enumerate(_scores(lexicon, x["p"], x["a"]))]
+        return T.once(F.sort_array(F.array(*every)), best)
+
+    texts = F.struct(T.fold(p).alias("p"), T.fold(F.concat_ws(" ", p, F.array_join("options", " "))).alias("a"))
+    df = items.withColumn("_r", T.once(texts, places))
+    return df.withColumns({k: F.col(f"_r.{k}") for k in ("topic", "score", "margin")}).drop("_r")
 
 
 def confidence_units(score: Column, margin: Column) -> Column:
     """0.56 + 0.035 score + 0.025 margin, at most 0.98, in units; without any hit 0.30.
     A single topic's margin (null) is its score."""
-    return F.when(score > 0, F.least(F.lit(19600), 11200 + 35 * score + 25 * F.coalesce(margin, score))).otherwise(FALLBACK).cast("int")
+    found = lambda x: F.when(x["s"] > 0, F.least(F.lit(19600), 11200 + 35 * x["s"] + 25 * F.coalesce(x["m"], x["s"]))).otherwise(FALLBACK).cast("int")
+    return T.once(F.struct(score.alias("s"), margin.alias("m")), found)
 
 
 def classified(items: DataFrame, lexicon, blocks: Column | None = None) -> DataFrame:
@@ -85,7 +100,7 @@ def classify(items: DataFrame, lexicon, decisions: DataFrame | None = None, over
 
 def outdated_reason(folded: Column, terms: list[tuple[str, str]]) -> Column:
     """The reason of the first term, in the list's order, that the text contains."""
-    return F.coalesce(*[F.when(folded.contains(T_fold_py(t)), F.lit(r)) for t, r in terms]) if terms else F.lit(None).cast("string")
+    return T.once(folded, lambda x: F.coalesce(*[F.when(x.contains(T_fold_py(t)), F.lit(r)) for t, r in terms])) if terms else F.lit(None).cast("string")
 
 
 def issues(prompt: Column, options: Column, answer: Column, section: Column) -> Column:

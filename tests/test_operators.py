@@ -134,3 +134,11 @@ def test_what_may_not_be_merged(spark):
     got = sorted(tuple(r) for r in B.supplement_issues(have, extra, "id", "answer").collect())
     assert got == [(1, "contradicts"), (3, "contradicts"), (9, "unknown")]
     assert B.supplement_issues(have, extra.limit(0), "id", "answer").count() == 0
+
+
+def test_texts_are_folded_once_below_a_filter(spark):
+    from itembank.plans import practice
+
+    rows = practice.full_items(spark, "/root/testdata/sf0.001").where("active").select("item_id")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("translate(") <= 3  # the prompt, the whole item, the text
