@@ -20,6 +20,8 @@ from itembank.functions import stage
 from itembank.operators import practice as P
 
 BUCKETS = 64
+#: Shares of a bucket that tasks add up and write on their own.
+SHARES = 16
 
 
 class Conflict(RuntimeError):
@@ -61,10 +63,11 @@ class Store:
         paths = [f"{self.path}/{version.parts[n]}" for n in names if n in version.parts]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def write(self, df: DataFrame, table: str, buckets: list[int]) -> dict:
-        """New folders for ``buckets`` with the rows of ``df`` (which has ``bucket``), seen by nobody yet."""
+    def write(self, df: DataFrame, table: str, buckets: list[int], dealt: bool = False) -> dict:
+        """New folders for ``buckets`` with the rows of ``df`` (which has ``bucket``), seen by nobody yet; rows
+        that are ``dealt`` by bucket or finer already aren't moved again."""
         folder = f"data/{table}-{uuid.uuid4().hex[:12]}"
-        df.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+        (df if dealt else df.repartition("bucket")).write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
         there = {s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.path}/{folder}"))}
         return {f"{table}/{b}": f"{folder}/bucket={b}" if f"bucket={b}" in there else None for b in buckets}
 
@@ -107,12 +110,15 @@ def record(store: Store, attempts: DataFrame, batch: int) -> Version:
     if not counted["n"]:
         return store.commit(now, {}, batch)
     rows = new.select("user_id", "a.finished", F.explode("a.outcomes").alias("o"))
-    said = lambda v: F.count_if(F.col("o.outcome") == v)
-    added = rows.groupBy("user_id", F.col("o.item_id").cast("string").alias("item_id")).agg(F.count("*").alias("seen"), said("correct").alias("correct"), said("wrong").alias("wrong"), F.max("finished").alias("last_seen"))
+    said = lambda v: F.coalesce((F.col("o.outcome") == v).cast("long"), F.lit(0)).alias(v)
+    added = rows.select("user_id", F.col("o.item_id").cast("string").alias("item_id"), F.lit(1).cast("long").alias("seen"), said("correct"), said("wrong"), F.col("finished").alias("last_seen"))
     both = store.read(now, "progress", PROGRESS, touched).unionByName(added)
-    total = both.groupBy("user_id", "item_id").agg(*[F.sum(c).alias(c) for c in ("seen", "correct", "wrong")], F.max("last_seen").alias("last_seen")).withColumn("bucket", store.bucket("user_id"))
+    # rows move once: by shares of a bucket, within which they are added up and written
+    share = F.pmod(F.xxhash64("user_id"), F.lit(store.buckets * SHARES))
+    total = both.withColumn("share", share).repartition("share").groupBy("share", "user_id", "item_id").agg(*[F.sum(c).alias(c) for c in ("seen", "correct", "wrong")], F.max("last_seen").alias("last_seen"))
+    total = total.withColumn("bucket", (F.col("share") % store.buckets).cast("int")).drop("share")
     every = ledger.unionByName(new.select("user_id", "attempt_id")).withColumn("bucket", store.bucket("user_id"))
-    return store.commit(now, store.write(total, "progress", touched) | store.write(every, "ledger", touched), batch)
+    return store.commit(now, store.write(total, "progress", touched, dealt=True) | store.write(every, "ledger", touched), batch)
 
 
 def progress(store: Store) -> DataFrame:

@@ -278,3 +278,21 @@ def test_readings_are_aligned_apart(spark):
     cells = RD.cells(RD.without_thin(every, "embedded", 3), [("first", 4)])
     got = RD.resolved(cells, ["doc_id", "section", "number"])
     assert sorted((r["number"], r["reading"], r["question"]["prompt"]) for r in got.collect()) == [(1, "one", "one 1"), (2, "two", "two 2"), (3, "one", "one 3")]
+
+
+def test_progress_rows_move_once(spark, tmp_path):
+    plans = {}
+
+    class Seen(W.Store):
+        def write(self, df, table, *rest, **more):
+            plans[table] = df._jdf.queryExecution().executedPlan().toString()
+            return super().write(df, table, *rest, **more)
+
+    store = Seen(spark, f"file://{tmp_path}/store", 4)
+    schema = "user_id long, attempt_id string, finished timestamp, outcomes array<struct<item_id:string,outcome:string>>"
+    for n, said in enumerate(("correct", None, "wrong")):
+        rows = [(u, f"{u}-{n}", dt.datetime(2026, 1, 1 + n), [("a", said), ("b", "blank")]) for u in range(40)]
+        W.record(store, spark.createDataFrame(rows, schema), n)
+    got = {(r["user_id"], r["item_id"]): (r["seen"], r["correct"], r["wrong"], r["last_seen"].day) for r in W.progress(store).collect()}
+    assert got == {(u, i): (3, int(i == "a"), int(i == "a"), 3) for u in range(40) for i in "ab"}
+    assert plans["progress"].count("Exchange") == 1
