@@ -72,6 +72,18 @@ def test_marks_by_definition(spark):
     assert [(w.page, w.text, w.shown, w.head, w.banded, w.start, w.option) for w in whole] == want
 
 
+def test_texts_are_looked_at_once(spark):
+    # marks are made for whole columns: a text that comes in many documents and lines is read once
+    body = page(1, question(100, "1.", "uno"), question(200, "2.", "dos"), [(300.0, None, [(None, 300.0, " uno "), (50.0, None, None)]), (None, "no place", [(40.0, 5.0, "3.")])])
+    stored = spark.createDataFrame([([body],), ([body, body],), (None,), ([body],)] * 5, f"pages {L.PAGES}").toArrow()["pages"].combine_chunks()
+    L._read.cache_clear()
+    rows = [L.marked_words(w) for w in L.nested(stored)]
+    texts = {" uno ", "", *"1. 2. 3. uno dos a) b) c) d) uno0 uno1 uno2 uno3 dos0 dos1 dos2 dos3".split()}
+    assert (L._read.cache_info().misses, L._read.cache_info().hits) == (len(texts), 0)
+    assert [len(r) for r in rows] == [22, 44, 0, 22] * 5 and rows[1] == rows[0] * 2 and rows[4:8] == rows[:4]
+    assert [(w.text, w.shown, w.head, w.banded, w.start, w.option) for w in rows[0][-2:]] == [("uno", True, True, False, False, False), ("", False, False, True, False, False)]
+
+
 def test_longest_common_is_longest():
     rng = random.Random(7)
     for _ in range(200):
