@@ -40,7 +40,12 @@ def fold_search(x: Column) -> Column:
 
 def signature(x: Column, profile: str = "pdf") -> Column:
     """Letters, digits and underscores of the folded text; profile ``txt`` keeps the first 160."""
-    s = F.regexp_replace(fold(x), r"[^\p{L}\p{N}_]+", "")
+    return signature_of(fold(x), profile)
+
+
+def signature_of(folded: Column, profile: str = "pdf") -> Column:
+    """:func:`signature` of a text that is folded already."""
+    s = F.regexp_replace(folded, r"[^\p{L}\p{N}_]+", "")
     return F.substring(s, 1, 160) if profile == "txt" else s
 
 

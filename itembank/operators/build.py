@@ -29,17 +29,19 @@ REASONS = {
 }
 DECIDED, OVERRIDDEN, BY_RULES, FALLEN_BACK = "revision_manual_2026_09_26", "curacion_manual_verificada", "taxonomia_reglas_2025", "fallback_sin_indicio"
 METHODS = {"decided": DECIDED, "overridden": OVERRIDDEN, "rules": BY_RULES, "fallback": FALLEN_BACK}
+#: Columns of a bank's questions that are added on the way out, and what they follow from.
+DERIVED = {"reason": ["status", "old", "decision"], "method": ["method"], "exercise": ["section"], "is_reserve": ["section"], "block": ["topic"]}
 TRANSCRIPT = "03 Preguntas y respuestas en texto.txt"
 
 
 @dataclass(frozen=True)
 class Build:
     """``questions`` of the bank, ``coverage`` by exam, ``excluded`` rows, and what was counted on the way:
-    ``parsed``, ``outside``, ``broken``, ``active_before_duplicates``."""
+    ``parsed``, ``outside``, ``broken``, ``active_before_duplicates``. What wasn't asked for is None."""
 
-    questions: DataFrame
+    questions: DataFrame | None
     coverage: DataFrame
-    excluded: DataFrame
+    excluded: DataFrame | None
     counters: dict
 
     def review(self) -> DataFrame:
@@ -59,7 +61,7 @@ def transcripts(spark: SparkSession, directory: str, exams: DataFrame, name: str
 def contract_issues() -> Column:
     """What keeps a question of a known section out of the bank; empty if nothing does."""
     size, answer = F.size("options"), F.col("answer")
-    blank = lambda x: F.regexp_replace(x, r"[\s\p{Z}]+", "") == ""
+    blank = lambda x: ~x.rlike(r"[^\s\p{Z}]")  # noqa: E731 - the first other character tells
     found = F.array_compact(F.array(
         F.when(size != 4, F.format_string(BROKEN[0].replace("{}", "%d"), size)), F.when(F.exists("options", blank), BROKEN[1]),
         F.when(blank(F.col("prompt")), BROKEN[2]), F.when(answer.isNotNull() & ~answer.isin("a", "b", "c", "d"), F.concat(F.lit(BROKEN[3]), answer))))
@@ -72,40 +74,57 @@ def _of_section(specs, i: int) -> Column:
     return F.coalesce(*[F.when(F.col("section") == s[0], lit(s[i])) for s in specs])
 
 
-def build(texts: DataFrame, exams: DataFrame, lexicon: list[tuple[str, list[str]]], outdated: list[tuple[str, str]], decisions: DataFrame | None = None, overrides: DataFrame | None = None, specs=E.SECTIONS) -> Build:
+def build(texts: DataFrame, exams: DataFrame, lexicon: list[tuple[str, list[str]]], outdated: list[tuple[str, str]], decisions: DataFrame | None = None, overrides: DataFrame | None = None, specs=E.SECTIONS, only: list[str] | None = None) -> Build:
     """Build a bank from ``texts`` (exam_id, text) of ``exams`` (exam_id, ord, year, answer_status).
 
     ``decisions`` (item_id, topic, reason) come before ``overrides`` (item_id, topic) and those before
     the rules, which choose among the topics of the section's blocks. Questions repeat as often as
     transcripts do; equal item ids stay apart by their place. Coverage has a row for every exam with
-    a transcript; its ``excluded`` counts the exam's excluded rows.
+    a transcript; its ``excluded`` counts the exam's excluded rows. Of the columns of ``questions`` some
+    can be asked for (``only``; none: no questions), so that texts nobody reads needn't be moved and
+    stored; the excluded rows need ``number`` and ``prompt``.
     """
-    one = E.parse_txt(texts).join(exams, "exam_id")
-    one = one.withColumn("item_id", F.concat_ws(":", F.col("exam_id").cast("string"), "section", "number"))
-    ranked = C.classified(one, lexicon, _of_section(specs, 5))
+    # what follows from the texts is made where they are parsed; only then rows meet other tables
+    one = E.parse_txt(texts).withColumn("item_id", F.concat_ws(":", F.col("exam_id").cast("string"), "section", "number"))
+    also = {"old": lambda _, whole: C.outdated_reason(whole, outdated), "sig": lambda prompt, _: F.md5(T.signature_of(prompt, "txt"))}
+    if only == []:
+        del also["sig"]
+    ranked = C.classified(one, lexicon, _of_section(specs, 5), also)
+    ranked = ranked.withColumn("issues", F.when(F.col("section").isNull(), OUTSIDE).otherwise(contract_issues()))
+    moved = ["exam_id", "item_id", "position", "section", "answer", "topic", "units", "method", "issues", *also]
+    ranked = ranked.select(*moved, *[c for c in ("number", "prompt", "options") if only is None or c in only]).join(exams, "exam_id")
     # both kinds of decisions in one join; a decision comes before an override
     kinds = [t.select("item_id", F.lit(i).alias("kind"), "topic", F.col("reason") if i == 0 else F.lit(None).cast("string").alias("reason")) for i, t in enumerate((decisions, overrides)) if t is not None]
     chosen = F.lit(None).cast("struct<kind:int,topic:string,reason:string>")
     if kinds:
         first = reduce(DataFrame.unionByName, kinds).groupBy("item_id").agg(F.min(F.struct("kind", "topic", "reason")).alias("chosen"))
         ranked, chosen = ranked.join(first, "item_id", "left"), F.col("chosen")
-    text = F.concat_ws(" ", "prompt", F.array_join("options", " "))
     ranked = ranked.withColumns({
-        "topic": F.coalesce(chosen["topic"], "topic"), "units": F.when(chosen.isNotNull(), 20000).otherwise(F.col("units")), "old": C.outdated_reason(T.fold(text), outdated), "decision": chosen["reason"],
+        "topic": F.coalesce(chosen["topic"], "topic"), "units": F.when(chosen.isNotNull(), 20000).otherwise(F.col("units")), "decision": chosen["reason"],
         "method": F.when(chosen["kind"] == 0, "decided").when(chosen["kind"] == 1, "overridden").otherwise(F.col("method")),
-        "issues": F.when(F.col("section").isNull(), OUTSIDE).otherwise(contract_issues()), "sig": F.md5(T.signature(F.col("prompt"), "txt")),
     })
     status = C.status("txt", F.col("answer"), F.lit(None), F.col("old"), F.col("units"))
     ranked = ranked.withColumn("status", status).withColumn("active", (F.col("status") == "valid") & (F.col("issues") == ""))
     # what follows from these columns is added on the way out, so that it isn't stored and moved
     cols = ["exam_id", "ord", "position", "item_id", "year", "answer_status", "section", "number", "prompt", "options", "answer", "topic", "units", "method", "status", "old", "decision", "active", "issues", "sig"]
+    if only is not None:
+        always = ["exam_id", "position", "section", "active", "issues"]
+        wanted = {*always, *only, *([] if only == [] else ["ord", "item_id", "status", "sig"]), *[c for k, cs in DERIVED.items() if k in only for c in cs]}
+        cols = [c for c in cols if c in wanted]
     staged, counters = stage.written(
         ranked.select(*cols), "bank-stage", parsed=F.count("*"), outside=F.count_if(F.col("section").isNull()), broken=F.count_if(F.col("section").isNotNull() & (F.col("issues") != "")), active_before_duplicates=F.count_if("active"))
+    covered, kept_out = coverage(staged, texts, exams, specs), excluded(staged) if {"number", "prompt"} <= set(cols) else None
+    if only == []:
+        return Build(None, covered, kept_out, counters)
     good = deduplicated(staged.where("issues = ''").drop("issues"))
-    reason = F.coalesce(*[F.when(F.col("status") == s, F.coalesce("decision", F.lit(r)) if s == "valid" else F.lit(r)) for s, r in REASONS.items()], "old")
-    method = F.coalesce(*[F.when(F.col("method") == m, text) for m, text in METHODS.items()])
-    questions = good.withColumns({"reason": reason, "method": method, "exercise": _of_section(specs, 2), "is_reserve": _of_section(specs, 3), "block": T.block_of(F.col("topic"))}).drop("old")
-    return Build(questions, coverage(staged, texts, exams, specs), excluded(staged), counters)
+    asked = lambda k: only is None or k in only
+    derived = {
+        "reason": lambda: F.coalesce(*[F.when(F.col("status") == s, F.coalesce("decision", F.lit(r)) if s == "valid" else F.lit(r)) for s, r in REASONS.items()], "old"),
+        "method": lambda: F.coalesce(*[F.when(F.col("method") == m, text) for m, text in METHODS.items()]),
+        "exercise": lambda: _of_section(specs, 2), "is_reserve": lambda: _of_section(specs, 3), "block": lambda: T.block_of(F.col("topic")),
+    }
+    questions = good.withColumns({k: f() for k, f in derived.items() if asked(k)}).drop("old")
+    return Build(questions, covered, kept_out, counters)
 
 
 def deduplicated(questions: DataFrame) -> DataFrame:

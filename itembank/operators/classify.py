@@ -52,10 +52,11 @@ def T_fold_py(t: str) -> str:
     return t.lower().replace("ß", "ss").translate(str.maketrans(T.ACCENTED, T.PLAIN))
 
 
-def ranked(items: DataFrame, lexicon: list[tuple[str, list[str]]], blocks: Column | None = None) -> DataFrame:
+def ranked(items: DataFrame, lexicon: list[tuple[str, list[str]]], blocks: Column | None = None, also: dict | None = None) -> DataFrame:
     """``items`` with their best ``topic``, its ``score`` and ``margin`` to the second, within the row;
     ties go to the lexicon's order. The margin is null where there is one topic only. Of ``blocks``
-    (an array of names), only their topics count; where the lexicon has none of these, all do."""
+    (an array of names), only their topics count; where the lexicon has none of these, all do. ``also`` names further columns, each a function of
+    the folded prompt and the folded whole, which are made once for all."""
     p = F.coalesce("prompt", F.lit(""))
     own = lambda t: F.coalesce(F.array_contains(blocks, t.split(".")[0]), F.lit(False))
     names = {t.split(".")[0]: own(t) for t, _ in lexicon} if blocks is not None else {}
@@ -70,8 +71,10 @@ def ranked(items: DataFrame, lexicon: list[tuple[str, list[str]]], blocks: Colum
         return T.once(F.sort_array(F.array(*every)), best)
 
     texts = F.struct(T.fold(p).alias("p"), T.fold(F.concat_ws(" ", p, F.array_join("options", " "))).alias("a"))
-    df = items.withColumn("_r", T.once(texts, places))
-    return df.withColumns({k: F.col(f"_r.{k}") for k in ("topic", "score", "margin")}).drop("_r")
+    also = also or {}
+    told = lambda x: F.struct(places(x).alias("best"), *[f(x["p"], x["a"]).alias(k) for k, f in also.items()])
+    df = items.withColumn("_r", T.once(texts, told))
+    return df.withColumns({k: F.col(f"_r.best.{k}") for k in ("topic", "score", "margin")} | {k: F.col(f"_r.{k}") for k in also}).drop("_r")
 
 
 def confidence_units(score: Column, margin: Column) -> Column:
@@ -81,9 +84,9 @@ def confidence_units(score: Column, margin: Column) -> Column:
     return T.once(F.struct(score.alias("s"), margin.alias("m")), found)
 
 
-def classified(items: DataFrame, lexicon, blocks: Column | None = None) -> DataFrame:
-    """``items`` with ``topic``, ``units`` and ``method`` by the rules, within the row."""
-    r = ranked(items, lexicon, blocks)
+def classified(items: DataFrame, lexicon, blocks: Column | None = None, also: dict | None = None) -> DataFrame:
+    """``items`` with ``topic``, ``units`` and ``method`` by the rules, within the row, and the columns of ``also``."""
+    r = ranked(items, lexicon, blocks, also)
     units, method = confidence_units(F.col("score"), F.col("margin")), F.when(F.col("score") > 0, "rules").otherwise("fallback")
     return r.withColumns({"units": units, "method": method}).drop("score", "margin")
 

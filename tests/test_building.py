@@ -61,6 +61,26 @@ def test_effects_keep_their_order(built):
     assert b.review().count() == 6
 
 
+def test_only_what_is_asked_for_is_stored(spark):
+    text = transcript(("PRIMERA PARTE — Preguntas 1 a 80", [("La constitución dice", OPTIONS, ANSWER), ("ley 6/1997 y la constitución", OPTIONS, ANSWER), ("La constitución dice", OPTIONS, ANSWER), ("Dos", "  A) uno\n  B) dos\n", ANSWER)]))
+    texts = spark.createDataFrame([("a", text), ("b", text)], "exam_id string, text string")
+    exams = spark.createDataFrame([("a", 1, 2019, "oficial"), ("b", 2, 2019, "oficial")], "exam_id string, ord int, year int, answer_status string")
+    decisions = spark.createDataFrame([("b:first:1", "I.1", "leída")], "item_id string, topic string, reason string")
+    whole, none, some = (M.build(texts, exams, LEXICON, [("ley 6/1997", "derogada")], decisions, only=x) for x in (None, [], ["reason"]))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(whole.coverage) == rows(none.coverage) == rows(some.coverage) and whole.counters == none.counters == some.counters
+    cols = ["item_id", "status", "reason", "active", "duplicate_of"]
+    assert sorted(map(str, whole.questions.select(cols).collect())) == sorted(map(str, some.questions.select(cols).collect())) and whole.review().count() == some.review().count() == 5
+    assert none.questions is None and none.excluded is None and not {"prompt", "options"} & set(some.questions.columns)
+
+
+def test_blank_options_by_definition(spark):
+    texts = ["", " ", "\u00a0", "\u2003\t", "\n", "x", " \n x", "\u200b", None]
+    df = spark.createDataFrame([("p", ["x", "y", "z", t], "a", t is None) for t in texts], "prompt string, options array<string>, answer string, missing boolean")
+    got = [r[0] for r in df.select(M.contract_issues()).collect()]
+    assert got == [M.BROKEN[1]] * 5 + [""] * 4
+
+
 def test_report_text(spark, built, tmp_path):
     b, exams = built
     R.write(R.markdown(b, exams, [("I", "Uno", ["I.1"]), ("III", "Tres", ["III.1", "III.2"])], "2026-01-31", "`x/`"), f"file://{tmp_path}/report")
