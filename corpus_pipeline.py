@@ -54,5 +54,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the whole of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = shared.written(stage(spark, docs, sf_dir), name)
+        before, docs = docs, shared.written(stage(spark, docs, sf_dir), name)
+        shared.dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)

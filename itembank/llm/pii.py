@@ -292,12 +292,12 @@ def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with each span replaced by its kind in brackets and ``n_chars`` counted anew.
 
     Spans that overlap are replaced as one, under the kind of the first. Null texts stay null. The
-    rows are written once with their candidates, so that texts are searched once.
+    rows are written once with their candidates, so that texts are searched once and stored once.
     """
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
-    found = shared.written(candidates(packed), "candidates")
+    found = shared.written(candidates(packed).select("row", "cands"), "candidates")
     model = fit(found.select("cands"))
-    df = found.withColumn("_s", F.array_sort(F.transform(decided(F.col("cands"), model), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind")))))
+    df = found.withColumn("text", F.col("row")["text"].cast("string")).withColumn("_s", F.array_sort(F.transform(decided(F.col("cands"), model), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind")))))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
 

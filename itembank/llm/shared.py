@@ -67,6 +67,28 @@ def looked_up(rows: DataFrame, values: DataFrame, keys: list[str], total: int, h
     return rows.join(hot, keys).unionByName(rest)
 
 
+#: A filter of keys has so many bits a key, in maps of so many bits each, and 16 MiB at most: beyond that it
+#: lets more rows pass, which bears on time only, since what passes is joined.
+KEY_BITS, MAP_BITS, MOST_BITS = 32, 1 << 15, 1 << 27
+
+
+def sifted(rows: DataFrame, keys: DataFrame, key: str, most_bits: int = MOST_BITS) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two parts: those whose ``key`` surely isn't among the longs of ``keys``, and the others.
+
+    Neither part is shuffled. All rows with such a key are in the second part, besides one in 32 of
+    the others; a join of that part with ``keys`` tells these apart, so that wide rows move only
+    where their key is likely to be there. Null keys are in either part.
+    """
+    bits = min(most_bits, max(1, -(-keys.count() * KEY_BITS // MAP_BITS)) * MAP_BITS)
+    place = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(bits)).alias("place")
+    maps = keys.select(place).groupBy(F.shiftright("place", 15).alias("map")).agg(F.bitmap_construct_agg(F.col("place") % MAP_BITS).alias("bits"))
+    told = rows.select(F.struct(*rows.columns).alias("row"), place).withColumn("map", F.shiftright("place", 15)).join(F.broadcast(maps), "map", "left")
+    byte = F.conv(F.hex(F.expr(f"substring(bits, cast(place % {MAP_BITS} div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    there = F.coalesce(F.getbit(byte, (F.col("place") % 8).cast("int")) == 1, F.lit(False))
+    own = [F.col("row")[c].alias(c) for c in rows.columns]
+    return told.where(~there).select(*own), told.where(there).select(*own)
+
+
 #: Python workers live as long as an executor: they give memory back to the system when they free it,
 #: and Arrow batches, which the executor and its workers hold, have at most so many bytes.
 WORKER_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_MMAP_THRESHOLD_": "1048576"}

@@ -399,16 +399,21 @@ def near_duplicate_groups(docs: DataFrame, block: int = 256) -> DataFrame:
     smallest member first and then, where that isn't enough, in blocks of about ``block`` documents.
     Distinct texts are the linked nodes, so an id that repeats with several texts is decided text
     by text. Documents without words form one group. Null ids are left out; repeated rows come out
-    repeated.
+    repeated. Texts stay where they lie: only the sets of shingles that a group needs are moved.
     """
+    return _groups(docs, block)[0]
+
+
+def _groups(docs: DataFrame, block: int = 256) -> tuple[DataFrame, list[DataFrame]]:
+    """What :func:`near_duplicate_groups` returns, and the written tables that it reads."""
     sk = shared.written(signatures(docs.where("doc_id is not null")), "signatures")
     nodes = sk.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), *[F.max(c).alias(c) for c in ("n_words", "fp", *SIGN_COLS, *KEY_COLS)])
     reps = shared.written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # written, so the numbers are fixed
     groups = shared.connected_components(_candidate_links(_with_sim(reps.where("n_words > 0"))))
     wanted = groups.select("node").join(reps.select("node", "h1", "h2", F.col("first").alias("doc_id")), "node")
     wanted = shared.written(wanted, "wanted")
-    some = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = shingle_sets(some).join(wanted, ["doc_id", "h1", "h2"]).select("node", "shingles").dropDuplicates(["node"])  # those of a node are equal
+    _, some = shared.sifted(docs.select("doc_id", "text"), wanted.select("doc_id"), "doc_id")
+    sets = shingle_sets(some).dropDuplicates(["doc_id", "h1", "h2"]).join(wanted, ["doc_id", "h1", "h2"]).select("node", "shingles")  # a node has one id and text
     sets = shared.written(sets, "shingle-sets")
     links = _exact_links(groups, sets, block)
     comp = shared.connected_components(links)
@@ -419,23 +424,27 @@ def near_duplicate_groups(docs: DataFrame, block: int = 256) -> DataFrame:
     least = ends.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
     by_text = shared.looked_up(ends, least, ["component"], ends.count()).select("h1", "h2", "component_id", F.col("copies").alias("n"))
     by_text = shared.written(by_text, "components")
-    shared.dropped(comp)
-    shared.dropped(ends)
-    return shared.looked_up(sk.select("doc_id", "h1", "h2"), by_text, ["h1", "h2"], sk.count(), "inner").select("doc_id", "component_id")
+    for t in (comp, ends, reps):
+        shared.dropped(t)
+    return shared.looked_up(sk.select("doc_id", "h1", "h2"), by_text, ["h1", "h2"], sk.count(), "inner").select("doc_id", "component_id"), [sk, by_text]
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: that with the smallest id.
 
     Rows that repeat an id count once; if their columns differ, the least row (column by column)
-    stays. Documents without an id are kept as they are.
+    stays. Documents without an id are kept as they are. Only rows whose id is likely to go or to be
+    repeated are moved.
     """
-    groups = near_duplicate_groups(docs)
-    kept = groups.groupBy("doc_id").agg(F.count("*").alias("copies"), F.max(F.col("doc_id") == F.col("component_id")).alias("first")).where("first")
-    kept = shared.written(kept.select("doc_id", "copies"), "kept")
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    if not kept.where("copies > 1").isEmpty():
-        again = kept.where("copies > 1").select("doc_id")
-        least = out.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("r")).select(*[F.col(f"r.{c}").alias(c) for c in docs.columns])
-        out = out.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(least)
-    return out.unionByName(docs.where("doc_id is null"))
+    groups, read = _groups(docs)
+    ids = groups.groupBy("doc_id").agg(F.count("*").alias("copies"), F.max(F.col("doc_id") == F.col("component_id")).alias("first"))
+    ids = shared.written(ids.where("not first or copies > 1"), "not-kept-as-they-are")
+    for t in read:
+        shared.dropped(t)
+    apart, perhaps = shared.sifted(docs, ids.select("doc_id"), "doc_id")
+    out = apart.unionByName(perhaps.join(ids.select("doc_id"), "doc_id", "left_anti").select(*docs.columns))
+    again = ids.where("first").select("doc_id")
+    if not again.isEmpty():
+        least = perhaps.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("r")).select(*[F.col(f"r.{c}").alias(c) for c in docs.columns])
+        out = out.unionByName(least)
+    return out

@@ -257,6 +257,31 @@ def test_repeated_ids_in_near_duplicates(spark):
     assert kept == sorted(map(str, [(3, base, "x"), (5, other, "a"), (None, base, "x"), (1, "lone", "x"), (2, None, "x")]))
 
 
+def shuffled_bytes(spark):
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, none, spark._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_texts_of_near_duplicates_stay_where_they_lie(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"{x:016x}" for x in rng.integers(0, 1 << 62, 2000).tolist()) for _ in range(200)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(200, texts[7] + " more"), (201, texts[7]), (None, texts[7])]
+    path = shared.new_dir(spark, "texts")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(path)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with more ids than a broadcast takes
+    try:
+        before = shuffled_bytes(spark)
+        kept = shared.written(simhash.one_of_each(spark.read.parquet(path)), "kept")
+        moved = shuffled_bytes(spark) - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert len(got) == 201 and set(got) == set(rows) - {(200, texts[7] + " more"), (201, texts[7])}
+    assert 0 < moved < sum(map(len, texts)) / 4
+
+
 # 9
 
 
@@ -400,9 +425,29 @@ def test_secrets_are_redacted_and_clash_with_nothing(spark):
     assert out[1]["text"] == 'x token = "[SECRET]" y' and (out[1]["cands"], out[1]["_t"]) == (1, "c") and out[2]["text"] is None and out[3]["text"] == ""
 
 
+def test_redacted_stores_texts_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "write to a@b.org", 16), (2, None, None)], "doc_id long, text string, n_chars long")
+    stored, write = [], shared.written
+    monkeypatch.setattr(shared, "written", lambda df, tag: stored.append(df.schema) or write(df, tag))
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in pii.redacted(docs).collect()} == {1: ("write to [EMAIL]", 16), 2: (None, None)}
+    assert [x.simpleString().count("text:string") for x in stored] == [1]
+
+
 # Shared
 
 
+@pytest.mark.parametrize("most_bits", [shared.MOST_BITS, 1 << 15])
+def test_sifted_loses_no_key(spark, most_bits):
+    keys = spark.range(0, 60_000, 3).select((F.col("id") * 7919 - 1000).alias("place"))
+    rows = spark.range(60_000).select((F.col("id") * 7919 - 1000).alias("place"), F.col("id").alias("map")).unionByName(spark.sql("select cast(null as long) place, -1L map"))
+    apart, perhaps = shared.sifted(rows, keys, "place", most_bits)
+    assert apart.columns == ["place", "map"] and sorted(r["map"] for r in apart.union(perhaps).collect()) == list(range(-1, 60_000))
+    assert apart.where("map % 3 = 0").count() == 0
+    assert perhaps.count() <= (22_500 if most_bits > 1 << 15 else 50_000)
+    none, no_rows = shared.sifted(rows, keys.limit(0), "place", most_bits)
+    assert (none.count(), no_rows.count()) == (60_001, 0)
+
+
 def test_the_session_stays_as_it_was(spark):
     before = {k: v for k, v in spark.conf.getAll.items() if "arrow" in k}
     simhash.fingerprint_components(spark.read.parquet(f"{SF}/documents.parquet")).count()
