@@ -57,8 +57,7 @@ def markdown(built: Build, exams: DataFrame, program: list[tuple[str, str, list[
     out.append(_rows(grid, 5, [line], a=F.col("i"), b=F.col("k")))
     decided = q.where(F.col("method") == DECIDED)
     out.append(_rows(decided, 6, [fmt("| `%s` | %s | %s |", "item_id", "topic", "decision")], F.lit(""), F.col("ord"), F.col("position")))
-    x = built.excluded.join(exams.select("exam_id", "ord"), "exam_id")
-    out.append(_rows(x, 7, [fmt("- [%s] #%d: %s", exam, "number", "reason"), fmt("  Texto: _%s_", "preview")], a=F.col("ord"), b=F.col("position")))
+    out.append(_rows(built.excluded, 7, [fmt("- [%s] #%d: %s", exam, "number", "reason"), fmt("  Texto: _%s_", "preview")], a=F.col("ord"), b=F.col("position")))
     cells = [exam, F.col("section"), F.col("number"), F.col("status"), F.col("reason")]
     out.append(_rows(q.where("not active"), 8, [fmt("| %s | %s | %s | %d | `%s` | %s |", F.col("item_id"), *cells)], a=F.col("ord"), b=F.col("position")))
     return reduce(DataFrame.unionByName, out)

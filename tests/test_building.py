@@ -3,10 +3,12 @@
 import datetime as dt
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from itembank.functions import stage
 from itembank.functions import text as T
 from itembank.operators import audit as A
 from itembank.operators import build as M
@@ -74,6 +76,69 @@ def test_only_what_is_asked_for_is_stored(spark):
     assert none.questions is None and none.excluded is None and not {"prompt", "options"} & set(some.questions.columns)
 
 
+def shuffled_bytes(spark):
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, none, spark._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    yield
+    spark.conf.set(key, before)
+
+
+def many(spark, exams=60, each=60):
+    """Transcripts of questions with long texts that don't compress, a third of them repeated; exams; decisions, two of them on one question."""
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    prompts = [f"la constitución {word(60)}" for _ in range(40)] + ["la red"]
+    opts = lambda: "".join(f"  {x}) {word(40)}\n" for x in "ABCD")
+    one = lambda: (prompts[-1] if rng.random() < 0.2 else rng.choice(prompts) if rng.random() < 0.2 else f"la constitución {word(60)}", opts(), ANSWER)
+    texts = [(f"e{i}", transcript(("PRIMERA PARTE — Preguntas 1 a 80", [one() for _ in range(each)]))) for i in range(exams)]
+    marks = [("e3:first:1", "IV.1", "leída"), ("e3:first:1", "III.1", "otra"), ("e9:first:7", "I.1", "leída"), ("none:first:1", "I.1", "leída")]
+    rows = [(e, 1000 - i, 2019, "oficial") for i, (e, _) in enumerate(texts)]
+    return texts, (
+        spark.createDataFrame(texts, "exam_id string, text string"), spark.createDataFrame(rows, "exam_id string, ord int, year int, answer_status string"), spark.createDataFrame(marks, "item_id string, topic string, reason string"))
+
+
+def test_questions_stay_where_they_are(spark, no_broadcast, monkeypatch):
+    monkeypatch.setattr(M, "HOT_SHARE", 0.05, raising=False)
+    texts, (t, e, d) = many(spark)
+    before = shuffled_bytes(spark)
+    M.build(t, e, LEXICON, [], d).questions.write.format("noop").mode("overwrite").save()
+    moved = shuffled_bytes(spark) - before
+    assert 0 < moved < 1.5 * sum(len(x) for _, x in texts)
+
+
+@pytest.mark.parametrize("share", [0.0001, 0.05, 2])
+def test_duplicates_by_definition(spark, no_broadcast, monkeypatch, share):
+    monkeypatch.setattr(M, "HOT_SHARE", share)  # all repeated signatures are broadcast, some, none
+    texts, (t, e, d) = many(spark, 20, 20)
+    first, want = {}, {}
+    for i, text in reversed(texts):  # a later transcript has a smaller number
+        for n, line in enumerate((x for x in text.split("\n") if x[:1].isdigit()), 1):
+            item = f"{i}:first:{n}"
+            want[item] = first.setdefault(line.split(". ", 1)[1], item)
+    topics = {"e3:first:1": "III.1", "e9:first:7": "I.1"}
+    for b in (M.build(t, e, LEXICON, [], d), M.build(t.join(e, "exam_id"), None, LEXICON, [], d, only=["item_id", "method", "topic"])):
+        got = b.questions.collect()
+        assert {r["item_id"]: r["duplicate_of"] or r["item_id"] for r in got} == want and len(got) == len(want) == b.counters["parsed"] == 400
+        assert {r["item_id"]: r["topic"] for r in got if r["method"] == M.DECIDED} == topics
+        assert sum(r["active"] for r in b.coverage.collect()) == b.counters["active_before_duplicates"] > sum(r["active"] for r in got)
+
+
+def test_looked_up_finds_every_key(spark):
+    rows = spark.createDataFrame([(i, str(i % 50) if i % 7 else None) for i in range(1000)], "i int, k string")
+    values = spark.createDataFrame([(str(k), k * k) for k in range(40, 60)], "k string, v int")
+    for bits in (1 << 15, 1 << 27):
+        got = stage.looked_up(rows, values, "k", values.count(), bits).collect()
+        assert sorted((r["i"], r["v"]) for r in got) == sorted(((i, (i % 50) ** 2 if i % 7 and i % 50 >= 40 else None) for i in range(1000)), key=lambda x: x[0])
+
+
 def test_blank_options_by_definition(spark):
     texts = ["", " ", "\u00a0", "\u2003\t", "\n", "x", " \n x", "\u200b", None]
     df = spark.createDataFrame([("p", ["x", "y", "z", t], "a", t is None) for t in texts], "prompt string, options array<string>, answer string, missing boolean")
