@@ -11,8 +11,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from itembank.functions import stage
 from itembank.operators.build import DECIDED, Build
 
+#: Columns of a build that the report needs.
+COLUMNS = ["item_id", "ord", "section", "number", "topic", "method", "status", "reason", "decision", "preview"]
 #: The report's texts.
 TITLE = "# Informe de importación"
 SUMMARY = ["Exámenes procesados", "Preguntas totales", "Banco activo (vigente)", "Excluidas del banco activo", "Rechazadas en parsing"]
@@ -38,8 +41,9 @@ def _rows(df: DataFrame, part: int, lines: list[Column], name: Column | None = N
 
 def markdown(built: Build, exams: DataFrame, program: list[tuple[str, str, list[str]]], date: str, source: str) -> DataFrame:
     """The report's lines. ``exams``: exam_id, ord. ``program``: block, its name, its topics in order."""
-    spark = built.questions.sparkSession
-    q, fmt = built.questions, F.format_string
+    spark, fmt = built.questions.sparkSession, F.format_string
+    # duplicates are looked for once, for all parts
+    q, _ = stage.written(built.questions.select("exam_id", "position", "active", *COLUMNS[:-1]), "report-questions")
     fixed = [(1, k, x) for k, x in enumerate([TITLE, "", f"Fecha: {date}", f"Fuente: {source}", ""])]
     fixed += [(p, k - 1000, x) for p, texts in HEADS.items() for k, x in enumerate(texts + [""] * (len(texts) == 1))] + [(9, k, x) for k, x in enumerate(CRITERIA)]
     out = [spark.createDataFrame(fixed, "part int, a long, line string").select("part", F.lit("").alias("name"), "a", F.lit(0).cast("long").alias("b"), "line")]

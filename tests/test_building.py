@@ -157,6 +157,18 @@ def test_report_text(spark, built, tmp_path):
     assert heads == [x for p in sorted(R.HEADS) for x in R.HEADS[p] if x.startswith("## ")] + [R.CRITERIA[0]]
 
 
+def test_report_looks_for_duplicates_once(spark, no_broadcast, monkeypatch):
+    monkeypatch.setattr(M, "HOT_SHARE", 2, raising=False)
+    texts, (t, e, d) = many(spark)
+    b = M.build(t, e, LEXICON, [], d, only=["item_id", "ord", "section", "number", "prompt", "topic", "method", "status", "reason", "decision"])
+    before = shuffled_bytes(spark)
+    b.questions.write.format("noop").mode("overwrite").save()
+    once = shuffled_bytes(spark) - before
+    lines = R.markdown(b, e, [("I", "Uno", ["I.1"])], "2026-01-31", "`x/`")
+    lines.write.format("noop").mode("overwrite").save()
+    assert shuffled_bytes(spark) - before < 2.5 * once
+
+
 def test_footers(spark):
     pad = lambda n: "·" * n
     anchor = "Ejercicio único"
