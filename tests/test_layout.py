@@ -4,6 +4,9 @@ import itertools
 import json
 import random
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -124,6 +127,38 @@ def test_references_pass_through(spark):
     assert got == {(1, "x", 1, "q", "aligned"), (1, "x", 2, "p", "aligned"), (1, "y", 1, None, "missing"), (1, "y", 2, None, "missing")}
 
 
+def without_offsets(kind):
+    """An array without rows whose buffers can't be read."""
+    import pyarrow as pa
+
+    nothing = pa.foreign_buffer(8, 0)
+    if pa.types.is_list(kind):
+        return pa.Array.from_buffers(kind, 0, [None, nothing], children=[without_offsets(kind.value_type)])
+    if pa.types.is_struct(kind):
+        return pa.Array.from_buffers(kind, 0, [None], children=[without_offsets(f.type) for f in kind])
+    return pa.Array.from_buffers(kind, 0, [None, *[nothing] * (2 if pa.types.is_string(kind) else 1)])
+
+
+def read_without_offsets():
+    import pyarrow as pa
+
+    from itembank.functions import workers
+
+    words = pa.list_(pa.struct([("left", pa.float64()), ("top", pa.float64()), ("text", pa.string())]))
+    lines = pa.list_(pa.struct([("top", pa.float64()), ("text", pa.string()), ("words", words)]))
+    pages = without_offsets(pa.struct([("page", pa.int32()), ("width", pa.float64()), ("height", pa.float64()), ("lines", lines)]))
+    column = pa.Array.from_buffers(pa.list_(pages.type), 2, [None, pa.py_buffer(bytes(12))], children=[pages])
+    (cut,) = workers.slices([pa.RecordBatch.from_arrays([column], names=["pages"])])
+    assert [w.texts for w in L.nested(cut.column(0))] == [[], []]
+
+
+def test_arrays_without_rows_need_no_offsets():
+    # a worker that reads them may crash, so in a process of its own
+    root = Path(__file__).resolve().parents[1]
+    code = f"import sys; sys.path[:0] = [{str(root)!r}, {str(root / 'tests')!r}]; import test_layout; test_layout.read_without_offsets()"
+    assert subprocess.run([sys.executable, "-c", code], check=False).returncode == 0
+
+
 def test_batches_are_cut():
     import pyarrow as pa
 
